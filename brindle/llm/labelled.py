@@ -11,8 +11,8 @@ from brindle.llm.subword import Model, Settings, fit
 from brindle.llm.textbytes import utf8_views
 
 #: Bounds of the training sample (rows, and code points of a single text).
-TRAIN_ROWS = 6000
-TRAIN_CHARS = 200_000
+TRAIN_ROWS = 3000
+TRAIN_CHARS = 5000
 
 
 def held_out(doc_id: Column) -> Column:

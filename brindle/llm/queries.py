@@ -7,9 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm.ship import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def vocabulary_path(name: str) -> str:
@@ -59,12 +61,44 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_license_scan": op4_license_scan,
     "op6_bpe": op6_bpe,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 #: DuckDB SQL of the queries that it can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM w
+), g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+r AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+h AS (SELECT g.doc_id, g.n, g.g FROM g SEMI JOIN r ON g.g = r.g),
+o AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM h a JOIN h b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(x, y) AS (
+  SELECT x, y FROM o UNION SELECT reach.x, o.y FROM reach JOIN o ON reach.y = o.x
+), low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(low.y, s.doc_id)) AS component_id
+FROM s LEFT JOIN low ON low.x = s.doc_id
+""",
+}

@@ -134,43 +134,50 @@ def _column(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), at
 
 
-def sparse_bags(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bags of the texts as (text of each bag, bounds, bucket, share) in rows of bags."""
+def _bags_of_pieces(texts: list[bytes], s: Settings):
+    """Yield (text of each bag, bag of each feature, bucket, number) piece by piece; no feature twice in a bag."""
     table = class_table(s.keep, s.lower)
-    owner, rows, buckets, shares = [], [], [], []
-    seen = 0
     raw, at = _column(texts)
-    for texts_in, starts, buffer in pieces(raw, at):
+    for texts_in, starts, buffer in pieces(raw, at, PIECE_BYTES // 2):
         mapped = table[buffer]
         first, text = bags(mapped, starts, s.window_words)
         if not len(first):
             continue
-        where, bucket = (np.concatenate(x) for x in zip(*features(mapped, s.sizes, s.bits)))
-        bag = np.searchsorted(first, where, "right") - 1
-        key, number = np.unique((bag.clip(0) << s.bits) | bucket, return_counts=True)
-        bag, bucket = key >> s.bits, key & ((1 << s.bits) - 1)
+        keys = []
+        for where, bucket in features(mapped, s.sizes, s.bits):
+            bag = (np.searchsorted(first, where, "right") - 1).clip(0)
+            keys.append((bag << s.bits) | bucket)
+        key, number = np.unique(np.concatenate(keys), return_counts=True)
+        yield texts_in[text], key >> s.bits, (key & ((1 << s.bits) - 1)).astype(np.int32), number
+
+
+def sparse_bags(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bags of the texts as (text of each bag, bounds, bucket, share) in rows of bags.
+
+    Features of fewer than ``least_texts`` texts are left out (a first pass
+    counts them); the shares of the others stay as they were.
+    """
+    spread = np.zeros(1 << s.bits, np.int32)
+    if s.least_texts > 1:
+        for text, bag, bucket, _ in _bags_of_pieces(texts, s):
+            once = np.unique((text[bag] << s.bits) | bucket)
+            spread += np.bincount(once & ((1 << s.bits) - 1), minlength=1 << s.bits).astype(np.int32)
+    owner, sizes, buckets, shares = [], [], [], []
+    for text, bag, bucket, number in _bags_of_pieces(texts, s):
         if s.distinct:
             number = np.ones_like(number)
-        size = np.bincount(bag, number, len(first)) + s.prior
-        owner.append(texts_in[text])
-        rows.append(bag + seen)
-        buckets.append(bucket)
-        shares.append((number / size[bag]).astype(np.float32))
-        seen += len(first)
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    row = np.concatenate(rows)
-    bounds = np.searchsorted(row, np.arange(seen + 1))
-    return np.concatenate(owner), bounds, np.concatenate(buckets), np.concatenate(shares)
-
-
-def _without_rare(owner, bounds, bucket, share, s: Settings):
-    """Drop the features of fewer than ``least_texts`` texts; shares stay as they were."""
-    bag = np.repeat(np.arange(len(owner)), np.diff(bounds))
-    pairs = np.unique((owner[bag] << s.bits) | bucket)
-    common = np.bincount(pairs & ((1 << s.bits) - 1), minlength=1 << s.bits) >= s.least_texts
-    keep = common[bucket]
-    return np.searchsorted(bag[keep], np.arange(len(owner) + 1)), bucket[keep], share[keep]
+        size = np.bincount(bag, number, len(text)) + s.prior
+        share = (number / size[bag]).astype(np.float32)
+        common = spread[bucket] >= s.least_texts if s.least_texts > 1 else np.ones(len(bucket), bool)
+        owner.append(text)
+        sizes.append(np.bincount(bag[common], minlength=len(text)))
+        buckets.append(bucket[common])
+        shares.append(share[common])
+    if not owner:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
+    bucket = np.concatenate(buckets)
+    buckets.clear()
+    return np.concatenate(owner), np.r_[0, np.cumsum(np.concatenate(sizes))], bucket, np.concatenate(shares)
 
 
 def _descend(bounds, bucket, share, labels, s: Settings) -> tuple[np.ndarray, float]:
@@ -220,7 +227,9 @@ def _descend(bounds, bucket, share, labels, s: Settings) -> tuple[np.ndarray, fl
             bias -= 0.1 * s.rate * grad_bias / np.sqrt(bias_sq)
             embed[ids] *= 1.0 - s.decay
     gain = embed @ (out[:, 1] - out[:, 0])
-    gain[np.setdiff1d(np.arange(len(gain)), bucket)] = 0.0
+    taught = np.zeros(len(gain), bool)
+    taught[bucket] = True
+    gain[~taught] = 0.0
     return gain, float(bias[1] - bias[0])
 
 
@@ -260,7 +269,6 @@ def fit(texts: list[bytes], labels: list[int], s: Settings) -> Model:
     if len(y) < 25 or len(set(y[~aside])) < 2:
         aside[:] = False
     owner, bounds, bucket, share = sparse_bags([t for t, a in zip(texts, aside) if not a], s)
-    bounds, bucket, share = _without_rare(owner, bounds, bucket, share, s)
     gain, bias = _descend(bounds, bucket, share, y[~aside][owner], s)
     model = Model(s, gain.astype(np.float32), bias)
     judge = aside if aside.any() and len(set(y[aside])) == 2 else ~aside
