@@ -23,6 +23,13 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.html_extraction import extract_pages, train_weights
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_pages(pages, train_weights(pages))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.toxicity import score_toxicity, train_toxicity
 
@@ -62,6 +69,21 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
+def url_rules() -> tuple:
+    """The rules of the registered query."""
+    from brindle.llm.url_filter import Rule
+
+    return (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.url_filter import judge_urls, labelled_by_rules, train_trees
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = url_rules()
+    return judge_urls(pages, rules, train_trees(labelled_by_rules(pages, rules))).drop("url")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.quality_classifier import score_quality, train_quality
 
@@ -76,10 +98,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
+    "op7_url_filter": op7_url_filter,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
