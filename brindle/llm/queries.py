@@ -37,6 +37,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.license_scan import scan_licenses
 
@@ -91,6 +97,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.scratch import Scratch
+    from brindle.llm.token_files import read_tokens, write_tokens
+
+    folder = Scratch(spark, "token-files").folder
+    write_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), folder, 2)
+    return read_tokens(spark, folder)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.ngram_join import jaccard_components
 
@@ -100,11 +115,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_token_files": op9_token_files,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
