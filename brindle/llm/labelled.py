@@ -53,7 +53,7 @@ def score_documents(docs: DataFrame, model: Model, cut: float, keep: tuple[str,
     """doc_id, held_out, score, predicted for every row, plus the columns of ``keep``."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c in keep]
+    kept = [c for c in docs.columns if c in keep and c not in ("held_out", "score", "predicted")]
     source = docs.select("doc_id", "text", *[c for c in kept if c not in ("doc_id", "text")])
     extra = [c for c in kept if c != "doc_id"]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[docs.schema[c] for c in extra], T.StructField("score", T.DoubleType())])

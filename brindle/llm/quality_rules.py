@@ -100,7 +100,7 @@ def language_references(docs: DataFrame) -> dict[str | None, dict[str, float]]:
     the driver.
     """
     columns = [*CLASSES, *WORDS]
-    rows = light_features(docs.select("text", "lang")).groupBy("_lang").agg(*[F.sum(c).alias(c) for c in columns]).collect()
+    rows = light_features(docs.select(*[c for c in ("text", "lang") if c in docs.columns])).groupBy("_lang").agg(*[F.sum(c).alias(c) for c in columns]).collect()
     sums = {r["_lang"]: {c: r[c] or 0 for c in columns} for r in rows}
     sums[None] = {c: sum(s[c] for s in sums.values()) for c in columns}
     share = lambda s, names: {c: s[c] / total if (total := sum(s[n] for n in names)) else 0.0 for c in names}
@@ -128,7 +128,9 @@ def _distance(names: tuple[str, ...], references: dict, langs: list) -> Column:
 def judge(docs: DataFrame, references: dict, rules: Rules = Rules()) -> DataFrame:
     """``docs`` with counts, distances, base_failed and kept (columns of the same names are replaced)."""
     keep = [c for c in docs.columns if c not in OUTPUT]
-    out = light_features(docs.select(*keep))
+    # the given columns travel in a struct, so that none clashes with a feature
+    read = [c for c in ("text", "lang") if c in docs.columns]
+    out = light_features(docs.select(F.struct(*keep).alias("_row"), *read))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.trim(x, F.lit(WHITE))) > 0)
     repeated_lines = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     # hashes of three-word windows; those that occur again, by place; the words they cover
@@ -149,7 +151,16 @@ def judge(docs: DataFrame, references: dict, rules: Rules = Rules()) -> DataFram
     odd = (F.col("n_words") >= rules.char_words) & (F.col("char_distance") > rules.char_distance)
     rare = F.col("_lang").isNotNull() & (F.col("n_words") >= rules.common_words) & (F.col("common_distance") > rules.common_distance)
     out = out.withColumn("kept", ~F.col("base_failed") & ~odd & ~rare)
-    return out.select(*keep, *OUTPUT)
+    return out.select("_row.*", *OUTPUT)
+
+
+def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The documents of ``docs`` that the rules keep, with all their columns."""
+    references = language_references(docs)
+    held = docs.select(F.struct(*docs.columns).alias("_all"), *[c for c in ("text", "lang") if c in docs.columns])
+    judged = judge(held, references, rules)
+    # not a filter: that would be pushed down, with a copy of all expressions at every use
+    return judged.select(F.inline(F.when(F.col("kept"), F.array("_all"))))
 
 
 OUTPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "common_distance", "kept")

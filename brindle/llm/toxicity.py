@@ -12,10 +12,12 @@ read.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from brindle.llm.labelled import TRAIN_ROWS, score_documents, train
 from brindle.llm.subword import Model, Settings
+from brindle.llm.textbytes import utf8_views
 
 SETTINGS = Settings(keep="word", lower=True, window_words=48, epochs=10, target=0.5, goal="f1", least_texts=8, warm=3)
 
@@ -28,3 +30,15 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
 def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from 0.5) for every document."""
     return score_documents(docs, model, 0.5, keep)
+
+
+def without_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
+    """The documents of ``docs`` that score below ``cut``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        fitted = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(fitted.scores(*utf8_views(batch.column("text"))) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
