@@ -1 +1 @@
-""""""
+"""Expression building."""

@@ -1 +1 @@
-""""""
+"""Queries composed of several operators."""

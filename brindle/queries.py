@@ -2,5 +2,244 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.functions.rpn import calc
+from brindle.operators import index, records
+from brindle.operators.printing import printed
+from brindle.operators.relational import hash_join, prepared_select, project, scan, select_eq, select_ne, values
+from brindle.operators.sorting import is_sorted, numbered, sort, sort_unsigned, unsigned
+from brindle.plans.orders_of_nation import orders_of_nation
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Register a function under its name, with the SQL that it must agree with."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return scan(spark, f"{sf_dir}/{name}.parquet")
+
+
+@query("SELECT * FROM nation")
+def scan_table(spark, sf_dir):
+    return table(spark, sf_dir, "nation")
+
+
+@query("SELECT * FROM orders WHERE o_custkey = 899")
+def select_eq_int(spark, sf_dir):
+    return select_eq(table(spark, sf_dir, "orders"), "o_custkey", 899)
+
+
+@query("SELECT * FROM lineitem WHERE l_quantity = 17.0")
+def select_eq_double(spark, sf_dir):
+    return select_eq(table(spark, sf_dir, "lineitem"), "l_quantity", 17.0)
+
+
+@query("SELECT * FROM lineitem WHERE l_returnflag = 'R'")
+def select_eq_string(spark, sf_dir):
+    return select_eq(table(spark, sf_dir, "lineitem"), "l_returnflag", "R")
+
+
+@query("SELECT * FROM orders WHERE false")
+def select_kind_mismatch(spark, sf_dir):
+    return select_eq(table(spark, sf_dir, "orders"), "o_custkey", 899.0)
+
+
+@query("SELECT * FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'")
+def select_ne_string(spark, sf_dir):
+    return select_ne(table(spark, sf_dir, "customer"), "c_mktsegment", "BUILDING")
+
+
+@query("SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 2")
+def select_conjunction(spark, sf_dir):
+    return select_eq(select_eq(table(spark, sf_dir, "lineitem"), "l_returnflag", "R"), "l_linenumber", 2)
+
+
+@query("SELECT * FROM nation WHERE n_nationkey = 3 UNION ALL SELECT * FROM nation WHERE n_nationkey = 7")
+def select_prepared(spark, sf_dir):
+    bound = prepared_select(table(spark, sf_dir, "nation"), 0)
+    return bound(3).unionAll(bound(7))
+
+
+@query("SELECT c_name, c_custkey FROM customer")
+def project_subset(spark, sf_dir):
+    return project(table(spark, sf_dir, "customer"), [1, 0])
+
+
+@query("SELECT n_name, n_nationkey, n_name AS n_name_2 FROM nation")
+def project_dup(spark, sf_dir):
+    return project(table(spark, sf_dir, "nation"), [1, 0, 1])
+
+
+@query("SELECT n.*, c.* FROM nation n JOIN customer c ON n_nationkey = c_nationkey")
+def join_int(spark, sf_dir):
+    return hash_join(table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer"), "n_nationkey", "c_nationkey")
+
+
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey")
+def join_many_to_many(spark, sf_dir):
+    joined = hash_join(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer"), "s_nationkey", "c_nationkey")
+    return project(joined, ["s_suppkey", "c_custkey"])
+
+
+@query("SELECT a.p_partkey AS l_key, b.p_partkey AS r_key FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE b.p_size = 1")
+def join_string(spark, sf_dir):
+    part = project(table(spark, sf_dir, "part"), ["p_partkey", "p_brand", "p_size"])
+    joined = hash_join(part, select_eq(part, "p_size", 1), "p_brand", "p_brand")
+    return project(joined, [0, 3]).toDF("l_key", "r_key")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderkey FROM (SELECT * FROM lineitem WHERE l_orderkey < 50) JOIN (SELECT * FROM orders WHERE o_orderkey < 200) ON l_quantity = CAST(o_orderkey % 50 AS DOUBLE)")
+def join_double(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 50")
+    orders = table(spark, sf_dir, "orders").where("o_orderkey < 200").withColumn("k", (F.col("o_orderkey") % 50).cast("double"))
+    return project(hash_join(lines, orders, "l_quantity", "k"), ["l_orderkey", "l_linenumber", "o_orderkey"])
+
+
+@query("SELECT n.*, s.* FROM nation n JOIN supplier s ON false")
+def join_kind_mismatch(spark, sf_dir):
+    return hash_join(table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier"), "n_nationkey", "s_acctbal")
+
+
+@query("SELECT n.*, r.* FROM region r JOIN nation n ON n_regionkey = r_regionkey")
+def join_build_left(spark, sf_dir):
+    joined = hash_join(table(spark, sf_dir, "region"), table(spark, sf_dir, "nation"), "r_regionkey", "n_regionkey", build="left")
+    return project(joined, [2, 3, 4, 0, 1])
+
+
+@query("SELECT o_orderkey, c_name, n_name, o_totalprice FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey WHERE n_name = 'NATION_3'")
+def pipeline_orders(spark, sf_dir):
+    return orders_of_nation(table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "NATION_3")
+
+
+@query("SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) AS pos FROM lineitem")
+def sort_asc(spark, sf_dir):
+    return sort(numbered(table(spark, sf_dir, "lineitem").select("l_orderkey"), F.col("l_orderkey")), "pos")
+
+
+@query("SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey DESC) AS pos FROM lineitem")
+def sort_desc(spark, sf_dir):
+    return sort(numbered(table(spark, sf_dir, "lineitem").select("l_orderkey"), F.col("l_orderkey"), True), "l_orderkey", True)
+
+
+@query("SELECT k, row_number() OVER (ORDER BY k < 0, k) AS pos FROM (SELECT o_orderkey - 7500 AS k FROM orders)")
+def sort_unsigned_bits(spark, sf_dir):
+    held = table(spark, sf_dir, "orders").select((F.col("o_orderkey") - 7500).alias("k"))
+    return sort_unsigned(numbered(held, unsigned(F.col("k"))), "k")
+
+
+def _check_sql(column: str, source: str, sign: str) -> str:
+    return f"SELECT coalesce(bool_and(coalesce(ahead {sign} v, true)), true) AS is_sorted FROM (SELECT {column} AS v, lag({column}) OVER (ORDER BY p) AS ahead FROM (SELECT {column}, row_number() OVER () AS p FROM {source}))"
+
+
+@query(_check_sql("l_orderkey", "lineitem", "<"))
+def sort_check(spark, sf_dir):
+    return is_sorted(records.scan_records(spark, f"{sf_dir}/lineitem.parquet"), "l_orderkey", "tid", strict=True)
+
+
+@query(_check_sql("o_orderkey", "orders", "<="))
+def sort_check_loose(spark, sf_dir):
+    return is_sorted(records.scan_records(spark, f"{sf_dir}/orders.parquet"), "o_orderkey", "tid")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST((l_linenumber + CAST(l_quantity AS BIGINT)) * (l_partkey - l_suppkey) AS INTEGER) AS r FROM lineitem")
+def calc_rpn(spark, sf_dir):
+    return calc(table(spark, sf_dir, "lineitem"), "0 1 + 2 3 - *", ["l_linenumber", "l_quantity", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "r")
+
+
+@query("SELECT o_orderkey, CAST((o_orderkey - 7500) // 7 AS INTEGER) AS r FROM orders")
+def calc_div(spark, sf_dir):
+    held = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") - 7500).alias("a"), F.lit(7).alias("b"))
+    return calc(held, "0 1 /", ["a", "b"]).select("o_orderkey", "r")
+
+
+@query("SELECT o_orderkey, CAST((((o_orderkey * 1000003) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 AS INTEGER) AS r FROM orders")
+def calc_wrap(spark, sf_dir):
+    held = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(1000003).alias("m"))
+    return calc(held, "0 1 *", ["o_orderkey", "m"]).select("o_orderkey", "r")
+
+
+def _orders_index(spark, sf_dir) -> index.OrderedIndex:
+    return index.OrderedIndex(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value")))
+
+
+@query("SELECT o_orderkey AS key, o_custkey AS value FROM orders WHERE o_orderkey >= 14000")
+def index_range(spark, sf_dir):
+    return _orders_index(spark, sf_dir).range_from(14000)
+
+
+@query("SELECT o_orderkey AS key, o_custkey AS value FROM orders WHERE o_orderkey = 4242")
+def index_lookup(spark, sf_dir):
+    return _orders_index(spark, sf_dir).at(4242)
+
+
+@query("SELECT max(o_orderkey) AS max_key FROM orders")
+def index_max(spark, sf_dir):
+    return _orders_index(spark, sf_dir).max_key()
+
+
+@query("SELECT o_orderkey AS key, o_custkey AS value FROM orders UNION ALL SELECT CAST(999999 AS BIGINT), CAST(1 AS BIGINT)")
+def index_insert(spark, sf_dir):
+    return _orders_index(spark, sf_dir).insert(spark.createDataFrame([(999999, 1)], "key long, value long")).entries
+
+
+@query("SELECT o_orderkey AS key, o_custkey AS value FROM orders WHERE o_orderkey <> 4242")
+def index_erase(spark, sf_dir):
+    return _orders_index(spark, sf_dir).erase(4242).entries
+
+
+@query("SELECT o_orderkey AS key, min(o_custkey) AS value FROM orders GROUP BY o_orderkey")
+def index_build(spark, sf_dir):
+    return index.OrderedIndex.build(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey").entries
+
+
+@query("SELECT *, CAST(1242 AS BIGINT) AS tid FROM orders LIMIT 1 OFFSET 1242")
+def record_lookup(spark, sf_dir):
+    return records.fetch(records.scan_records(spark, f"{sf_dir}/orders.parquet"), 1242)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 10 <> 0")
+def record_remove(spark, sf_dir):
+    held = records.scan_records(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "tid")
+    return records.remove(held, held.where("o_orderkey % 10 = 0")).drop("tid")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 'moved' ELSE s_name END AS s_name FROM supplier")
+def record_update(spark, sf_dir):
+    held = records.scan_records(spark, f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "tid")
+    return records.update(held, held.where("s_suppkey % 10 = 0").select("tid", F.lit("moved").alias("s_name"))).drop("tid")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 'moved' ELSE s_name END AS s_name FROM supplier")
+def record_update_where(spark, sf_dir):
+    held = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return records.update_where(held, F.col("s_suppkey") % 10 == 0, {"s_name": F.lit("moved")})
+
+
+@query("SELECT r_regionkey, r_name, row_number() OVER () - 1 AS tid FROM region UNION ALL SELECT CAST(5 AS INTEGER), 'ATLANTIS', CAST(5 AS BIGINT)")
+def record_insert(spark, sf_dir):
+    new = values(spark, [(5, "ATLANTIS")], "r_regionkey int, r_name string")
+    return records.insert(records.scan_records(spark, f"{sf_dir}/region.parquet"), new.coalesce(1))
+
+
+@query("SELECT s_suppkey, concat('Field 0: (Integer) ', s_suppkey, chr(10), 'Field 1: (String) ', s_name, chr(10), 'Field 2: (Integer) ', s_nationkey) AS line FROM supplier")
+def print_rows(spark, sf_dir):
+    held = project(table(spark, sf_dir, "supplier"), [0, 1, 2])
+    return held.select("s_suppkey", printed(held).alias("line"))
+
+
+@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Hello World', CAST(10 AS DOUBLE)), (2, 'Answer', 42), (3, 'Pi', 3.14159265359)) v(f0, f1, f2)")
+def values_fixture(spark, sf_dir):
+    return values(spark, [(1, "Hello World", 10.0), (2, "Answer", 42.0), (3, "Pi", 3.14159265359)], "f0 long, f1 string, f2 double")

@@ -1 +1 @@
-""""""
+"""Sources and the catalog of named relations."""
