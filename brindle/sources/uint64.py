@@ -54,4 +54,4 @@ def write_uint64(df: DataFrame, path: str, column: str = "x") -> int:
 def as_unsigned(column):
     """The unsigned reading of the bits, as decimal(20, 0)."""
     wide = F.col(column).cast("decimal(20,0)")
-    return F.when(F.col(column) < 0, wide + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
+    return F.when(F.col(column) < 0, wide + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
