@@ -1,4 +1,4 @@
-"""Make the package importable in Python workers, wherever they run."""
+"""Prepare a session: the package in Python workers, small Arrow batches."""
 
 from __future__ import annotations
 
@@ -11,8 +11,14 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Whole texts can be long, so that few of them go to a worker at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the executors, once an application."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
