@@ -7,8 +7,7 @@ in menus, footers, adverts, forms, comments and the like.
 
 Weights are log-odds from labelled pages: pages that mark their article with
 ``article``, ``main`` or ``itemprop=articleBody`` tell what is inside of it and
-what isn't.  Tokens that no such page has get priors: words positive, words in
-boilerplate and tags negative.
+what isn't.  Tokens that no such page has get priors: words positive, tags negative.
 """
 
 from __future__ import annotations
@@ -37,6 +36,10 @@ NOISE_WORDS = frozenset(
 )
 NOISE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 
+#: What stands in an element of boilerplate is left out anyway, wherever it is;
+#: it scores little, so that an advert amid the article doesn't end it.
+NOISE = -0.01
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)["']?>?|<[!?/][^>]*+>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -125,7 +128,7 @@ def tokens(page: str) -> tuple[list[Piece], bool]:
                 # an inline end tag doesn't close blocks
                 if stack[k][0] in BLOCKS and name not in BLOCKS:
                     break
-            out.append(Piece("/" + (name if name in BLOCKS else "other"), 1, "", block, bool(stack) and stack[-1][2], noise))
+            out.append(Piece("noise" if noise else "/" + (name if name in BLOCKS else "other"), 1, "", block, bool(stack) and stack[-1][2], noise))
             if name in BLOCKS:
                 block += 1
             continue
@@ -149,7 +152,7 @@ def tokens(page: str) -> tuple[list[Piece], bool]:
         noise = noise or _noisy(name, m[3] or "", inside or marks)
         inside = inside or (marks and not noise)
         marked = marked or inside
-        out.append(Piece("<" + (name if name in BLOCKS or name in SKIPPED else "other"), 1, " " if name == "br" else "", block, inside, noise))
+        out.append(Piece("noise" if noise else "<" + (name if name in BLOCKS else "other"), 1, " " if name == "br" else "", block, inside, noise))
         if name in RAW:
             end = _raw_end(page, name, at)
             at = end
@@ -160,8 +163,8 @@ def tokens(page: str) -> tuple[list[Piece], bool]:
 
 
 def prior(kind: str) -> float:
-    if kind == "w:noise":
-        return -1.0
+    if kind in ("noise", "w:noise"):
+        return NOISE
     if kind == "w:a":
         return -0.2
     if kind.startswith("w:"):
@@ -185,13 +188,11 @@ def weights_from(counts: dict[str, tuple[int, int]]) -> Weights:
     ins, outs = sum(a for a, _ in counts.values()) or 1, sum(b for _, b in counts.values()) or 1
     score = {}
     for kind, (a, b) in counts.items():
-        if kind == "space" or a + b == 0:
+        if kind in ("space", "noise", "w:noise") or a + b == 0:
             continue
         odds = math.log((a / ins + 1e-6) / (b / outs + 1e-6))
         trust = (a + b) / (a + b + 5.0)
         score[kind] = max(-3.0, min(3.0, trust * odds + (1 - trust) * prior(kind)))
-        if kind == "w:noise":
-            score[kind] = min(score[kind], -0.5)
     return Weights(score)
 
 

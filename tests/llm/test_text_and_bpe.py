@@ -1,0 +1,91 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from odd import ODD
+
+from brindle.llm.bpe import WordBpe, decode_documents, encode_documents, token_digests
+from brindle.llm.queries import table, vocabulary_path
+from brindle.llm.textbytes import class_table, pieces, utf8_views, words_of
+
+PATH = vocabulary_path("word_bpe_49k.json")
+
+
+@pytest.mark.parametrize("limit", [8, 50, 1 << 20])
+def test_pieces_lose_no_word(limit):
+    texts = [t or "" for t in ODD] + ["word " * 100 + "x" * 300 + " tail"]
+    raw, at = utf8_views(pa.array(texts))
+    table_ = class_table("black", True)
+    found = [[] for _ in texts]
+    for rows, starts, buffer in pieces(raw, at, limit):
+        mapped = table_[buffer]
+        first, last, _ = words_of(mapped)
+        for a, b in zip(first, last):
+            found[rows[np.searchsorted(starts, a, "right") - 1]].append(mapped[a:b].tobytes().decode())
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    assert found == [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts]
+
+
+def test_equal_words_have_equal_hashes():
+    raw, at = utf8_views(pa.array(["abc " + "z" * 200 + " abc", None, "z" * 200 + " abcd"]))
+    _, _, buffer = next(pieces(raw, at))
+    _, _, h = words_of(class_table("word", True)[buffer])
+    assert h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 3
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+def test_encoding_equals_the_library(library):
+    rng = random.Random(1)
+    texts = [t or "" for t in ODD]
+    texts += ["<|endoftext|>", "A<|startoftext|>b <|endoftext|", "don't WE'LL 'S 'tis it's", "ΑΣ İstanbul ﬁ ① ١٢ ⅷ", "e\u0301 \u1100\u1161", "x" * 4000 + "ab" * 500]
+    texts += ["".join(rng.choice("abcdeé '!0 \nT") for _ in range(rng.randrange(200))) for _ in range(200)]
+    bpe = WordBpe(PATH)
+    for t in texts:
+        expected = library.encode(t, add_special_tokens=False).ids
+        assert bpe.encode(t) == expected, t
+        assert bpe.decode(expected) == library.decode(expected, skip_special_tokens=False)
+
+
+def test_cache_may_overflow(library, monkeypatch):
+    from brindle.llm import bpe as module
+
+    monkeypatch.setattr(module, "CACHE_WORDS", 5)
+    bpe = WordBpe(PATH)
+    for t in ("one two three four", "five six seven eight nine ten", "one six"):
+        assert bpe.encode(t) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_digests_of_a_table(spark, documents, library):
+    rows = token_digests(documents([(k // 2, t) for k, t in enumerate(ODD)], score=1), PATH).collect()
+    expected = []
+    for k, t in enumerate(ODD):
+        e = library.encode(t or "", add_special_tokens=False).ids
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        expected.append((k // 2, len(e), sha(" ".join(map(str, e))), sha(library.decode(e, skip_special_tokens=False))))
+    assert sorted(map(tuple, rows)) == sorted(expected)
+    assert token_digests(documents([]), PATH).count() == 0
+
+
+def test_encode_and_decode_tables(documents, library):
+    df = documents(ODD, token_ids="clash", decoded="clash")
+    out = {r["doc_id"]: r for r in decode_documents(encode_documents(df, PATH), PATH).collect()}
+    for k, t in enumerate(ODD):
+        e = library.encode(t or "", add_special_tokens=False).ids
+        assert out[k]["token_ids"] == e and out[k]["decoded"] == library.decode(e, skip_special_tokens=False)
+
+
+def test_query_covers_the_table(spark, library):
+    from brindle.llm.queries import op6_bpe
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r["n_tokens"] for r in op6_bpe(spark, sf).collect()}
+    assert got == {r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) for r in table(spark, sf, "documents").collect()}
