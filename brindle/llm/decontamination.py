@@ -218,8 +218,10 @@ class BenchmarkIndex:
         for kind, a, b in values:
             there[kind, a][b] += 1
             back[kind, b][a] += 1
-        one = lambda counts, key, value: counts[key].most_common(1)[0][1] == counts[key][value]
-        return sum(one(there, (k, a), b) and one(back, (k, b), a) for k, a, b in values) / len(values)
+        # each value stands for its commonest partner, the smaller of equals
+        mode = lambda counts: {k: min(c, key=lambda v: (-c[v], v)) for k, c in counts.items()}
+        to, fro = mode(there), mode(back)
+        return sum(to[k, a] == b and fro[k, b] == a for k, a, b in values) / len(values)
 
 
 def benchmark_blocks(benchmark: DataFrame, most: int = BLOCK_WINDOWS):
