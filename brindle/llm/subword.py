@@ -42,7 +42,6 @@ class Settings:
     least_texts: int = 2  # features of fewer training texts get no vector
     distinct: bool = False  # training counts a feature once a bag, so that one word said a thousand times teaches little
     prior: float = 0.0  # so many features without meaning are added to every bag
-    warm: int = 0  # from this epoch on, bags of label 1 weigh as much as the model believes them (0: never)
 
 
 @dataclass
@@ -191,7 +190,7 @@ def _descend(bounds, bucket, share, labels, s: Settings) -> tuple[np.ndarray, fl
     base = np.log(np.clip(np.bincount(labels, minlength=2), 1, None) / max(1, len(labels)))
     bias += base
     n = len(labels)
-    for epoch in range(s.epochs):
+    for _ in range(s.epochs):
         order = rng.permutation(n)
         for k in range(0, n, 64):
             part = order[k : k + 64]
@@ -206,10 +205,7 @@ def _descend(bounds, bucket, share, labels, s: Settings) -> tuple[np.ndarray, fl
             logit = hidden @ out + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            trust = np.where(labels[part] == 1, np.clip(p[:, 1], 0.02, 1.0), 1.0) if s.warm and epoch >= s.warm else None
             p[np.arange(len(part)), labels[part]] -= 1.0
-            if trust is not None:
-                p *= trust[:, None]
             back = (p @ out.T).astype(np.float32)
             g = np.repeat(back, sizes, axis=0) * x[:, None]
             grad_out = hidden.T @ p

@@ -19,7 +19,7 @@ from brindle.llm.labelled import TRAIN_ROWS, score_documents, train
 from brindle.llm.subword import Model, Settings
 from brindle.llm.textbytes import utf8_views
 
-SETTINGS = Settings(keep="word", lower=True, window_words=48, epochs=10, target=0.5, goal="f1", least_texts=8, warm=3)
+SETTINGS = Settings(keep="word", lower=True, window_words=48, epochs=10, target=0.5, goal="accuracy", least_texts=3, prior=100.0)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
