@@ -1,7 +1,7 @@
 """Quality classifier: hashed word and character n-gram vectors, averaged.
 
 A document is one bag; case and symbols count, since they tell junk from
-prose.  Softmax output, trained by numpy stochastic gradient descent.
+prose, and so does a word that repeats its predecessor (the one word bigram).  Softmax output, trained by numpy stochastic gradient descent.
 
 Edge cases: as in ``toxicity``: null and empty texts get the score of no
 evidence, null ids are scored and never held out, repeated rows are scored
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from brindle.llm.labelled import TRAIN_ROWS, score_documents, train
 from brindle.llm.subword import Model, Settings
 
-SETTINGS = Settings(keep="black", lower=False, window_words=0, epochs=10, target=0.3, goal="accuracy")
+SETTINGS = Settings(keep="black", lower=False, window_words=0, echo=True, epochs=10, target=0.3, goal="keep")
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:

@@ -19,6 +19,9 @@ import numpy as np
 
 from brindle.llm.textbytes import PIECE_BYTES, class_table, hash_spans, pieces
 
+#: What a text of label 1 that falls below the threshold costs, under the goal keep.
+KEEP = 4
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -32,13 +35,14 @@ class Settings:
     window_words: int = 0  # 0: a text is one bag; else bags of so many words, a text's score is its largest
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
+    echo: bool = False  # a word that repeats the one before it is a feature too
     dim: int = 8
     epochs: int = 12
     rate: float = 0.3
     decay: float = 1e-6
     seed: int = 7
     target: float = 0.5  # the score that the best threshold is moved to
-    goal: str = "f1"  # what that threshold is best for: f1 of label 1, or accuracy
+    goal: str = "f1"  # what that threshold is best for: f1 of label 1, accuracy, or keep (a lost text of label 1 weighs as much as KEEP others)
     least_texts: int = 2  # features of fewer training texts get no vector
     distinct: bool = False  # training counts a feature once a bag, so that one word said a thousand times teaches little
     prior: float = 0.0  # so many features without meaning are added to every bag
@@ -57,14 +61,24 @@ class Model:
         return scores_of(self, raw, at)
 
 
-def features(mapped: np.ndarray, sizes: tuple[int, ...], bits: int):
-    """Yield (first byte, bucket) arrays: all words, then the n-grams of each size."""
+def features(mapped: np.ndarray, sizes: tuple[int, ...], bits: int, starts: np.ndarray | None = None):
+    """Yield (first byte, bucket) arrays: all words, then the n-grams of each size.
+
+    With the ``starts`` of the texts, words that repeat their predecessor come
+    too, in a bucket that all of them share.
+    """
     black = mapped != 32
     edge = np.flatnonzero(black[1:] != black[:-1]) + 1
     first, last = edge[0::2], edge[1::2]
     shift = np.uint64(64 - bits)
     if len(first):
-        yield first, ((hash_spans(mapped, first, last) * _MIX) >> shift).astype(np.int64)
+        words = hash_spans(mapped, first, last)
+        yield first, ((words * _MIX) >> shift).astype(np.int64)
+        if starts is not None:
+            again = np.flatnonzero(words[1:] == words[:-1]) + 1
+            text = np.searchsorted(starts, first, "right")
+            again = again[text[again] == text[again - 1]]
+            yield first[again], np.full(len(again), (1 << bits) - 1, np.int64)
     wide = mapped.astype(np.uint64) + np.uint64(1)
     running, inside, done = wide, None, 1
     for n in sizes:
@@ -111,7 +125,7 @@ def scores_of(model: Model, raw: np.ndarray, at: np.ndarray, limit: int = PIECE_
             continue
         value = np.zeros(len(mapped), np.float32)
         number = np.zeros(len(mapped), np.int8)
-        for where, bucket in features(mapped, s.sizes, s.bits):
+        for where, bucket in features(mapped, s.sizes, s.bits, starts if s.echo else None):
             value[where] += model.gain[bucket]
             number[where] += 1
         sums = np.add.reduceat(value, first, dtype=np.float64)
@@ -143,7 +157,7 @@ def _bags_of_pieces(texts: list[bytes], s: Settings):
         if not len(first):
             continue
         keys = []
-        for where, bucket in features(mapped, s.sizes, s.bits):
+        for where, bucket in features(mapped, s.sizes, s.bits, starts if s.echo else None):
             bag = (np.searchsorted(first, where, "right") - 1).clip(0)
             keys.append((bag << s.bits) | bucket)
         key, number = np.unique(np.concatenate(keys), return_counts=True)
@@ -238,7 +252,7 @@ def _threshold(logit: np.ndarray, labels: np.ndarray, goal: str) -> float:
     if goal == "f1":
         value = 2 * hits / (taken + max(1, y.sum()))
     else:
-        value = hits + (len(y) - y.sum()) - (taken - hits)
+        value = (KEEP if goal == "keep" else 1) * hits - (taken - hits)
     last = np.r_[z[1:] != z[:-1], True]
     value = np.where(last, value, -1)
     k = int(np.flatnonzero(value == value.max())[-1 if goal != "f1" else 0])
