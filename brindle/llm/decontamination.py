@@ -258,6 +258,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] | No
     if not blocks:
         return out.withColumn(column, F.array().cast(_LEAK)).select(*base, column)
     names = out.columns
+    mark = "_leaks_of_block"
+    while any(c.startswith(mark) for c in names):
+        mark += "_"
 
     def searching(shared, target, columns):
         def run(batches):
@@ -273,9 +276,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] | No
 
     for k, shared in enumerate(blocks):
         columns = out.columns if k < len(blocks) - 1 else [c for c in out.columns if c in base or c not in names]
-        schema = T.StructType([*[out.schema[c] for c in columns], T.StructField(f"_leaks{k}", _LEAK)])
-        out = out.mapInArrow(searching(shared, f"_leaks{k}", columns), schema)
-    return out.select(*base, F.concat(*[F.col(f"_leaks{k}") for k in range(len(blocks))]).alias(column))
+        schema = T.StructType([*[out.schema[c] for c in columns], T.StructField(f"{mark}{k}", _LEAK)])
+        out = out.mapInArrow(searching(shared, f"{mark}{k}", columns), schema)
+    return out.select(*base, F.concat(*[F.col(f"{mark}{k}") for k in range(len(blocks))]).alias(column))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -286,4 +289,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents of ``docs`` that hold no benchmark item."""
-    return with_leaks(docs, benchmark, column="_leaks").where(F.size("_leaks") == 0).drop("_leaks")
+    column = "_leaks"
+    while column in docs.columns:
+        column += "_"
+    return with_leaks(docs, benchmark, column=column).where(F.size(column) == 0).drop(column)

@@ -217,11 +217,12 @@ def train_trees(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Boosted:
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], model: Boosted) -> DataFrame:
     """``pages`` with host, path, rule, verdict and score (the trees' share of blocking)."""
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    out = with_features(with_parts(pages.select(*keep)), model.suffixes, model.other)
+    # the given columns travel in a struct, so that none clashes with a feature
+    out = with_features(with_parts(pages.select(F.struct(*keep).alias("_row"), "url")), model.suffixes, model.other)
     out = out.withColumns({"_margin": model.margin(), "rule": rule_of(rules, lambda r: r.name)})
     learnt = F.when(F.col("_margin") > 0, F.lit("block")).otherwise(F.lit("allow"))
     out = out.withColumns({"verdict": F.coalesce(rule_of(rules, lambda r: r.verdict), learnt), "score": 1 / (1 + F.exp(-F.col("_margin")))})
-    return out.select(*keep, "host", "path", "rule", "verdict", "score")
+    return out.select("_row.*", "host", "path", "rule", "verdict", "score")
 
 
 def labelled_by_rules(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:

@@ -91,7 +91,7 @@ def test_blocks_give_the_same_leaks(spark, documents, monkeypatch):
     items = [(k, " ".join(rng.sample(words, 20))) for k in range(12)] + [(12, None), (None, "x y z a b c"), (13, "two words"), (14, "just three words")]
     texts = [(k, " ".join(rng.sample(words, 50)) + " " + items[k][1] + " tail") for k in range(12)] + [(20, "here are just three words"), (21, "nothing")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    df = documents(texts, leaks="clash", item_id=1)
+    df = documents(texts, leaks="clash", item_id=1, _leaks=2, _leaks_of_block0=3)
     whole = sorted((r["doc_id"], r["item_id"]) for r in d.find_leaks(df, benchmark).collect())
     assert whole == [(k, k) for k in range(12)] + [(20, 14)]
     monkeypatch.setattr(d.benchmark_blocks, "__defaults__", (45,))

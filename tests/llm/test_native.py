@@ -81,7 +81,7 @@ def brute_url(url):
 
 def test_rules_equal_brute_force(spark):
     rules = url_rules()
-    df = spark.createDataFrame([(k, x, "clash") for k, x in enumerate(URLS)], "page_id long, url string, rule string")
+    df = spark.createDataFrame([(k, x, "clash", 1.0) for k, x in enumerate(URLS)], "page_id long, url string, rule string, _rest double")
     rows = {r["page_id"]: r for r in u.judge_urls(df, rules, u.Boosted()).collect()}
     for k, x in enumerate(URLS):
         host, path = brute_url(x)

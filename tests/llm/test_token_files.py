@@ -1,11 +1,14 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd import ODD
 
 from brindle.llm import token_files as f
 from brindle.llm.queries import op9_token_files, table, vocabulary_path
+from brindle.llm.textbytes import utf8_views
 
 PATH = vocabulary_path("byte_bpe_50k.json")
 
@@ -48,12 +51,16 @@ def test_frames_round_trip_and_damage_is_seen():
 
 
 def test_pieces_equal_the_library(library, monkeypatch):
-    texts = [t or "" for t in ODD] + ["<|endoftext|> a", "a  b\n\n c\t\td ", "it's WE'RE 'll x²½ µ ª", " leading", "trailing  "]
+    texts = [t or "" for t in ODD] + ["<|endoftext|> a", "a  b\n\n c\t\td ", "it's WE'RE 'll x²½ µ ª", " leading", "trailing  ", "'s", " 's", "''s 'sand they'rest x'l y'll'd 'm9 !'s \n's"]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice(["a", "Bé", " ", "  ", "\n", "\t", "'", "'s", "'re", "1", "½", "!", "÷", "×", "ll", "<|", "ÿµ"]) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    texts += ["word " * 300_000]
+    raw, at = utf8_views(pa.array(texts))
     encoder = f.PieceIds(PATH)
-    for _ in range(2):
-        for t, ids in zip(texts, encoder.encode(texts)):
-            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
-        monkeypatch.setattr(f, "CACHE_PIECES", 3)
+    for limit in (10**6, 3):
+        monkeypatch.setattr(f, "CACHE_PIECES", limit)
+        for t, ids in zip(texts, encoder.encode(raw, at)):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t[:200]
     with pytest.raises(ValueError):
         f._narrow([70000])
 
