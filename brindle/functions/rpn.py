@@ -7,9 +7,10 @@ around, division truncates toward zero and fails on zero.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OPERATORS = ("+", "-", "*", "/")
@@ -71,3 +72,18 @@ def calc(df: DataFrame, text: str, columns: list[str], name: str = "r") -> DataF
     if arity(tree) > len(columns):
         raise ValueError(f"{text!r} needs {arity(tree)} variables, {len(columns)} are given")
     return df.withColumn(name, as_column(tree, [F.col(c) for c in columns]))
+
+
+def evaluate(spark: SparkSession, text: str, numbers: list[int]) -> int:
+    """The value of an expression for given variables, as a query over one row."""
+    row = spark.range(1).select(*[F.lit(v).cast("int").alias(f"v{k}") for k, v in enumerate(numbers)], F.lit(0).alias("_"))
+    return calc(row, text, [f"v{k}" for k in range(len(numbers))]).first()["r"]
+
+
+if __name__ == "__main__":
+    # python -m brindle.functions.rpn "0 1 + 2 3 - *" 1 2 9 4
+    if len(sys.argv) < 2:
+        sys.exit("usage: python -m brindle.functions.rpn EXPRESSION [VALUE ...]")
+    session = SparkSession.builder.appName("calc").getOrCreate()
+    print(evaluate(session, sys.argv[1], [int(v) for v in sys.argv[2:]]))
+    session.stop()

@@ -73,6 +73,15 @@ def strict_ne(a: Column, b: Column, kind_a: str, kind_b: str) -> Column:
     return ~F.coalesce(strict_eq(a, b, kind_a, kind_b), F.lit(False))
 
 
+def value_hash(a: Column, kind: str) -> Column:
+    """A 64-bit hash that equal values share; -0.0 hashes as 0.0, a missing value as null."""
+    if kind == INTEGER:
+        a = a.cast("long")
+    elif kind == DOUBLE:
+        a = a.cast("double") + F.lit(0.0)
+    return F.when(a.isNotNull(), F.xxhash64(a))
+
+
 def position(df: DataFrame, column: int | str) -> int:
     """Place of a column given by place or name; IndexError or KeyError if there is none."""
     if isinstance(column, int):

@@ -43,6 +43,19 @@ class OrderedIndex:
         self.entries.repartitionByRange(by).sortWithinPartitions(by).write.mode("error").parquet(path)
         return OrderedIndex(self.entries.sparkSession.read.parquet(path), self.order)
 
+    def save(self, name: str) -> OrderedIndex:
+        """Store under a name in the session's catalog, in key order; the name must be free."""
+        by = self.order(F.col("key"))
+        self.entries.repartitionByRange(by).sortWithinPartitions(by).write.mode("error").saveAsTable(name)
+        return OrderedIndex(self.entries.sparkSession.table(name), self.order)
+
+    @classmethod
+    def open(cls, spark: SparkSession, name: str, order=None) -> OrderedIndex:
+        """A saved index; KeyError for an unknown name."""
+        if not spark.catalog.tableExists(name):
+            raise KeyError(name)
+        return cls(spark.table(name), order)
+
     def insert(self, new: DataFrame) -> OrderedIndex:
         """With entries (key, value) added; the same entry again changes nothing, another value for a key is an error."""
         new = new.select("key", "value").distinct()

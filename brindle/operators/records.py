@@ -8,6 +8,8 @@ DataFrame; ``rewrite`` stores one as a new version.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
     return df.select("*", (F.shiftleft(number, ROW_BITS) + F.col("_metadata.row_index")).alias(TID))
 
 
+def iterate(records: DataFrame) -> Iterator:
+    """Rows in order of their tuple ids, pulled to the driver one partition at a time."""
+    return records.orderBy(TID).toLocalIterator()
+
+
 def fetch(records: DataFrame, tid: int) -> DataFrame:
     """The record of a tuple id: one row, or none."""
     return records.filter(F.col(TID) == F.lit(tid))

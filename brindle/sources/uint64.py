@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators.sorting import sort_unsigned
+
 _NATIVE = "<i8" if sys.byteorder == "little" else ">i8"
 #: Values that a batch of records holds.
 BATCH = 1 << 16
@@ -51,7 +53,39 @@ def write_uint64(df: DataFrame, path: str, column: str = "x") -> int:
     return count + len(held)
 
 
+def sort_file(spark: SparkSession, source: str, target: str, memory_mb: int | None = None, descending: bool = False) -> int:
+    """Write the values of one file to another in unsigned order; returns their number.
+
+    The target is replaced.  ``memory_mb`` is advisory, as in ``sort``.
+    """
+    return write_uint64(sort_unsigned(read_uint64(spark, source), "x", descending), target)
+
+
+def file_is_sorted(path: str, strict: bool = False) -> bool:
+    """Whether a local file's values ascend as unsigned ones, read a block at a time; an empty file is sorted."""
+    last = None
+    with open(path, "rb") as f:
+        while block := f.read(8 * BATCH):
+            values = np.frombuffer(block, _NATIVE.replace("i", "u"))
+            if last is not None:
+                values = np.concatenate([[last], values]).astype(np.uint64)
+            ahead, behind = values[:-1], values[1:]
+            if not (ahead < behind if strict else ahead <= behind).all():
+                return False
+            last = values[-1]
+    return True
+
+
 def as_unsigned(column):
     """The unsigned reading of the bits, as decimal(20, 0)."""
     wide = F.col(column).cast("decimal(20,0)")
     return F.when(F.col(column) < 0, wide + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
+
+
+if __name__ == "__main__":
+    # python -m brindle.sources.uint64 <source> <target> [<memory in MB>]
+    if len(sys.argv) not in (3, 4):
+        sys.exit("usage: python -m brindle.sources.uint64 SOURCE TARGET [MEMORY_MB]")
+    session = SparkSession.builder.appName("sort").getOrCreate()
+    print(sort_file(session, sys.argv[1], sys.argv[2], int(sys.argv[3]) if len(sys.argv) == 4 else None))
+    session.stop()

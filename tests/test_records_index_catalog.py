@@ -80,6 +80,16 @@ def test_index_in_another_order(spark):
     assert empty.max_key().first()[0] is None and empty.range_from(0).count() == 0
 
 
+def test_saved_index_and_iteration(spark):
+    index = OrderedIndex(spark.createDataFrame([(3, 1), (1, 2)], "key long, value long")).save("saved_index")
+    assert index.lookup(3) == 1 and OrderedIndex.open(spark, "saved_index").lookup(1) == 2
+    with pytest.raises(KeyError):
+        OrderedIndex.open(spark, "no_index")
+    spark.sql("DROP TABLE saved_index")
+    held = spark.createDataFrame([(2, "c"), (0, "a"), (1, "b")], "tid long, s string")
+    assert [r["s"] for r in records.iterate(held)] == ["a", "b", "c"]
+
+
 def test_catalog(spark):
     df = spark.createDataFrame([(1, "a")], "n long, s string")
     create_relation(spark, "catalog_stored", df)

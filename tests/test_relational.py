@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.kinds import as_python, kind_of_value, strict_eq, strict_ne
+from brindle.kinds import as_python, kind_of_value, strict_eq, strict_ne, value_hash
 from brindle.operators.printing import print_rows
 from brindle.operators.relational import hash_join, prepared_select, project, scan, select_eq, select_ne
 
@@ -86,6 +86,11 @@ def test_values_are_read_as_their_kind_only(value, kind):
             as_python(None, other)
 
 
+def test_equal_values_hash_alike(spark):
+    row = spark.range(1).select(value_hash(F.lit(-0.0), "Double").alias("a"), value_hash(F.lit(0.0), "Double").alias("b"), value_hash(F.lit(7).cast("int"), "Integer").alias("c"), value_hash(F.lit(7).cast("long"), "Integer").alias("d"), value_hash(F.lit(None).cast("string"), "String").alias("e")).first()
+    assert row["a"] == row["b"] and row["c"] == row["d"] and row["e"] is None
+
+
 def test_scan_prunes_and_pushes(spark):
     df = project(select_eq(scan(spark, "/root/testdata/sf0.001/nation.parquet"), "n_name", "NATION_3"), ["n_nationkey"])
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.functions.rpn import OPERATORS, arity, calc, parse_rpn
+from brindle.functions.rpn import OPERATORS, arity, calc, evaluate as evaluate_rpn, parse_rpn
 from brindle.operators.sorting import is_sorted, numbered, sort, sort_unsigned, unsigned
-from brindle.sources.uint64 import as_unsigned, read_uint64, write_uint64
+from brindle.sources.uint64 import as_unsigned, file_is_sorted, read_uint64, sort_file, write_uint64
 
 CASES = {
     "empty": [],
@@ -108,3 +108,15 @@ def test_too_few_variables_and_division_by_zero(spark):
         calc(df, "0 2 +", ["a", "b"])
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
         calc(df, "0 1 /", ["a", "b"]).collect()
+
+
+def test_files_and_single_values(spark, tmp_path):
+    data = np.array(CASES["random"] + [2**64 - 1, 0, 0], np.uint64)
+    (tmp_path / "in").write_bytes(data.tobytes())
+    (tmp_path / "out").write_bytes(b"longer than before" * 10**4)
+    assert not file_is_sorted(str(tmp_path / "in"))
+    assert sort_file(spark, str(tmp_path / "in"), str(tmp_path / "out"), 1) == len(data)
+    assert file_is_sorted(str(tmp_path / "out")) and not file_is_sorted(str(tmp_path / "out"), strict=True)
+    (tmp_path / "empty").write_bytes(b"")
+    assert file_is_sorted(str(tmp_path / "empty"), strict=True)
+    assert evaluate_rpn(spark, "0 1 + 2 3 - *", [1, 2, 9, 4]) == 15
