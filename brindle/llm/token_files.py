@@ -26,18 +26,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from brindle.llm.textbytes import PIECE_BYTES, hash_spans, pieces, utf8_views
 
 #: Ids of a block, of a frame (at least, unless it is the last), and lanes coded at a time.
-BLOCK, FRAME, LANES = 4096, 1 << 19, 2048
+BLOCK, FRAME, LANES = 2048, 1 << 19, 4096
 MAGIC = b"BTF1"
 #: Pieces of text whose ids a worker keeps; beyond, it begins anew.
-CACHE_PIECES = 250_000
-SLICE_CHARS = 1 << 20
+CACHE_PIECES = 2_000_000
 
 _TOP, _LEAST = np.uint64(1 << 48), np.uint64(1 << 32)
 _MASK = np.uint64((1 << 32) - 1)
@@ -69,21 +68,25 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
     # predicted id << 2 | confidence, as flat tables of lane * slots + hash
     second, first = np.zeros(n * slots, np.uint32), np.zeros(n * slots, np.uint32)
     zeroth = np.zeros(n * 256, np.uint16)
+    # rows of four frequencies; whole rows are put back through a view of 16-byte items
     mix0 = np.full((n, 4), 1024, np.int32)
     mix1, mix2 = np.full((n * 16, 4), 1024, np.int32), np.full((n * 16, 4), 1024, np.int32)
+    rows1, rows2 = (m.view(np.complex128).ravel() for m in (mix1, mix2))
     good = np.full((3, n), 1024, np.int32)
     last, before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     recent = np.zeros(n, np.int64)  # the last two symbols
-    row_slots, row_bytes, row_mix = lane_all * slots, lane_all * 256, lane_all * 16
-    cum = cum_all = np.zeros((n, 5), np.int64)
-    shift = np.uint32(32 - _SLOTS_BITS)
+    row_slots, row_bytes, row_mix, row_four = lane_all * slots, lane_all * 256, lane_all * 16, lane_all * 4
+    cum = np.zeros((n, 4), np.int32)
+    raised = np.eye(4, dtype=np.int32) * 128
+    shift, one, two, three = np.uint32(32 - _SLOTS_BITS), np.uint32(1), np.uint32(2), np.uint32(3)
     active = n
     ends = np.searchsorted(-lengths, -np.arange(steps), "left") if n else []  # lanes longer than t
+    columns = np.ascontiguousarray(ids.T) if encode else None
     for t in range(steps):
         a = int(ends[t])
         if a != active:
             active = a
-            lane_all, row_slots, row_bytes, row_mix = lane_all[:a], row_slots[:a], row_bytes[:a], row_mix[:a]
+            row_slots, row_bytes, row_mix, row_four = row_slots[:a], row_bytes[:a], row_mix[:a], row_four[:a]
             if encode:
                 _finish(out, at, low, a)
             low, span, at = low[:a], span[:a], at[:a]
@@ -91,74 +94,76 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
                 code = code[:a]
             mix0, good, last, before, recent, cum = mix0[:a], good[:, :a], last[:a], before[:a], recent[:a], cum[:a]
         h1 = row_slots + ((last * np.uint32(0x9E3779B1)) >> shift)
-        h2 = row_slots + (((last * np.uint32(0x85EBCA6B)) ^ (before * np.uint32(0xC2B2AE35)) ^ (before >> np.uint32(3))) >> shift)
-        e1, e2 = first[h1], second[h2]
-        p1, p2 = e1 >> np.uint32(2), e2 >> np.uint32(2)
-        c1, c2 = e1 & np.uint32(3), e2 & np.uint32(3)
+        h2 = row_slots + (((last * np.uint32(0x85EBCA6B)) ^ (before * np.uint32(0xC2B2AE35)) ^ (before >> three)) >> shift)
+        e1, e2 = first.take(h1), second.take(h2)
+        p1, p2 = e1 >> two, e2 >> two
+        c1, c2 = e1 & three, e2 & three
         k1 = row_mix + recent
-        k2 = row_mix + ((c2 << np.uint32(2)) | c1)
-        m1, m2 = mix1[k1], mix2[k2]
+        k2 = row_mix + ((c2 << two) | c1)
+        m1, m2 = mix1.take(k1, 0), mix2.take(k2, 0)
         weight = (good >> 7) + 1
         f = mix0 * weight[0][:, None]
         f += m1 * weight[1][:, None]
         f += m2 * weight[2][:, None]
         f += 1
-        np.cumsum(f, axis=1, out=cum[:, 1:])
-        total = cum[:, 4].astype(np.uint64)
+        f0, f1, f2 = f[:, 0], f[:, 1], f[:, 2]
+        b2 = f0 + f1
+        b3 = b2 + f2
+        total = (b3 + f[:, 3]).astype(np.uint64)
+        cum[:, 1], cum[:, 2], cum[:, 3] = f0, b2, b3
         unit = span // total
         if encode:
-            x = ids[:a, t].astype(np.uint32)
-            slot = (x & np.uint32(255)).astype(np.int64)
-            s = np.where(x == p2, 0, np.where(x == p1, 1, np.where(zeroth[row_bytes + slot] == x, 2, 3)))
-            tail = np.where(s == 2, slot, x).astype(np.uint64)
+            x = columns[t, :a].astype(np.uint32)
+            slot = row_bytes + (x & np.uint32(255))
+            # the first prediction that is right: 0, 1 or 2; else 3
+            s = np.where(x == p2, 0, np.where(x == p1, 1, 3 - (zeroth.take(slot) == x)))
+            tail = np.where(s == 2, x & np.uint32(255), x).astype(np.uint64)
+            tail *= s >= 2
         else:
-            value = np.minimum((code - low) // unit, total - np.uint64(1)).astype(np.int64)
-            s = (value >= cum[:, 1]).astype(np.int64) + (value >= cum[:, 2]) + (value >= cum[:, 3])
-        flat = lane_all * 5 + s
-        c = cum_all.reshape(-1)
-        begin = c[flat]
-        low += unit * begin.astype(np.uint64)
-        span[:] = unit * (c[flat + 1] - begin).astype(np.uint64)
-        bits = _TAIL[s]
+            value = ((code - low) // unit).astype(np.int64)
+            s = (value >= f0).astype(np.int64) + (value >= b2) + (value >= b3)
+        pick = row_four + s
+        low += unit * cum.reshape(-1).take(pick).astype(np.uint64)
+        np.multiply(unit, f.reshape(-1).take(pick).astype(np.uint64), out=span)
+        bits = _TAIL.take(s)
         span >>= bits
         if encode:
-            tail[s < 2] = 0
             low += span * tail
         else:
             tail = np.minimum((code - low) // span, (np.uint64(1) << bits) - np.uint64(1))
             low += span * tail
             x = np.where(s == 0, p2, np.where(s == 1, p1, tail.astype(np.uint32)))
             some = np.flatnonzero(s == 2)
-            x[some] = zeroth[row_bytes[some] + tail[some].astype(np.int64)]
+            x[some] = zeroth.take(row_bytes.take(some) + tail.take(some).astype(np.int64))
             out[:a, t] = x
-            slot = (x & np.uint32(255)).astype(np.int64)
+            slot = row_bytes + (x & np.uint32(255))
         # renormalise: words that can't change any more leave; a span across a word's edge is cut
         todo = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _LEAST))
         while len(todo):
-            lo, sp = low[todo], span[todo]
+            lo, sp = low.take(todo), span.take(todo)
             cut = (lo ^ (lo + sp)) >= _TOP
-            sp = np.where(cut, (~lo + np.uint64(1)) & _MASK, sp)
+            if cut.any():
+                sp = np.where(cut, (~lo + np.uint64(1)) & _MASK, sp)
+            place = at.take(todo)
             if encode:
-                out[todo, at[todo]] = (lo >> np.uint64(48)).astype(np.uint16)
+                out[todo, place] = (lo >> np.uint64(48)).astype(np.uint16)
             else:
-                code[todo] = (code[todo] << np.uint64(16)) | words[todo, np.minimum(at[todo], words.shape[1] - 1)].astype(np.uint64)
-            at[todo] += 1
+                code[todo] = (code.take(todo) << np.uint64(16)) | words[todo, np.minimum(place, words.shape[1] - 1)].astype(np.uint64)
+            at[todo] = place + 1
             lo, sp = lo << np.uint64(16), sp << np.uint64(16)
             low[todo], span[todo] = lo, sp
             todo = todo[((lo ^ (lo + sp)) < _TOP) | (sp < _LEAST)]
         # learn
-        pick = lane_all * 4 + s
-        for k, (table, rows, m) in enumerate(((mix0, None, mix0), (mix1, k1, m1), (mix2, k2, m2))):
-            was = m.reshape(-1)[pick]
-            good[k] += (was - good[k]) >> 4
+        up = raised.take(s, 0)
+        for k, m in enumerate((mix0, m1, m2)):
+            good[k] += (m.reshape(-1).take(pick) - good[k]) >> 4
             m -= m >> 5
-            m.reshape(-1)[pick] += 128
-            if rows is not None:
-                table[rows] = m
-        x2 = x << np.uint32(2)
-        first[h1] = x2 | np.where(x == p1, np.minimum(c1 + np.uint32(1), np.uint32(3)), np.uint32(0))
-        second[h2] = x2 | np.where(x == p2, np.minimum(c2 + np.uint32(1), np.uint32(3)), np.uint32(0))
-        zeroth[row_bytes + slot] = x
+            m += up
+        rows1[k1], rows2[k2] = m1.view(np.complex128).ravel(), m2.view(np.complex128).ravel()
+        x2 = x << two
+        first[h1] = np.where(x == p1, x2 | np.minimum(c1 + one, three), x2)
+        second[h2] = np.where(x == p2, x2 | np.minimum(c2 + one, three), x2)
+        zeroth[slot] = x
         before, last = last, x
         recent[:] = ((recent << 2) | s) & 15
     if encode:
@@ -235,6 +240,114 @@ def unpack_frame(frame: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int,
     return ids, sizes, blocks
 
 
+class HashIndex:
+    """64-bit hash -> number, for arrays: open addressing, linear probing, growing."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.count = bits, 0
+        self.keys, self.numbers = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers, -1 for unknown hashes."""
+        slot, mask = self._slot(keys), len(self.keys) - 1
+        out = self.numbers.take(slot)
+        open_ = np.flatnonzero((out >= 0) & (self.keys.take(slot) != keys))
+        while len(open_):
+            slot[open_] = place = (slot[open_] + 1) & mask
+            found = self.numbers.take(place)
+            out[open_] = found
+            open_ = open_[(found >= 0) & (self.keys.take(place) != keys[open_])]
+        return out
+
+    def put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Add distinct hashes that aren't there."""
+        if 2 * (self.count + len(keys)) > len(self.keys):
+            held = self.numbers >= 0
+            old = self.keys[held], self.numbers[held]
+            while 2 * (len(old[0]) + len(keys)) > 1 << self.bits:
+                self.bits += 1
+            self.keys, self.numbers, self.count = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32), 0
+            self.put(*old)
+        self.count += len(keys)
+        slot, mask = self._slot(keys), len(self.keys) - 1
+        while len(keys):
+            free = np.flatnonzero(self.numbers.take(slot) < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            now = free[one]
+            self.keys[slot[now]], self.numbers[slot[now]] = keys[now], numbers[now]
+            rest = np.ones(len(keys), bool)
+            rest[now] = False
+            keys, numbers, slot = keys[rest], numbers[rest], (slot[rest] + 1) & mask
+
+
+# Classes of bytes for the split: what isn't listed makes a text go to the library whole.
+_OTHER, _LETTER, _DIGIT, _MARK, _WHITE, _EDGE = 0, 1, 2, 3, 4, 5
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = _MARK
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
+_CLASS[[0x09, 0x0A, 0x0D, 0x20]] = _WHITE
+#: The second byte of characters U+00A1 to U+00BF and U+00C0 to U+00FF.
+_AFTER_C2, _AFTER_C3 = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+_AFTER_C2[0xA1:0xC0] = _MARK
+_AFTER_C2[[0xAA, 0xB5, 0xBA]] = _LETTER
+_AFTER_C2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _DIGIT
+_AFTER_C3[0x80:0xC0] = _LETTER
+_AFTER_C3[[0x97, 0xB7]] = _MARK
+
+
+def split_bytes(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first bytes, ends, texts to leave alone) of the pieces of a piece's texts.
+
+    The pieces are those of the byte-level split: contractions, then runs of
+    letters, digits or other marks with a space before them, then white space;
+    a run of white space leaves its last character to what follows.
+    """
+    n = len(buffer)
+    kind = _CLASS.take(buffer)
+    for lead, after in ((0xC2, _AFTER_C2), (0xC3, _AFTER_C3)):
+        at = np.flatnonzero(buffer[:-1] == lead)
+        kind[at] = kind[at + 1] = after.take(buffer[at + 1])
+    gaps = starts - 1  # the byte before each text, and the one behind the last
+    kind[gaps] = _EDGE
+    odd = (kind == _OTHER).astype(np.int32)
+    mark = np.flatnonzero((buffer[:-1] == 0x3C) & (buffer[1:] == 0x7C))  # "<|" may begin an added token
+    odd[mark] = 1
+    bad = np.add.reduceat(odd, gaps[:-1]) > 0
+    begin = np.r_[0, np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == _EDGE)) + 1]
+    end = np.r_[begin[1:], n]
+    kinds = kind[begin]
+    follows = np.r_[kinds[1:], _EDGE]
+    first = np.zeros(n, bool)
+    first[begin] = True
+    # the last character of white space that something follows: alone, or a space that joins it
+    white = np.flatnonzero((kinds == _WHITE) & (follows != _EDGE))
+    tail = end[white] - 1
+    first[tail] = True
+    first[end[white][buffer[tail] == 0x20]] = False
+    # contractions: a lone apostrophe that no space has joined, and the letters behind it
+    alone = np.flatnonzero((kinds == _MARK) & (follows == _LETTER) & (end - begin == 1) & (buffer[begin] == 0x27))
+    alone = alone[first[begin[alone]]]
+    if len(alone):
+        a = end[alone]
+        size = end[alone + 1] - a
+        x, y = buffer[a], buffer[np.minimum(a + 1, n - 1)]
+        single = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+        double = (size >= 2) & (((x == 0x72) & (y == 0x65)) | ((x == 0x76) & (y == 0x65)) | ((x == 0x6C) & (y == 0x6C)))
+        took = np.where(single, 1, np.where(double, 2, 0))
+        hit = took > 0
+        first[a[hit]] = False
+        rest = hit & (size > took)
+        first[a[rest] + took[rest]] = True
+    where = np.flatnonzero(first)
+    ends = np.r_[where[1:], n]
+    real = kind[where] != _EDGE
+    return where[real], ends[real], bad
+
+
 class PieceIds:
     """Ids by the tokenizers library, each distinct piece of a split text encoded once."""
 
@@ -244,48 +357,67 @@ class PieceIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.plain = regex.compile(r"[\t\n\r\x20-\x7e\xa0-\xff]*+")
-        self.splitter = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.first, self.size, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.number]
-        if not new:
-            return
-        if len(self.number) + len(new) > CACHE_PIECES:
-            self.forget()
-            new = list(pieces)
-        found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        base = len(self.number)
-        self.number.update(zip(new, range(base, base + len(new))))
-        size = np.array([len(f) for f in found], np.int64)
-        first = len(self.held) + np.cumsum(size) - size
+        self.index = HashIndex()
+        self.first, self.size, self.held, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint16), 0
+
+    def _append(self, found: list[list[int]]) -> None:
+        base, size = self.index.count, np.array([len(f) for f in found], np.int64)
         flat = _narrow([k for f in found for k in f])
-        self.first, self.size, self.held = np.r_[self.first, first], np.r_[self.size, size], np.r_[self.held, flat]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as ``encode(text, add_special_tokens=False)`` gives them."""
-        whole = [not self.plain.fullmatch(t) or any(m in t for m in self.marks) for t in texts]
-        split = [[] if w else self.splitter.findall(t) for t, w in zip(texts, whole)]
-        pieces: set[str] = set()
-        for s in split:
-            pieces.update(s)
-        self.learn(pieces)
-        out, number = [], self.number
-        for text, s, w in zip(texts, split, whole):
-            if w:
-                out.append(_narrow(self.library.encode(text, add_special_tokens=False).ids))
-                continue
-            k = np.array([number[p] for p in s], np.int64)
-            size = self.size[k]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(k) else 0
-            out.append(self.held[np.arange(total) + np.repeat(self.first[k] - (ends - size), size)])
+        while len(self.held) < self.used + len(flat):
+            self.held = np.r_[self.held, np.zeros_like(self.held)]
+        while len(self.first) < base + len(found):
+            self.first, self.size = np.r_[self.first, self.first], np.r_[self.size, self.size]
+        self.held[self.used : self.used + len(flat)] = flat
+        self.first[base : base + len(found)] = self.used + np.cumsum(size) - size
+        self.size[base : base + len(found)] = size
+        self.used += len(flat)
+
+    def numbers(self, buffer: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each piece; new pieces are encoded."""
+        hashes = hash_spans(buffer, first, end)
+        out = self.index.get(hashes)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            if self.index.count + len(new) > CACHE_PIECES and self.index.count:
+                self.forget()
+                return self.numbers(buffer, first, end)
+            once, at = np.unique(hashes[new], return_index=True)
+            at = new[at]
+            data = buffer.tobytes()
+            texts = [data[a:b].decode() for a, b in zip(first[at].tolist(), end[at].tolist())]
+            found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            base = self.index.count
+            self._append(found)
+            self.index.put(once, np.arange(base, base + len(once), dtype=np.int32))
+            out[new] = self.index.get(hashes[new])
+        return out
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a column, as ``encode(text, add_special_tokens=False)`` gives them."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint16)] * (len(at) - 1)
+        whole = np.flatnonzero(np.diff(at) > PIECE_BYTES).tolist()
+        long = set(whole)
+        for rows, starts, buffer in pieces(raw, at):
+            first, end, bad = split_bytes(buffer, starts)
+            if bad.any():
+                whole += rows[bad].tolist()
+                text = np.searchsorted(starts, first, "right") - 1
+                good = ~bad[text]
+                first, end = first[good], end[good]
+            if len(first):
+                k = self.numbers(buffer, first, end)
+                size = self.size.take(k)
+                ends = np.cumsum(size)
+                ids = self.held.take(np.arange(ends[-1]) + np.repeat(self.first.take(k) - (ends - size), size))
+                bounds = np.r_[0, ends].take(np.searchsorted(first, starts))
+                for r, a, b in zip(rows.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    out[r] = ids[a:b]
+        data = raw.tobytes() if whole else b""
+        for r in set(whole) | long:
+            out[r] = _narrow(self.library.encode(data[at[r] : at[r + 1]].decode(), add_special_tokens=False).ids)
         return out
 
 
@@ -346,22 +478,14 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
 
         end = np.array([end_id], np.uint16)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            a = 0
-            while a < len(texts):
-                b, chars = a, 0
-                while b < len(texts) and chars < SLICE_CHARS:
-                    chars += len(texts[b])
-                    b += 1
-                for doc_id, found in zip(doc_ids[a:b], encoder.encode(texts[a:b])):
-                    ids.append(-(1 << 63) if doc_id is None else doc_id)
-                    parts.append(np.concatenate([found, end]))
-                    held += len(parts[-1])
-                    if held >= FRAME:
-                        close()
-                a = b
-                if sum(-(-len(s) // BLOCK) for *_, s in ready) >= LANES:
-                    yield coded()
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(*utf8_views(batch.column("text")))):
+                ids.append(-(1 << 63) if doc_id is None else doc_id)
+                parts.append(np.concatenate([found, end]))
+                held += len(parts[-1])
+                if held >= FRAME:
+                    close()
+            if sum(-(-len(s) // BLOCK) for *_, s in ready) >= LANES:
+                yield coded()
         close()
         if ready:
             yield coded()
