@@ -34,6 +34,7 @@ CLOSES_P = BLOCKS - frozenset("td th tr tbody thead tfoot body html".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners promo promotion sponsor sponsored sponsors sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion widget widgets toolbar pagination pager search skip hidden".split()
 )
+ARTICLE_WORDS = frozenset("article post entry content story title".split())
 NOISE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 
 #: What stands in an element of boilerplate is left out anyway, wherever it is;
@@ -57,9 +58,9 @@ def _noisy(name: str, attributes: str, in_article: bool) -> bool:
         return False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
-        if key in ("class", "id") and name not in ("body", "html", "article", "main"):
+        if key in ("class", "id") and name not in ("body", "html", "main"):
             words = _SPLIT.split(value)
-            if not NOISE_WORDS.isdisjoint(words) or ("header" in words and not in_article):
+            if not NOISE_WORDS.isdisjoint(words) or ("header" in words and not in_article and ARTICLE_WORDS.isdisjoint(words)):
                 return True
         elif key == "role" and value.strip() in NOISE_ROLES:
             return True

@@ -47,6 +47,15 @@ def test_page_without_article_by_priors():
     assert extract(PAGE, Weights()) == EXPECTED
 
 
+def test_nested_comments_and_article_headers():
+    page = """<main><article class="post"><header class="post-header"><h1>Head line</h1></header><p>Body words go here and on.</p>
+    <article class="comment"><p>Reader words, many of them, more than the body has, to be left out.</p></article><ol class=commentlist><li>And a reply</ol></article></main>
+    <div class="page-header">Site words</div>"""
+    assert extract(page, Weights()) == "Head line\nBody words go here and on."
+    soup = """<div class="header">Site name and slogan</div><div class="entry-header"><h1>Head line</h1></div><div>Body words go here and on.</div>"""
+    assert extract(soup, Weights()) == "Head line\nBody words go here and on."
+
+
 def test_weights_come_from_labelled_pages(spark):
     weights = train_weights(table(spark, SF, "pages"))
     assert weights.of("w:p") > 0 > weights.of("w:noise") and weights.of("<li") < 0
