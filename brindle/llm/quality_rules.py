@@ -126,7 +126,16 @@ def _distance(names: tuple[str, ...], references: dict, langs: list) -> Column:
 
 
 def judge(docs: DataFrame, references: dict, rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with counts, distances, base_failed and kept (columns of the same names are replaced)."""
+    """``docs`` with counts, distances, base_failed and kept (columns of the same names are replaced).
+
+    The rows pass a generator that gives each of them once: no later filter is
+    pushed through it, with a copy of all these expressions at every use.
+    """
+    judged = _judged(docs, references, rules)
+    return judged.select(F.inline(F.array(F.struct(*judged.columns))))
+
+
+def _judged(docs: DataFrame, references: dict, rules: Rules) -> DataFrame:
     keep = [c for c in docs.columns if c not in OUTPUT]
     # the given columns travel in a struct, so that none clashes with a feature
     read = [c for c in ("text", "lang") if c in docs.columns]
@@ -158,8 +167,8 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents of ``docs`` that the rules keep, with all their columns."""
     references = language_references(docs)
     held = docs.select(F.struct(*docs.columns).alias("_all"), *[c for c in ("text", "lang") if c in docs.columns])
-    judged = judge(held, references, rules)
-    # not a filter: that would be pushed down, with a copy of all expressions at every use
+    judged = _judged(held, references, rules)
+    # not a filter, for the reason that ``judge`` gives
     return judged.select(F.inline(F.when(F.col("kept"), F.array("_all"))))
 
 

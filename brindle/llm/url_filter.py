@@ -222,7 +222,9 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], model: Boosted) -> Dat
     out = out.withColumns({"_margin": model.margin(), "rule": rule_of(rules, lambda r: r.name)})
     learnt = F.when(F.col("_margin") > 0, F.lit("block")).otherwise(F.lit("allow"))
     out = out.withColumns({"verdict": F.coalesce(rule_of(rules, lambda r: r.verdict), learnt), "score": 1 / (1 + F.exp(-F.col("_margin")))})
-    return out.select("_row.*", "host", "path", "rule", "verdict", "score")
+    judged = out.select("_row.*", "host", "path", "rule", "verdict", "score")
+    # through a generator that gives each row once: a later filter isn't pushed below it with copies of all trees
+    return judged.select(F.inline(F.array(F.struct(*judged.columns))))
 
 
 def labelled_by_rules(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
