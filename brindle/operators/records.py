@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators.sorting import numbered
+
 TID = "tid"
 #: Bits of a tuple id below the file's number.
 ROW_BITS = 40
@@ -56,15 +58,16 @@ def lookup(records: DataFrame, tid: int):
 def insert(records: DataFrame, new: DataFrame) -> DataFrame:
     """``records`` and new rows, with fresh tuple ids where records have them.
 
-    Fresh ids go on from the largest one, so they are new even after deletions
-    of other rows; the order among new rows is that of their columns' values.
+    Fresh ids go on from the largest one without gaps, so they are new even
+    after deletions of other rows; new rows are numbered in order of a hash of
+    their values, the same on every run.
     """
     if TID not in records.columns:
         return records.unionByName(new)
-    start = records.agg(F.coalesce(F.max(TID), F.lit(-1)).alias("m")).first()["m"] + 1
+    last = records.agg(F.coalesce(F.max(TID), F.lit(-1)).alias("m")).first()["m"]
     plain = [c for c in records.columns if c != TID]
-    fresh = new.select(*plain).withColumn(TID, F.lit(start) + F.monotonically_increasing_id())
-    return records.unionByName(fresh)
+    fresh = numbered(new.select(*plain), F.xxhash64(*plain), name=TID)
+    return records.unionByName(fresh.withColumn(TID, F.col(TID) + last).select(*records.columns))
 
 
 def update(records: DataFrame, changes: DataFrame) -> DataFrame:

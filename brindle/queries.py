@@ -231,7 +231,7 @@ def record_update_where(spark, sf_dir):
 @query("SELECT r_regionkey, r_name, row_number() OVER () - 1 AS tid FROM region UNION ALL SELECT CAST(5 AS INTEGER), 'ATLANTIS', CAST(5 AS BIGINT)")
 def record_insert(spark, sf_dir):
     new = values(spark, [(5, "ATLANTIS")], "r_regionkey int, r_name string")
-    return records.insert(records.scan_records(spark, f"{sf_dir}/region.parquet"), new.coalesce(1))
+    return records.insert(records.scan_records(spark, f"{sf_dir}/region.parquet"), new)
 
 
 @query("SELECT s_suppkey, concat('Field 0: (Integer) ', s_suppkey, chr(10), 'Field 1: (String) ', s_name, chr(10), 'Field 2: (Integer) ', s_nationkey) AS line FROM supplier")

@@ -27,7 +27,7 @@ def test_records_follow_a_model(spark, tmp_path):
         held = records.remove(held, spark.createDataFrame([(k,) for k in gone], "tid long"))
         held = records.update(held, spark.createDataFrame(list(changed.items()), "tid long, payload string"))
         new = [rng.choice(texts) for _ in range(10)]
-        held = records.insert(held, spark.createDataFrame([(x,) for x in new], "payload string").coalesce(1))
+        held = records.insert(held, spark.createDataFrame([(x,) for x in new], "payload string"))
         held = records.rewrite(held, str(tmp_path / f"v{step + 1}"))
         for k in gone:
             del model[k]
