@@ -8,9 +8,9 @@ carries a CRC-32 of its ids.
 A block is coded id by id.  Three predictions compete: the id that followed the
 last two ids before (order 2), the one that followed the last id (order 1), and
 the latest id with the same low byte (order 0, named by that byte).  Which of
-them is right, if any, is a symbol of four; its frequencies mix three adaptive
-models (by the confidence of the orders 2 and 1, by the last two symbols, and
-without context), weighted by how well each has done in the block.  A range
+them is right, if any, is a symbol of four; its frequencies mix two adaptive
+models (by the confidence of the orders 2 and 1, and without context), weighted
+by how well each has done in the block.  A range
 coder codes symbol, low byte or whole id.  All arithmetic is on integers, so
 that any machine decodes what another has coded.
 
@@ -20,6 +20,7 @@ k of the arrays is block k.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from functools import lru_cache
@@ -40,7 +41,7 @@ CACHE_PIECES = 2_000_000
 
 _TOP, _LEAST = np.uint64(1 << 48), np.uint64(1 << 32)
 _MASK = np.uint64((1 << 32) - 1)
-_SLOTS_BITS = 10
+_SLOTS_BITS = 8
 #: Bits that follow each symbol: order 2, order 1, order 0 (a low byte), none (an id).
 _TAIL = np.array([0, 0, 8, 16], np.uint64)
 
@@ -58,7 +59,9 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
     at = at_all = np.zeros(n, np.int64)
     if encode:
         out = np.zeros((n, 2 * steps + 16), np.uint16)
+        stream, row_words = out.reshape(-1), lane_all * out.shape[1]
     else:
+        stream, row_words = words.reshape(-1), lane_all * words.shape[1]
         out = np.zeros((n, steps), np.uint16)
         code = np.zeros(n, np.uint64)
         for _ in range(4):
@@ -70,11 +73,11 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
     zeroth = np.zeros(n * 256, np.uint16)
     # rows of four frequencies; whole rows are put back through a view of 16-byte items
     mix0 = np.full((n, 4), 1024, np.int32)
-    mix1, mix2 = np.full((n * 16, 4), 1024, np.int32), np.full((n * 16, 4), 1024, np.int32)
-    rows1, rows2 = (m.view(np.complex128).ravel() for m in (mix1, mix2))
-    good = np.full((3, n), 1024, np.int32)
-    last, before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-    recent = np.zeros(n, np.int64)  # the last two symbols
+    mix1 = np.full((n * 16, 4), 1024, np.int32)
+    rows1 = mix1.view(np.complex128).ravel()
+    good = np.full((2, n), 1024, np.int32)
+    # the last id, and the one before it as the hash of order 2 takes it
+    last, turned = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     row_slots, row_bytes, row_mix, row_four = lane_all * slots, lane_all * 256, lane_all * 16, lane_all * 4
     cum = np.zeros((n, 4), np.int32)
     raised = np.eye(4, dtype=np.int32) * 128
@@ -92,19 +95,18 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
             low, span, at = low[:a], span[:a], at[:a]
             if not encode:
                 code = code[:a]
-            mix0, good, last, before, recent, cum = mix0[:a], good[:, :a], last[:a], before[:a], recent[:a], cum[:a]
-        h1 = row_slots + ((last * np.uint32(0x9E3779B1)) >> shift)
-        h2 = row_slots + (((last * np.uint32(0x85EBCA6B)) ^ (before * np.uint32(0xC2B2AE35)) ^ (before >> three)) >> shift)
+            mix0, good, last, turned, cum = mix0[:a], good[:, :a], last[:a], turned[:a], cum[:a]
+        spread = last * np.uint32(0x9E3779B1)
+        h1 = row_slots + (spread >> shift)
+        h2 = row_slots + ((spread ^ turned) >> shift)
         e1, e2 = first.take(h1), second.take(h2)
         p1, p2 = e1 >> two, e2 >> two
         c1, c2 = e1 & three, e2 & three
-        k1 = row_mix + recent
-        k2 = row_mix + ((c2 << two) | c1)
-        m1, m2 = mix1.take(k1, 0), mix2.take(k2, 0)
+        k1 = row_mix + ((c2 << two) | c1)
+        m1 = mix1.take(k1, 0)
         weight = (good >> 7) + 1
         f = mix0 * weight[0][:, None]
         f += m1 * weight[1][:, None]
-        f += m2 * weight[2][:, None]
         f += 1
         f0, f1, f2 = f[:, 0], f[:, 1], f[:, 2]
         b2 = f0 + f1
@@ -146,26 +148,25 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
                 sp = np.where(cut, (~lo + np.uint64(1)) & _MASK, sp)
             place = at.take(todo)
             if encode:
-                out[todo, place] = (lo >> np.uint64(48)).astype(np.uint16)
-            else:
-                code[todo] = (code.take(todo) << np.uint64(16)) | words[todo, np.minimum(place, words.shape[1] - 1)].astype(np.uint64)
+                stream[row_words.take(todo) + place] = lo >> np.uint64(48)
+            else:  # of a damaged block anything may be read: its checksum tells
+                code[todo] = (code.take(todo) << np.uint64(16)) | stream.take(row_words.take(todo) + place, mode="clip")
             at[todo] = place + 1
             lo, sp = lo << np.uint64(16), sp << np.uint64(16)
             low[todo], span[todo] = lo, sp
             todo = todo[((lo ^ (lo + sp)) < _TOP) | (sp < _LEAST)]
         # learn
         up = raised.take(s, 0)
-        for k, m in enumerate((mix0, m1, m2)):
+        for k, m in enumerate((mix0, m1)):
             good[k] += (m.reshape(-1).take(pick) - good[k]) >> 4
             m -= m >> 5
             m += up
-        rows1[k1], rows2[k2] = m1.view(np.complex128).ravel(), m2.view(np.complex128).ravel()
+        rows1[k1] = m1.view(np.complex128).ravel()
         x2 = x << two
         first[h1] = np.where(x == p1, x2 | np.minimum(c1 + one, three), x2)
         second[h2] = np.where(x == p2, x2 | np.minimum(c2 + one, three), x2)
         zeroth[slot] = x
-        before, last = last, x
-        recent[:] = ((recent << 2) | s) & 15
+        turned, last = (last * np.uint32(0x85EBCA6B)) ^ (last >> three), x
     if encode:
         _finish(out, at, low, 0)
         return out, at_all
@@ -352,6 +353,8 @@ class PieceIds:
     """Ids by the tokenizers library, each distinct piece of a split text encoded once."""
 
     def __init__(self, path: str):
+        # a task has one core; the library's threads would only get in each other's way
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
