@@ -76,6 +76,7 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
     mix1 = np.full((n * 16, 4), 1024, np.int32)
     rows1 = mix1.view(np.complex128).ravel()
     good = np.full((2, n), 1024, np.int32)
+    weight = (good >> 7) + 1
     # the last id, and the one before it as the hash of order 2 takes it
     last, turned = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     row_slots, row_bytes, row_mix, row_four = lane_all * slots, lane_all * 256, lane_all * 16, lane_all * 4
@@ -95,7 +96,7 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
             low, span, at = low[:a], span[:a], at[:a]
             if not encode:
                 code = code[:a]
-            mix0, good, last, turned, cum = mix0[:a], good[:, :a], last[:a], turned[:a], cum[:a]
+            mix0, good, weight, last, turned, cum = mix0[:a], good[:, :a], weight[:, :a], last[:a], turned[:a], cum[:a]
         spread = last * np.uint32(0x9E3779B1)
         h1 = row_slots + (spread >> shift)
         h2 = row_slots + ((spread ^ turned) >> shift)
@@ -104,7 +105,6 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
         c1, c2 = e1 & three, e2 & three
         k1 = row_mix + ((c2 << two) | c1)
         m1 = mix1.take(k1, 0)
-        weight = (good >> 7) + 1
         f = mix0 * weight[0][:, None]
         f += m1 * weight[1][:, None]
         f += 1
@@ -157,8 +157,11 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
             todo = todo[((lo ^ (lo + sp)) < _TOP) | (sp < _LEAST)]
         # learn
         up = raised.take(s, 0)
-        for k, m in enumerate((mix0, m1)):
-            good[k] += (m.reshape(-1).take(pick) - good[k]) >> 4
+        if not t & 3:  # every fourth id sets the weights
+            for k, m in enumerate((mix0, m1)):
+                good[k] += (m.reshape(-1).take(pick) - good[k]) >> 3
+            weight = (good >> 7) + 1
+        for m in (mix0, m1):
             m -= m >> 5
             m += up
         rows1[k1] = m1.view(np.complex128).ravel()
