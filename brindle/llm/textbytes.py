@@ -8,6 +8,7 @@ whole texts are processed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,14 @@ def utf8_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
+def relax() -> None:
+    """Give freed memory back to the system: a worker serves many tasks, and others share its machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser, element by element (wraps)."""
     x = x.astype(np.uint64)

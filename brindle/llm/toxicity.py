@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from brindle.llm.labelled import TRAIN_ROWS, score_documents, train
 from brindle.llm.subword import Model, Settings
-from brindle.llm.textbytes import utf8_views
+from brindle.llm.textbytes import relax, utf8_views
 
 SETTINGS = Settings(keep="word", lower=True, window_words=48, epochs=10, target=0.5, goal="accuracy", least_texts=3, prior=100.0)
 
@@ -40,5 +40,6 @@ def without_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
         fitted = shared.value
         for batch in batches:
             yield batch.filter(pa.array(fitted.scores(*utf8_views(batch.column("text"))) < cut))
+        relax()
 
     return docs.mapInArrow(run, docs.schema)
