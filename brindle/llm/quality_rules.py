@@ -9,8 +9,10 @@ text with those of its language, by Jensen-Shannon distance (0 to 1):
 * the commonest words of the language, and all other words.
 
 References are summed over all documents of a language (all documents for
-languages without a word list), so they are at most five rows.  Either distance
-counts only for texts long enough for it.
+languages without a word list), so they are at most five rows.  Each distinct
+text counts once there, so that a group of copies is no reference; the registered
+query counts every row, as its SQL does.  Either distance counts only for texts
+long enough for it.
 
 Everything is DataFrame functions: one pass sums the references, the next one
 judges.  Null and empty texts have no words and fail the base rules; an unknown
@@ -93,14 +95,18 @@ def light_features(docs: DataFrame) -> DataFrame:
     return out.withColumns({"plain": F.greatest(plain - F.col("wide"), F.lit(0)).cast("long"), "word_rest": rest.cast("long")})
 
 
-def language_references(docs: DataFrame) -> dict[str | None, dict[str, float]]:
+def language_references(docs: DataFrame, once: bool = True) -> dict[str | None, dict[str, float]]:
     """Shares of all classes and words per language; None: all documents.
 
+    With ``once``, equal texts of a language (by 64-bit hash) count as one.
     At most one row per language of ``COMMON`` and one for the others comes to
     the driver.
     """
     columns = [*CLASSES, *WORDS]
-    rows = light_features(docs.select(*[c for c in ("text", "lang") if c in docs.columns])).groupBy("_lang").agg(*[F.sum(c).alias(c) for c in columns]).collect()
+    held = light_features(docs.select(*[c for c in ("text", "lang") if c in docs.columns]))
+    if once:
+        held = held.groupBy("_lang", F.xxhash64("_t").alias("_h")).agg(*[F.max(c).alias(c) for c in columns])
+    rows = held.groupBy("_lang").agg(*[F.sum(c).alias(c) for c in columns]).collect()
     sums = {r["_lang"]: {c: r[c] or 0 for c in columns} for r in rows}
     sums[None] = {c: sum(s[c] for s in sums.values()) for c in columns}
     share = lambda s, names: {c: s[c] / total if (total := sum(s[n] for n in names)) else 0.0 for c in names}

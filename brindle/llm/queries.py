@@ -65,7 +65,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.quality_rules import judge, language_references
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    judged = judge(docs, language_references(docs))
+    judged = judge(docs, language_references(docs, once=False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -58,6 +58,15 @@ def test_distance_is_jensen_shannon(spark, documents):
     assert row["char_distance"] == pytest.approx(math.sqrt(jsd))
 
 
+def test_copies_of_one_text_are_no_reference(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").limit(300)
+    junk = " ".join(f"#{k} $%& *|<> {k * k}" for k in range(150))
+    copies = spark.range(5000, 5300).select(*[(F.col("id") if c == "doc_id" else F.lit(junk) if c == "text" else F.lit("en") if c == "lang" else F.lit(None).cast(t)).alias(c) for c, t in docs.dtypes])
+    alone = {r["doc_id"] for r in q.keep_good(docs).collect()}
+    beside = {r["doc_id"] for r in q.keep_good(docs.unionByName(copies)).collect()}
+    assert len(alone) > 100 and len(alone ^ beside) <= 0.02 * len(alone)
+
+
 def test_quality_edge_cases(spark, documents):
     empty = documents([])
     assert q.keep_good(empty).count() == 0 and q.keep_good(empty).columns == empty.columns
