@@ -9,6 +9,11 @@ windows and its slots agree: one value of an item's slot stands for one value
 of the document's, and the other way round.  A re-parameterised question is
 caught that way, and prose that only shares placeholders is not.
 
+Beside the templates, windows of ``EXACT`` lower-cased words as they stand are
+joined too, so that a verbatim copy is found whatever its case and whatever
+its words are made of.  An item of at most ``EXACT`` words, or without a window of
+enough words that are no numbers, is looked for as a whole.
+
 The benchmark's windows are sent to all tasks in blocks of at most
 ``BLOCK_WINDOWS``; a larger benchmark takes several passes over the documents.
 
@@ -32,6 +37,8 @@ from brindle.llm.textbytes import class_table, hash_spans, pieces, splitmix, utf
 
 #: Canonical words of a window, and how many of them must be no placeholders.
 WINDOW, LEAST_PLAIN = 5, 3
+#: Words of an exact window.
+EXACT = 8
 #: Items with fewer canonical words can't be told from chance.
 LEAST_WORDS = 3
 #: Share of an item's windows that an alignment covers, and of its slots that agree.
@@ -64,23 +71,29 @@ _UNIT_HASHES = np.sort(_hashes(UNITS))
 
 @dataclass
 class Template:
-    """Canonical words of a text: hash, hash of what was there, kind, number of the word."""
+    """Canonical words of a text: hash, hash of what was there, kind, number of the word.
+
+    words, number: hash of every lower-cased word, and whether it is a number.
+    """
 
     canon: np.ndarray
     raw: np.ndarray
     kind: np.ndarray
     word: np.ndarray
+    words: np.ndarray
+    number: np.ndarray
 
     @staticmethod
     def join(parts: list[Template]) -> Template:
         if len(parts) == 1:
             return parts[0]
-        shift = np.cumsum([0, *[int(p.word[-1]) + 1 if len(p.word) else 0 for p in parts[:-1]]])
-        return Template(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("canon", "raw", "kind")), np.concatenate([p.word + k for p, k in zip(parts, shift)]))
+        shift = np.cumsum([0, *[len(p.words) for p in parts[:-1]]])
+        whole = {c: np.concatenate([getattr(p, c) for p in parts]) for c in ("canon", "raw", "kind", "words", "number")}
+        return Template(word=np.concatenate([p.word + k for p, k in zip(parts, shift)]), **whole)
 
 
-def canonical(buffer: np.ndarray, starts: np.ndarray) -> tuple[Template, np.ndarray]:
-    """(template of all texts of a piece, bounds of each text in it)."""
+def canonical(buffer: np.ndarray, starts: np.ndarray) -> tuple[Template, np.ndarray, np.ndarray]:
+    """(template of all texts of a piece, bounds of each text in its canonical words, and in its words)."""
     mapped = _WORDS[buffer]
     # lower case: A-Z, and the capitals of U+00C0 to U+00DE
     after_c3 = np.r_[False, buffer[:-1] == 0xC3]
@@ -93,7 +106,7 @@ def canonical(buffer: np.ndarray, starts: np.ndarray) -> tuple[Template, np.ndar
     bounds = np.searchsorted(first, starts)
     if not len(first):
         none = np.zeros(0, np.uint64)
-        return Template(none, none, np.zeros(0, np.int8), np.zeros(0, np.int64)), bounds
+        return Template(none, none, np.zeros(0, np.int8), np.zeros(0, np.int64), none, np.zeros(0, bool)), bounds, bounds
     raw = hash_spans(low, first, last)
     text = np.searchsorted(starts, first, "right") - 1
     lead = np.r_[True, text[1:] != text[:-1]]
@@ -120,7 +133,7 @@ def canonical(buffer: np.ndarray, starts: np.ndarray) -> tuple[Template, np.ndar
     canon = np.where(kind == PLAIN, raw, _SLOT[kind])
     word = np.arange(len(first)) - bounds[:-1][text]
     kept_before = np.r_[0, np.cumsum(keep)]
-    return Template(canon[keep], raw[keep], kind[keep], word[keep]), kept_before[bounds]
+    return Template(canon[keep], raw[keep], kind[keep], word[keep], raw, number), kept_before[bounds], bounds
 
 
 def templates(raw: np.ndarray, at: np.ndarray):
@@ -128,29 +141,59 @@ def templates(raw: np.ndarray, at: np.ndarray):
     held: list[Template] = []
     holder = -1
     for rows, starts, buffer in pieces(raw, at):
-        whole, bounds = canonical(buffer, starts)
+        whole, bounds, word_bounds = canonical(buffer, starts)
         for k, row in enumerate(rows.tolist()):
             a, b = bounds[k], bounds[k + 1]
+            u, v = word_bounds[k], word_bounds[k + 1]
             if row != holder:
                 if holder >= 0:
                     yield holder, Template.join(held)
                 held, holder = [], row
-            held.append(Template(whole.canon[a:b], whole.raw[a:b], whole.kind[a:b], whole.word[a:b]))
+            held.append(Template(whole.canon[a:b], whole.raw[a:b], whole.kind[a:b], whole.word[a:b], whole.words[u:v], whole.number[u:v]))
     if holder >= 0:
         yield holder, Template.join(held)
 
 
 def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(first place, hash) of the windows with enough plain words."""
-    n = len(t.canon) - size + 1
-    if n <= 0:
+    if len(t.canon) < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    good = _plain_places(t.kind == PLAIN, size)
+    return good, _window_hashes(t.canon, size)[good]
+
+
+def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    n = max(0, len(words) - size + 1)
     value = np.zeros(n, np.uint64)
     for k in range(size):
-        value += t.canon[k : n + k] * _FACTORS[k]
-    plain = np.r_[0, np.cumsum(t.kind == PLAIN)]
-    good = np.flatnonzero(plain[size:] - plain[:-size] >= min(LEAST_PLAIN, size))
-    return good, splitmix(value[good] + np.uint64(size))
+        value += words[k : n + k] * _FACTORS[k]
+    return splitmix(value + np.uint64(size))
+
+
+def _plain_places(plain: np.ndarray, size: int) -> np.ndarray:
+    """First places of the windows with enough plain words."""
+    before = np.r_[0, np.cumsum(plain)]
+    return np.flatnonzero(before[size:] - before[:-size] >= min(LEAST_PLAIN, size))
+
+
+def _lookup(parts: list[tuple[int, np.ndarray, np.ndarray]]):
+    """(hash, item, place, map of leading bits) of windows in order of hash."""
+    item = np.concatenate([np.full(len(p), k) for k, p, _ in parts])
+    place, value = (np.concatenate([x[c] for x in parts]) for c in (1, 2))
+    order = np.argsort(value, kind="stable")
+    maybe = np.zeros(1 << 20, bool)
+    maybe[(value >> np.uint64(44)).astype(np.int64)] = True
+    return value[order], item[order], place[order], maybe
+
+
+def _equal(held, here: np.ndarray, hashed: np.ndarray):
+    """(item, place in the text, place in the item) of equal windows."""
+    value, item, place, maybe = held
+    some = np.flatnonzero(maybe[(hashed >> np.uint64(44)).astype(np.int64)])
+    a = np.searchsorted(value, hashed[some], "left")
+    count = np.searchsorted(value, hashed[some], "right") - a
+    at = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return item[at], np.repeat(here[some], count), place[at]
 
 
 class BenchmarkIndex:
@@ -160,41 +203,58 @@ class BenchmarkIndex:
         self.ids = [i for i, _ in items]
         self.templates = [t for _, t in items]
         self.total: list[int] = []
-        found = defaultdict(list)
+        self.whole: list[bool] = []
+        found, exact = defaultdict(list), defaultdict(list)
         for k, t in enumerate(self.templates):
             size = min(WINDOW, len(t.canon))
             place, value = windows(t, size) if size >= LEAST_WORDS else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
             self.total.append(len(place))
-            found[size].append((np.full(len(place), k), place, value))
-        self.sizes = {}
-        for size, parts in found.items():
-            item, place, value = (np.concatenate(x) for x in zip(*parts))
-            if not len(value):
-                continue
-            order = np.argsort(value, kind="stable")
-            maybe = np.zeros(1 << 20, bool)
-            maybe[(value >> np.uint64(44)).astype(np.int64)] = True
-            self.sizes[size] = (value[order], item[order], place[order], maybe)
+            found[size].append((k, place, value))
+            size = min(EXACT, len(t.words))
+            place = _plain_places(~t.number, size) if len(t.words) > EXACT else np.zeros(0, np.int64)
+            self.whole.append(not len(place))
+            if len(t.canon) >= LEAST_WORDS:
+                place = place if len(place) else np.zeros(1, np.int64)
+                exact[size].append((k, place, _window_hashes(t.words, size)[place]))
+        self.sizes = {size: _lookup(parts) for size, parts in found.items() if sum(len(p) for _, p, _ in parts)}
+        self.exact = {size: _lookup(parts) for size, parts in exact.items()}
 
     def hits(self, t: Template) -> dict[int, list[tuple[int, int]]]:
-        """Per item number: (place in the text, place in the item) of equal windows."""
+        """Per item number: (place in the text, place in the item) of equal template windows."""
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for size, (value, item, place, maybe) in self.sizes.items():
-            here, hashed = windows(t, size)
-            some = np.flatnonzero(maybe[(hashed >> np.uint64(44)).astype(np.int64)])
-            if not len(some):
+        for size, held in self.sizes.items():
+            for k, d, p in zip(*(x.tolist() for x in _equal(held, *windows(t, size)))):
+                out[k].append((d, p))
+        return out
+
+    def verbatim(self, t: Template) -> dict[int, dict]:
+        """Per item number: the leak that equal words show by themselves."""
+        pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for size, held in self.exact.items():
+            hashed = _window_hashes(t.words, size)
+            for k, d, p in zip(*(x.tolist() for x in _equal(held, np.arange(len(hashed)), hashed))):
+                pairs[k].append((d, p))
+        out = {}
+        for k, found in pairs.items():
+            words = self.templates[k].words
+            if self.whole[k]:
+                first = next((d for d, _ in found if np.array_equal(t.words[d : d + len(words)], words)), None)
+                if first is not None:
+                    out[k] = {"cover": 1.0, "agree": 1.0, "first_word": first}
                 continue
-            a = np.searchsorted(value, hashed[some], "left")
-            b = np.searchsorted(value, hashed[some], "right")
-            for k in np.flatnonzero(b > a).tolist():
-                for x in range(a[k], b[k]):
-                    out[int(item[x])].append((int(here[some[k]]), int(place[x])))
+            lines = defaultdict(set)
+            for d, p in found:
+                lines[d - p].update(range(p, p + EXACT))
+            best = max(sorted(lines), key=lambda x: len(lines[x]))
+            cover = len(lines[best]) / len(words)
+            if cover >= LEAST_COVER:
+                out[k] = {"cover": cover, "agree": 1.0, "first_word": best + min(lines[best])}
         return out
 
     def leaks(self, t: Template) -> list[dict]:
-        """Alignments of a text that are leaks, by item."""
-        out = []
-        for k, pairs in sorted(self.hits(t).items()):
+        """Alignments of a text that are leaks, by item: of templates, or else of equal words."""
+        out = self.verbatim(t)
+        for k, pairs in self.hits(t).items():
             if len({p for _, p in pairs}) < LEAST_COVER * self.total[k]:
                 continue
             diagonals = Counter(d - p for d, p in pairs)
@@ -203,8 +263,8 @@ class BenchmarkIndex:
             cover = len({p for _, p in near}) / self.total[k]
             agree = self.agreement(t, self.templates[k], near)
             if cover >= LEAST_COVER and agree >= LEAST_AGREE:
-                out.append({"item_id": self.ids[k], "cover": cover, "agree": agree, "first_word": int(t.word[min(d for d, _ in near)])})
-        return out
+                out[k] = {"cover": cover, "agree": agree, "first_word": int(t.word[min(d for d, _ in near)])}
+        return [{"item_id": self.ids[k], **found} for k, found in sorted(out.items())]
 
     @staticmethod
     def agreement(t: Template, item: Template, near: list[tuple[int, int]]) -> float:
@@ -225,18 +285,18 @@ class BenchmarkIndex:
 
 
 def benchmark_blocks(benchmark: DataFrame, most: int = BLOCK_WINDOWS):
-    """Yield indexes over the items, in blocks of at most ``most`` canonical words (one item at least)."""
+    """Yield indexes over the items, in blocks of at most ``most`` words and canonical words (one item at least)."""
     items, held = [], 0
     rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id", "text")
     for r in rows.toLocalIterator():
         data = r["text"].encode()
         found = list(templates(np.frombuffer(data, np.uint8), np.array([0, len(data)])))
         t = found[0][1]
-        if items and held + len(t.canon) > most:
+        if items and held + len(t.canon) + len(t.words) > most:
             yield BenchmarkIndex(items)
             items, held = [], 0
         items.append((int(r["item_id"]), t))
-        held += len(t.canon)
+        held += len(t.canon) + len(t.words)
     if items:
         yield BenchmarkIndex(items)
 

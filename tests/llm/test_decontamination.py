@@ -60,6 +60,13 @@ def test_reparameterised_questions_are_caught():
     assert leaks("The farmer has apples. He buys pears from Anna. How much is it?") == []
 
 
+@pytest.mark.parametrize("item", ["What is 12 + 34?", "Who was Marie Curie?", "Where is Mount Everest?", "Who wrote War and Peace?", "Add 1 2 3 4 5 6 7 8 9 10 11 12", QUESTION])
+def test_verbatim_copies_are_found_in_any_case_and_place(item):
+    for text in (item, item.lower(), item.upper(), "some words " + item, "Some. " + item.lower() + " and more"):
+        assert [(x["item_id"], x["cover"] >= 0.5) for x in leaks(text, item)] == [(7, True)], text
+    assert leaks("some words about 12 and 34, and who was there, and the Curie family", item) == []
+
+
 def test_inconsistent_slots_are_no_leak():
     item = "then Tom met Anna and Tom gave Anna a book while Tom told Anna about it and Tom left Anna there"
     same = "then Max met Eve and Max gave Eve a book while Max told Eve about it and Max left Eve there"
