@@ -4,8 +4,8 @@ Texts are canonicalised to templates: numbers become one placeholder, units
 after a number another, and runs of capitalised words inside a sentence a third
 (names).  Windows of canonical words are hashed; a document's windows are
 hash-joined with those of the benchmark.  Hits of one item that lie on one
-diagonal are an alignment; it is a leak when it covers enough of the item's
-windows and its slots agree: one value of an item's slot stands for one value
+diagonal are an alignment; any of them is a leak that covers enough of the item's
+windows and whose slots agree: one value of an item's slot stands for one value
 of the document's, and the other way round.  A re-parameterised question is
 caught that way, and prose that only shares placeholders is not.
 
@@ -257,15 +257,34 @@ class BenchmarkIndex:
         for k, pairs in self.hits(t).items():
             if len({p for _, p in pairs}) < LEAST_COVER * self.total[k]:
                 continue
-            diagonals = Counter(d - p for d, p in pairs)
-            best = max(sorted(diagonals), key=lambda x: sum(diagonals.get(x + s, 0) for s in range(-BAND, BAND + 1)))
-            near = [(d, p) for d, p in pairs if abs(d - p - best) <= BAND]
-            cover = len({p for _, p in near}) / self.total[k]
-            agree = self.agreement(t, self.templates[k], near)
-            if cover >= LEAST_COVER and agree >= LEAST_AGREE:
-                out[k] = {"cover": cover, "agree": agree, "first_word": int(t.word[min(d for d, _ in near)])}
+            if found := self.aligned(t, k, np.array(pairs)):
+                out[k] = found
         return [{"item_id": self.ids[k], **found} for k, found in sorted(out.items())]
 
+    def aligned(self, t: Template, k: int, pairs: np.ndarray) -> dict | None:
+        """The first leak among the diagonal bands of an item's hits, those of most hits first."""
+        pairs = pairs[np.argsort(pairs[:, 0] - pairs[:, 1], kind="stable")]
+        diagonal = pairs[:, 0] - pairs[:, 1]
+        middle = np.unique(diagonal)
+        a, b = np.searchsorted(diagonal, middle - BAND, "left"), np.searchsorted(diagonal, middle + BAND, "right")
+        for x in np.argsort(a - b, kind="stable").tolist():
+            if b[x] - a[x] < LEAST_COVER * self.total[k]:
+                return None
+            near = pairs[a[x] : b[x]]
+            if found := self.judged(t, k, near):
+                return found
+        return None
+
+    def judged(self, t: Template, k: int, near: np.ndarray) -> dict | None:
+        """The leak that hits of one alignment are, if they cover enough and their slots agree."""
+        cover = len(np.unique(near[:, 1])) / self.total[k]
+        if cover < LEAST_COVER:
+            return None
+        agree = self.agreement(t, self.templates[k], near.tolist())
+        if agree < LEAST_AGREE:
+            return None
+        return {"cover": cover, "agree": agree, "first_word": int(t.word[near[:, 0].min()])}
+
     @staticmethod
     def agreement(t: Template, item: Template, near: list[tuple[int, int]]) -> float:
         """Share of the aligned slots whose values map one to one; 1 without slots."""

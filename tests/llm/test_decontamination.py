@@ -75,6 +75,17 @@ def test_inconsistent_slots_are_no_leak():
     assert leaks("so " + mixed, "so " + item) == []
 
 
+def test_every_alignment_is_judged():
+    item = "so then Tom met Anna and Tom gave Anna a book while Tom told Anna about it and Tom left Anna there"
+    mixed = "so then Max met Eve and Eva gave Ron a book while Tim told Max about it and Eve left Joe there"
+    other = item.replace("Tom", "Max").replace("Anna", "Eve")
+    found = leaks(f"{mixed} {mixed} {other}", item)
+    assert [(x["item_id"], x["cover"], x["first_word"]) for x in found] == [(7, 1.0, 44)]
+    # one window less than the decoy
+    assert [x["item_id"] for x in leaks(f"{mixed} and {other.removesuffix(' there')}", item)] == [7]
+    assert leaks(f"{mixed} {mixed} {mixed}", item) == []
+
+
 def test_query_finds_every_passage_and_nothing_else(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
