@@ -7,11 +7,12 @@ hash-joined with those of the benchmark.  Hits of one item that lie on one
 diagonal are an alignment; any of them is a leak that covers enough of the item's
 windows and whose slots agree: one value of an item's slot stands for one value
 of the document's, and the other way round.  A re-parameterised question is
-caught that way, and prose that only shares placeholders is not.
+caught that way, and prose that only shares placeholders is not.  Alignments of at
+least ``EXACT`` canonical words that lie in the item's order add up.
 
 Beside the templates, windows of ``EXACT`` lower-cased words as they stand are
 joined too, so that a verbatim copy is found whatever its case and whatever
-its words are made of.  An item of at most ``EXACT`` words, or without a window of
+its words are made of; one such window is a leak, however long the item.  An item of at most ``EXACT`` words, or without a window of
 enough words that are no numbers, is looked for as a whole.
 
 The benchmark's windows are sent to all tasks in blocks of at most
@@ -242,13 +243,8 @@ class BenchmarkIndex:
                 if first is not None:
                     out[k] = {"cover": 1.0, "agree": 1.0, "first_word": first}
                 continue
-            lines = defaultdict(set)
-            for d, p in found:
-                lines[d - p].update(range(p, p + EXACT))
-            best = max(sorted(lines), key=lambda x: len(lines[x]))
-            cover = len(lines[best]) / len(words)
-            if cover >= LEAST_COVER:
-                out[k] = {"cover": cover, "agree": 1.0, "first_word": best + min(lines[best])}
+            covered = {q for _, p in found for q in range(p, p + EXACT)}
+            out[k] = {"cover": len(covered) / len(words), "agree": 1.0, "first_word": min(d for d, _ in found)}
         return out
 
     def leaks(self, t: Template) -> list[dict]:
@@ -262,18 +258,51 @@ class BenchmarkIndex:
         return [{"item_id": self.ids[k], **found} for k, found in sorted(out.items())]
 
     def aligned(self, t: Template, k: int, pairs: np.ndarray) -> dict | None:
-        """The first leak among the diagonal bands of an item's hits, those of most hits first."""
+        """The first leak among the diagonal bands of an item's hits, those of most hits first; else of those in order."""
         pairs = pairs[np.argsort(pairs[:, 0] - pairs[:, 1], kind="stable")]
         diagonal = pairs[:, 0] - pairs[:, 1]
         middle = np.unique(diagonal)
         a, b = np.searchsorted(diagonal, middle - BAND, "left"), np.searchsorted(diagonal, middle + BAND, "right")
         for x in np.argsort(a - b, kind="stable").tolist():
             if b[x] - a[x] < LEAST_COVER * self.total[k]:
-                return None
+                break
             near = pairs[a[x] : b[x]]
             if found := self.judged(t, k, near):
                 return found
-        return None
+        chain = self.in_order(pairs)
+        return self.judged(t, k, chain) if len(chain) else None
+
+    @staticmethod
+    def in_order(pairs: np.ndarray) -> np.ndarray:
+        """The hits of those long runs, one behind the other in text and item, that have most of them; given by diagonal."""
+        step = np.diff(pairs, axis=0)
+        edge = np.flatnonzero((step[:, 0] != step[:, 1]) | (step[:, 1] > WINDOW)) + 1
+        first, last = np.r_[0, edge], np.r_[edge, len(pairs)] - 1
+        long = pairs[last, 1] - pairs[first, 1] + WINDOW >= EXACT
+        first, last = first[long], last[long]
+        # the best chain that ends at or before each place of the item, as a Fenwick tree of (hits, run)
+        best = [(0, -1)] * (int(pairs[:, 1].max()) + 2)
+        score, before = [0] * len(first), [-1] * len(first)
+        events = sorted([(int(pairs[x, 0]), 0, j) for j, x in enumerate(first)] + [(int(pairs[x, 0]), 1, j) for j, x in enumerate(last)])
+        for _, ends, j in events:
+            if ends:
+                at, new = int(pairs[last[j], 1]) + 1, (score[j], j)
+                while at < len(best):
+                    if new[0] > best[at][0]:
+                        best[at] = new
+                    at += at & -at
+            else:
+                at, top = int(pairs[first[j], 1]), (0, -1)
+                while at > 0:
+                    top = max(top, best[at], key=lambda x: x[0])
+                    at -= at & -at
+                score[j], before[j] = top[0] + int(last[j] - first[j]) + 1, top[1]
+        j = max(range(len(first)), key=score.__getitem__, default=-1)
+        chain = []
+        while j >= 0:
+            chain.append(pairs[first[j] : last[j] + 1])
+            j = before[j]
+        return np.concatenate(chain[::-1]) if chain else pairs[:0]
 
     def judged(self, t: Template, k: int, near: np.ndarray) -> dict | None:
         """The leak that hits of one alignment are, if they cover enough and their slots agree."""

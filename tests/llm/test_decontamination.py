@@ -86,6 +86,22 @@ def test_every_alignment_is_judged():
     assert leaks(f"{mixed} {mixed} {mixed}", item) == []
 
 
+def test_parts_of_items_are_found_and_added_up():
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in "abcdefghijklmnop" for b in "qrstuvwxyz"]
+    for n, part in ((59, 31), (59, 8), (400, 50)):
+        item = [rng.choice(words) for _ in range(n)]
+        found = leaks("intro and " + " ".join(item[5 : 5 + part]) + " tail", " ".join(item))
+        assert [(x["item_id"], x["cover"], x["first_word"]) for x in found] == [(7, part / n, 2)]
+        assert leaks("intro and " + " ".join(item[5:12]) + " tail " + " ".join(item[20:27]), " ".join(item)) == []
+    # halves of a re-parameterised item without eight equal words in a row, in order and not
+    item = " ".join(f"{a} {b} {c} {k + 11}" for k, (a, b, c) in enumerate(zip(*[iter(rng.sample(words, 36))] * 3)))
+    other = re.sub(r"\d+", lambda m: str(int(m[0]) + 500), item).split()
+    a, b, noise = " ".join(other[:21]), " ".join(other[27:]), "x1 " * 60
+    assert [(x["item_id"], x["first_word"]) for x in leaks(f"so {a} {noise} {b}", item)] == [(7, 1)]
+    assert leaks(f"so {b} {noise} {a}", item) == []
+
+
 def test_query_finds_every_passage_and_nothing_else(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
