@@ -20,28 +20,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, none: float = 0.0) -> Model:
     """Fit ``label`` on at most ``rows`` labelled documents outside the held-out fold.
 
-    The sample is that of the smallest hashes of doc_id, so it is the same on
-    every run and for every partitioning.  Rows without id, label or text and
-    texts of over ``chars`` code points are no training rows.  A document with
-    several label rows takes the largest label.
+    The sample is that of the smallest hashes of doc_id among the labelled ids
+    with a text to learn from, so it is the same on every run and for every
+    partitioning.  Rows without id, label or text and texts of over ``chars``
+    code points are no training rows.  A document with several label rows takes
+    the largest label.  ``none`` is the logit of every text if there is no
+    training row.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
+    usable = docs.where(F.col("text").isNotNull() & (F.length("text") <= chars))
+    known = known.join(usable.select("doc_id").distinct(), "doc_id", "left_semi")
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most `rows` small rows: a proven bound for the broadcast
     texts = (
-        docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= chars))
+        usable.select("doc_id", "text")
         .join(F.broadcast(picked), "doc_id")
         .select("doc_id", "_y", "text")
         .collect()
     )
     texts.sort(key=lambda r: (r["doc_id"], r["text"]))
     order = sorted(range(len(texts)), key=lambda k: (hash_key(texts[k]["doc_id"]), k))
-    return fit([texts[k]["text"].encode() for k in order], [texts[k]["_y"] for k in order], settings)
+    model = fit([texts[k]["text"].encode() for k in order], [texts[k]["_y"] for k in order], settings)
+    if not texts:
+        model.bias = none
+    return model
 
 
 def hash_key(doc_id: int) -> int:

@@ -5,7 +5,8 @@ prose, and so does a word that repeats its predecessor (the one word bigram).  S
 
 Edge cases: as in ``toxicity``: null and empty texts get the score of no
 evidence, null ids are scored and never held out, repeated rows are scored
-alike, empty tables give empty results.
+alike, empty tables give empty results.  Without any labelled text to learn
+from every score is 0.5, so that everything is taken for good.
 """
 
 from __future__ import annotations

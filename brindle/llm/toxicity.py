@@ -7,7 +7,8 @@ misspellings share character n-gram vectors with the words they come from.
 Edge cases: null or empty texts have no window and get the score of no
 evidence; null ids are scored and never held out; repeated rows are scored
 alike; empty tables give empty results; columns beyond doc_id and text are not
-read.
+read.  Without any labelled text to learn from every score is below 0.5, so that
+nothing is taken for toxic.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from brindle.llm.textbytes import relax, utf8_views
 
 SETTINGS = Settings(keep="word", lower=True, window_words=48, epochs=10, target=0.5, goal="accuracy", least_texts=3, prior=100.0)
 
+#: Logit of every text where there is nothing to learn from.
+NO_EVIDENCE = -4.0
+
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit ``labels.toxic`` on a bounded sample of at most ``rows`` labelled texts."""
-    return train(docs, labels, "toxic", SETTINGS, rows)
+    return train(docs, labels, "toxic", SETTINGS, rows, none=NO_EVIDENCE)
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:

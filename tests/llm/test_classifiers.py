@@ -97,6 +97,24 @@ def test_labels_of_the_held_out_fold_are_not_learnt(spark, module, train, score)
     assert np.array_equal(a.gain, b.gain) and a.bias == b.bias
 
 
+def test_nothing_is_dropped_without_training_texts(spark, documents):
+    docs = documents([(k, f"some words of text {k}") for k in range(30)] + [(k, "long " * 2000) for k in range(30, 40)])
+    some = spark.createDataFrame([(k, 1, 1) for k in (*range(30, 40), *range(100, 140))], "doc_id long, quality int, toxic int")
+    for labels in (some, some.limit(0)):
+        model = toxicity.train_toxicity(docs, labels)
+        assert toxicity.without_toxic(docs, model).count() == 40
+        assert {r["predicted"] for r in toxicity.score_toxicity(docs, model).collect()} == {0}
+        assert {r["predicted"] for r in quality_classifier.score_quality(docs, quality_classifier.train_quality(docs, labels)).collect()} == {1}
+
+
+def test_sample_is_picked_among_usable_texts(spark, documents):
+    texts = ["fine words here and there", "stupid moronic worthless thing"]
+    docs = documents([(k, f"{texts[k % 2]} {k}" if k < 100 else "long " * 2000) for k in range(400)])
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(4000)], "doc_id long, quality int, toxic int")
+    for train in (toxicity.train_toxicity, quality_classifier.train_quality):
+        assert train(docs, labels, 40).notes["texts"] == 40
+
+
 def test_odd_tables(spark, documents):
     labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(20)] + [(None, 1, 1), (3, None, None), (4, 7, 7), (3, 0, 0)], "doc_id long, quality int, toxic int")
     rows = [(k, t) for k, t in enumerate(ODD)] + [(None, "x y z"), (0, "again"), (0, "again")]
