@@ -108,6 +108,18 @@ def join_double(spark, sf_dir):
     return project(hash_join(lines, orders, "l_quantity", "k"), ["l_orderkey", "l_linenumber", "o_orderkey"])
 
 
+@query("SELECT l_orderkey, l_linenumber, k FROM lineitem JOIN (SELECT DISTINCT CAST(o_orderkey % 50 AS DOUBLE) AS k FROM orders) ON l_quantity = k")
+def join_double_whole(spark, sf_dir):
+    keys = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).cast("double").alias("k")).distinct()
+    return project(hash_join(table(spark, sf_dir, "lineitem"), keys, "l_quantity", "k"), ["l_orderkey", "l_linenumber", "k"])
+
+
+@query("SELECT a.p_partkey, b.p_brand AS brand, b.p_size AS size FROM part a JOIN (SELECT DISTINCT p_brand, p_size FROM part) b ON a.p_brand = b.p_brand")
+def join_string_whole(spark, sf_dir):
+    part = project(table(spark, sf_dir, "part"), ["p_partkey", "p_brand", "p_size"])
+    return project(hash_join(part, part.select("p_brand", "p_size").distinct(), "p_brand", "p_brand"), [0, 3, 4]).toDF("p_partkey", "brand", "size")
+
+
 @query("SELECT n.*, s.* FROM nation n JOIN supplier s ON false")
 def join_kind_mismatch(spark, sf_dir):
     return hash_join(table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier"), "n_nationkey", "s_acctbal")
