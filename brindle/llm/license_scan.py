@@ -1,8 +1,9 @@
 """Licence scan: matching statistics from a generalised suffix automaton.
 
 The automaton accepts every run of words of every template.  Streaming a text
-through it gives, at each word, the length of the longest run that ends there
-and stands in some template.  Runs that can't be extended are the long matches;
+through it gives, at each word and for each template, the length of the longest
+run that ends there and stands in it.  Runs that can't be extended in their template
+are the long matches;
 chaining those that lie in template order covers spans of the text, and a
 template counts when enough of its words are covered.
 
@@ -116,6 +117,7 @@ class LicenseIndex:
         self.hashes, self.numbers = known, np.array([numbers[int(h)] for h in known], np.int64)
         self.automaton = SuffixAutomaton(self.sequences)
         a = self.automaton
+        self.least = max(2, min([LEAST_RUN, *[len(x) for x in self.sequences[len(self.phrases) :]]]))
         # phrases that end where a state's longest word run ends: those of its link chain
         whole: dict[int, int] = {}
         for k in range(len(self.phrases)):
@@ -132,24 +134,39 @@ class LicenseIndex:
                 t = a.link[t]
             self.phrase_at.append(tuple(found))
 
+        # per state and template, the longest of the state's runs and their suffixes that stands in it: (state, ends there)
+        self.held: list[dict[int, tuple[int, tuple[int, ...]]]] = [{} for _ in a.link]
+        for s in sorted(range(1, len(a.link)), key=a.length.__getitem__):
+            own: dict[int, list[int]] = {}
+            for k, end in sorted(a.ends[s]):
+                if k >= len(self.phrases):
+                    own.setdefault(k, []).append(end)
+            self.held[s] = self.held[a.link[s]] | {k: (s, tuple(ends)) for k, ends in own.items()}
+
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, -1 for words of no template."""
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[place] == hashes, self.numbers[place], -1)
 
-    def stream(self, words: list[int], offset: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    def stream(self, words: list[int], offset: int) -> tuple[list[tuple[int, int]], list[tuple[int, tuple[int, ...], int, int]]]:
         """(places, matches) of a run of known words that begins at word ``offset``.
 
-        places: (phrase, first word).  matches: (state, length, word past the
-        end) of the runs that can't be extended to the right.
+        places: (phrase, first word).  matches: (template, ends in it, length,
+        word past the end) of the long runs that can't be extended to the right
+        in their template.
         """
         a = self.automaton
         moves, link, length, phrase_at = a.next, a.link, a.length, self.phrase_at
         state = run = 0
         places, matches = [], []
+        running: dict[int, tuple[int, tuple[int, ...]]] = {}
+
+        def ended(now: dict[int, tuple[int, tuple[int, ...]]], end: int) -> None:
+            for k, (size, ends) in running.items():
+                if k not in now or now[k][0] != size + 1:
+                    matches.append((k, ends, size, end))
+
         for i, w in enumerate(words):
-            if w not in moves[state] and run >= 2:
-                matches.append((state, run, offset + i))
             while state and w not in moves[state]:
                 state = link[state]
                 run = length[state]
@@ -159,11 +176,19 @@ class LicenseIndex:
                 size = len(self.sequences[k])
                 if run >= size:
                     places.append((k, offset + i + 1 - size))
-        if run >= 2:
-            matches.append((state, run, offset + len(words)))
+            now = {}
+            if run >= self.least:
+                for k, (s, ends) in self.held[state].items():
+                    size = run if s == state else length[s]
+                    if size >= min(LEAST_RUN, len(self.sequences[k])):
+                        now[k] = (size, ends)
+            if running:
+                ended(now, offset + i)
+            running = now
+        ended({}, offset + len(words))
         return places, matches
 
-    def chains(self, matches: list[tuple[int, int, int]]) -> list[Span]:
+    def chains(self, matches: list[tuple[int, tuple[int, ...], int, int]]) -> list[Span]:
         """The covered spans of templates, from the matches of a text in order."""
         open_: dict[int, list[list[int]]] = {}
         skip = len(self.phrases)
@@ -175,18 +200,16 @@ class LicenseIndex:
             if cover >= LEAST_COVER:
                 spans.append(Span(self.templates[k - skip][0], k - skip, chain[0], chain[1], min(1.0, cover)))
 
-        for state, run, end in matches:
-            for k, template_end in sorted(self.automaton.ends[state]):
-                size = len(self.sequences[k])
-                if k < skip or template_end < run or run < min(LEAST_RUN, size):
-                    continue
+        for k, template_ends, run, end in matches:
+            for template_end in template_ends:
                 start, best = end - run, None
                 for chain in open_.get(k, []):
                     # chain: text start, text end, template end, words covered
                     new = min(run, template_end - chain[2])
                     if chain[1] - run < start <= chain[1] + MOST_GAP and new > 0 and end > chain[1] and (best is None or chain[3] > best[3]):
                         best = chain
-                if best is None:
+                # a whole copy is a chain by itself
+                if best is None or run == len(self.sequences[k]):
                     open_.setdefault(k, []).append([start, end, template_end, run])
                 else:
                     best[3] += min(run, template_end - best[2], end - best[1])
@@ -215,8 +238,7 @@ class LicenseIndex:
             found, more = self.stream(numbers[at : at + b - a].tolist(), at)
             places += found
             matches += more
-        strong = [m for m in matches if m[1] >= LEAST_RUN or any(len(self.sequences[k]) <= m[1] for k, _ in self.automaton.ends[m[0]])]
-        return places, self.chains(strong) if strong else []
+        return places, self.chains(matches) if matches else []
 
 
 def _documents(raw: np.ndarray, at: np.ndarray, index: LicenseIndex):

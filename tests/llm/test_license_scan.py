@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from odd import ODD
 
 from brindle.llm.license_scan import LEAST_RUN, LicenseIndex, SuffixAutomaton, scan_licenses, word_ids
@@ -56,6 +57,36 @@ def test_templates_are_covered_through_gaps(documents):
     assert (whole.start, whole.cover) == (1, 1.0) and LEAST_RUN > 1
 
 
+def test_nested_templates_equal_brute_force():
+    rng = random.Random(6)
+    for _ in range(80):
+        long = [rng.choice("abcde") for _ in range(14)]
+        texts = [long, long[:6], long[4:10], [rng.choice("abcde") for _ in range(5)], long[9:]]
+        index = LicenseIndex([], [(str(k), " ".join(t)) for k, t in enumerate(texts)])
+        words = [rng.choice("abcde") for _ in range(4)] + long + [rng.choice("abcde") for _ in range(6)] + long[:8]
+        expected = set()
+        for k, t in enumerate(texts):
+            inside = {tuple(t[i:j]) for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+            size = [max((n for n in range(i + 1) if n == 0 or tuple(words[i - n : i]) in inside), default=0) for i in range(len(words) + 1)] + [0]
+            expected |= {(k, size[i], i) for i in range(len(words) + 1) if size[i] >= LEAST_RUN and size[i + 1] != size[i] + 1}
+        numbers = index.number(word_ids(" ".join(words))[0]).tolist()
+        _, matches = index.stream(numbers, 0)
+        assert {(k, run, end) for k, _, run, end in matches} == expected
+        assert all(index.sequences[k][e - run : e] == numbers[end - run : end] for k, ends, run, end in matches for e in ends)
+        # every template that stands in the text is covered
+        _, spans = index.scan(np.array(numbers))
+        assert {s.template for s in spans if s.cover == 1.0} >= {k for k, t in enumerate(texts) if any(words[i : i + len(t)] == t for i in range(len(words)))}
+
+
+def test_short_notice_inside_the_long_one():
+    index = LicenseIndex()
+    short = "Licensed under the Apache License, Version 2.0."
+    k = next(k for k, (_, t) in enumerate(TEMPLATES) if word_ids(t)[1] == word_ids(short)[1])
+    for text in (short, short + " The code is here", *[t for _, t in TEMPLATES if word_ids(t)[1][:7] == word_ids(short)[1][:7]]):
+        _, spans = index.scan(index.number(word_ids(text)[0]))
+        assert [s.cover for s in spans if s.template == k] == [1.0], text
+
+
 def test_long_text_is_scanned_whole(documents):
     text = "filler words here " * 120_000 + "under the MIT License"
     row = scan_licenses(documents([text])).first()
