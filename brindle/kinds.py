@@ -103,3 +103,11 @@ def as_python(value: object, kind: str) -> object:
     if kind_of_value(value) != kind:
         raise TypeError(f"{kind_of_value(value)} value where {kind} is asked for")
     return value
+
+
+def access(df: DataFrame, column: int | str, kind: str) -> Column:
+    """A column read as a kind; TypeError where its own kind differs (no coercion)."""
+    f = df.schema[position(df, column)]
+    if not same_kind(kind_of(f.dataType), kind):
+        raise TypeError(f"{kind_of(f.dataType)} column {f.name} where {kind} is asked for")
+    return F.col(f"`{f.name}`")

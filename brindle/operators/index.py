@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators.sorting import numbered
+
 
 class DuplicateKey(ValueError):
     """A key has two values."""
@@ -33,9 +35,7 @@ class OrderedIndex:
 
         With a path the entries are stored there in key order.
         """
-        entries = df.select(F.col(key).alias("key"), F.col(value).alias("value")).distinct()
-        _unique(entries)
-        index = cls(entries, order)
+        index = cls(_unique(df.select(F.col(key).alias("key"), F.col(value).alias("value"))), order)
         return index if path is None else index.store(path)
 
     def store(self, path: str) -> OrderedIndex:
@@ -58,16 +58,15 @@ class OrderedIndex:
 
     def insert(self, new: DataFrame) -> OrderedIndex:
         """With entries (key, value) added; the same entry again changes nothing, another value for a key is an error."""
-        new = new.select("key", "value").distinct()
-        _unique(new)
-        known = self.entries.join(new.withColumnRenamed("value", "_new"), "key")
-        if not known.where(~F.col("value").eqNullSafe(F.col("_new"))).isEmpty():
-            raise DuplicateKey("a key has another value already")
-        return OrderedIndex(self.entries.unionByName(new.join(self.entries, "key", "left_anti").select("key", "value")), self.order)
+        return OrderedIndex(_unique(self.entries.unionByName(new.select("key", "value"))), self.order)
 
     def erase(self, *keys: object) -> OrderedIndex:
-        """Without some keys; absent ones change nothing."""
-        return OrderedIndex(self.entries.where(~F.col("key").isin(*keys)), self.order)
+        """Without some keys; absent ones change nothing, None erases the entry of the missing key."""
+        some = [k for k in keys if k is not None]
+        gone = F.coalesce(F.col("key").isin(*some), F.lit(False)) if some else F.lit(False)
+        if len(some) < len(keys):
+            gone = gone | F.col("key").isNull()
+        return OrderedIndex(self.entries.where(~gone), self.order)
 
     def at(self, key: object) -> DataFrame:
         """The entry of a key: one row, or none."""
@@ -89,16 +88,31 @@ class OrderedIndex:
         """One row, ``max_key``: the greatest key in the index's order (null if empty)."""
         return self.entries.agg(F.max_by("key", self.order(F.col("key"))).alias("max_key"))
 
-    def to_dot(self, pages: int = 16) -> str:
-        """A graph of the index: a root and its key ranges with bounds and sizes."""
+    def pages(self, keys: int) -> DataFrame:
+        """page (from 0), low, high, n: the entries in key order, ``keys`` to a page."""
         by = self.order(F.col("key"))
-        parts = self.entries.repartitionByRange(pages, by).groupBy(F.spark_partition_id().alias("page")).agg(F.min_by("key", by).alias("low"), F.max_by("key", by).alias("high"), F.count("*").alias("n"), F.min(by).alias("first"))
-        lines = ["digraph index {", '  root [shape=record, label="root"];']
-        for k, r in enumerate(parts.orderBy("first").collect()):
-            lines += [f'  page{k} [shape=record, label="{{{r["low"]} .. {r["high"]}|{r["n"]} keys}}"];', f"  root -> page{k};"]
-        return "\n".join([*lines, "}"]) + "\n"
+        placed = numbered(self.entries.select("key"), by).withColumn("page", F.floor((F.col("pos") - 1) / keys))
+        return placed.groupBy("page").agg(F.min_by("key", "pos").alias("low"), F.max_by("key", "pos").alias("high"), F.count("*").alias("n"))
 
+    def dot_lines(self, keys: int) -> DataFrame:
+        """page, line: the lines of the graph that show a page and its edge from the root."""
+        box = F.format_string('  page%d [shape=record, label="{%s .. %s|%d keys}"];', "page", F.col("low").cast("string"), F.col("high").cast("string"), "n")
+        edge = F.format_string("  root -> page%d;", "page")
+        return self.pages(keys).select("page", F.explode(F.array(box, edge)).alias("line"))
 
-def _unique(entries: DataFrame) -> None:
-    if not entries.groupBy("key").count().where("count > 1").isEmpty():
+    def to_dot(self, pages: int = 16) -> str:
+        """A graph of the index: a root and at most ``pages`` key ranges with bounds and sizes."""
+        keys = max(1, -(-self.entries.count() // pages))
+        # two lines a page
+        lines = [r["line"] for r in self.dot_lines(keys).orderBy("page", F.desc("line")).collect()]
+        lines = [x for k in range(0, len(lines), 2) for x in sorted(lines[k : k + 2], key=lambda x: "->" in x)]
+        return "\n".join(["digraph index {", '  root [shape=record, label="root"];', *lines, "}"]) + "\n"
+
+
+def _unique(entries: DataFrame) -> DataFrame:
+    """Each entry once, checked by one aggregate: DuplicateKey if a key has two values."""
+    found = entries.groupBy("key").agg(F.min("value").alias("value"), F.max("value").alias("_top"), (F.count("*") - F.count("value")).alias("_null"), F.count("value").alias("_held"))
+    twice = ~F.col("value").eqNullSafe(F.col("_top")) | ((F.col("_null") > 0) & (F.col("_held") > 0))
+    if found.where(twice).limit(1).count():
         raise DuplicateKey("a key has several values")
+    return found.select("key", "value")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import sys
 from typing import TextIO
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.kinds import DOUBLE, INTEGER, STRING, kind_of
 
@@ -38,11 +40,18 @@ def print_rows(df: DataFrame, out: TextIO | None = None) -> int:
 
 
 def printed(df: DataFrame) -> Column:
-    """The printed lines of a row as a column, for integers and strings (doubles: see ``print_rows``)."""
+    """The printed lines of a row as a column; doubles are formatted in Arrow batches, the rest by expressions."""
+
+    # defined here, so that it travels by value; Java's formats round and trim otherwise than %g
+    @F.pandas_udf(T.StringType())
+    def six_digits(held: pd.Series) -> pd.Series:
+        return held.map(lambda v: f"{v:.6g}")
+
     lines = []
     for k, f in enumerate(df.schema):
-        kind = kind_of(f.dataType)
-        if kind not in (INTEGER, STRING):
+        kind, c = kind_of(f.dataType), F.col(f"`{f.name}`")
+        if kind not in (INTEGER, STRING, DOUBLE):
             raise ValueError(f"column {f.name} of kind {kind} has no printed form as an expression")
-        lines.append(F.concat(F.lit(f"Field {k}: "), F.coalesce(F.concat(F.lit(f"({kind}) "), F.col(f"`{f.name}`").cast("string")), F.lit(""))))
+        text = F.when(c.isNotNull(), six_digits(c.cast("double"))) if kind == DOUBLE else c.cast("string")
+        lines.append(F.concat(F.lit(f"Field {k}: "), F.coalesce(F.concat(F.lit(f"({kind}) "), text), F.lit(""))))
     return F.concat_ws("\n", *lines)

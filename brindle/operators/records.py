@@ -1,9 +1,11 @@
 """Records addressed by a stable tuple id.
 
 A stored table's tuple ids come from the files: the place of the file among the
-table's files (by name) and of the row in the file.  They don't change under
-updates and are not used again after deletions.  Mutations return a new
-DataFrame; ``rewrite`` stores one as a new version.
+table's files (by whole path) and of the row in the file.  They don't change
+under updates.  ``insert`` goes on from the largest id that is present, or from
+a high-water mark that the caller has kept; only with the mark is the id of a
+removed last record never given out again.  Mutations return a new DataFrame;
+``rewrite`` stores one as a new version.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from brindle.operators.sorting import numbered
 TID = "tid"
 #: Bits of a tuple id below the file's number.
 ROW_BITS = 40
+#: Tables of at most so many files send the list of them to every task.
+MOST_SENT_FILES = 100_000
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
@@ -29,17 +33,26 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     if TID in df.columns:
         return df
-    files = sorted(f.rsplit("/", 1)[-1] for f in df.inputFiles())
-    number = F.lit(0).cast("long")
-    if len(files) > 1:
-        # array_position is from 1
-        number = F.array_position(F.array(*map(F.lit, files)), F.col("_metadata.file_name")) - 1
-    return df.select("*", (F.shiftleft(number, ROW_BITS) + F.col("_metadata.row_index")).alias(TID))
+    row = F.col("_metadata.row_index")
+    files = sorted(df.inputFiles())
+    if len(files) <= 1:
+        return df.select("*", row.alias(TID))
+    # a row per file, by its whole path: the same file name may stand in many folders
+    known = spark.createDataFrame(list(enumerate(files)), "_number long, _file string")
+    if len(files) <= MOST_SENT_FILES:
+        known = F.broadcast(known)
+    held = df.select("*", row.alias("_row"), F.input_file_name().alias("_file"))
+    return held.join(known, "_file").select(*df.columns, (F.shiftleft("_number", ROW_BITS) + F.col("_row")).alias(TID))
+
+
+def in_order(records: DataFrame) -> DataFrame:
+    """Rows in order of their tuple ids."""
+    return records.orderBy(TID)
 
 
 def iterate(records: DataFrame) -> Iterator:
     """Rows in order of their tuple ids, pulled to the driver one partition at a time."""
-    return records.orderBy(TID).toLocalIterator()
+    return in_order(records).toLocalIterator()
 
 
 def fetch(records: DataFrame, tid: int) -> DataFrame:
@@ -55,16 +68,18 @@ def lookup(records: DataFrame, tid: int):
     return found
 
 
-def insert(records: DataFrame, new: DataFrame) -> DataFrame:
+def insert(records: DataFrame, new: DataFrame, mark: int | None = None) -> DataFrame:
     """``records`` and new rows, with fresh tuple ids where records have them.
 
-    Fresh ids go on from the largest one without gaps, so they are new even
-    after deletions of other rows; new rows are numbered in order of a hash of
-    their values, the same on every run.
+    Fresh ids go on without gaps from the largest one, or from ``mark`` if that is
+    larger: the largest id ever given out, for tables whose last records have
+    been removed.  New rows are numbered in order of a hash of their values, the
+    same on every run.
     """
     if TID not in records.columns:
         return records.unionByName(new)
     last = records.agg(F.coalesce(F.max(TID), F.lit(-1)).alias("m")).first()["m"]
+    last = last if mark is None else max(last, mark)
     plain = [c for c in records.columns if c != TID]
     fresh = numbered(new.select(*plain), F.xxhash64(*plain), name=TID)
     return records.unionByName(fresh.withColumn(TID, F.col(TID) + last).select(*records.columns))

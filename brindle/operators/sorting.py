@@ -13,8 +13,12 @@ from pyspark.sql.window import Window
 from brindle.kinds import position
 
 _SIGN = -(1 << 63)
-#: Ranges into which numbering cuts the rows.
-RANGES = 64
+#: Different rows that numbering wants in a range, and the most ranges that it makes.
+RANGE_ROWS, MOST_RANGES = 1 << 18, 1 << 12
+#: Equal rows that one task gives their places.
+EQUAL_ROWS = 1 << 20
+#: Types whose equal values are one value.
+GROUPED = frozenset("byte short integer long string boolean date timestamp timestamp_ntz binary decimal".split())
 #: Rows that one window of the sortedness check spans.
 CHECK_ROWS = 1 << 20
 
@@ -46,23 +50,61 @@ def sort_unsigned(df: DataFrame, column: int | str, descending: bool = False) ->
 def numbered(df: DataFrame, key: Column, descending: bool = False, name: str = "pos") -> DataFrame:
     """``df`` with the place (from 1) of each row in order of a numeric key.
 
-    Rows are cut into ranges of the key at approximate quantiles; places are
-    counted in each range and shifted by the rows of the ranges before it.
+    Equal rows are counted first, so that a row that occurs very often is one
+    row to sort; its places are made afterwards, in parts.  The different rows
+    are cut into ranges of the key at approximate quantiles, rows of one key
+    that fill several ranges by a hash; places are counted in each range and
+    shifted by the rows of the ranges before it.  Frames with columns that
+    grouping would change (doubles: -0.0) or can't compare keep all rows.
     """
+    plain = df.columns
     held = df.withColumn("_key", key)
-    cuts = held.agg(F.percentile_approx("_key", [k / RANGES for k in range(1, RANGES)], 2000)).first()[0] or []
-    ranged = held.withColumn("_range", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("_key"))) if cuts else F.lit(0))
-    if descending:
-        ranged = ranged.withColumn("_range", -F.col("_range"))
-    # at most RANGES rows
-    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
-    shift, before = F.lit(0).cast("long"), 0
-    for k in sorted(sizes):
-        shift = F.when(F.col("_range") == k, F.lit(before).cast("long")).otherwise(shift)
-        before += sizes[k]
-    order = F.col("_key").desc() if descending else F.col("_key").asc()
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return ranged.withColumn(name, place + shift).drop("_key", "_range")
+    if all(f.dataType.typeName() in GROUPED for f in held.schema):
+        held = held.groupBy(*held.columns).agg(F.count("*").alias("_n"))
+    else:
+        held = held.withColumn("_n", F.lit(1).cast("long"))
+    rows = held.count()
+    ranges = min(MOST_RANGES, rows // RANGE_ROWS + 1)
+    cuts = held.agg(F.percentile_approx("_key", [k / ranges for k in range(1, ranges)], 4 * ranges)).first()[0] if ranges > 1 else []
+    ranged = held.withColumn("_range", _range_of(F.col("_key"), cuts or [], [c for c in plain]))
+    sign = -1 if descending else 1
+    # at most 2 * MOST_RANGES rows
+    sizes = sorted((sign * r["_range"], r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.sum("_n").alias("n")).collect())
+    before, total = [0] * (2 * len(cuts or []) + 1), 0
+    for _, k, n in sizes:
+        before[k], total = total, total + n
+    ahead = F.sum("_n").over(Window.partitionBy("_range").orderBy(F.col("_key").desc() if descending else F.col("_key").asc(), *plain).rowsBetween(Window.unboundedPreceding, -1))
+    # the range is an index of a constant array
+    first = F.coalesce(ahead, F.lit(0)) + F.element_at(F.lit(before).cast("array<bigint>"), F.col("_range") + 1)
+    placed = ranged.withColumn("_first", first)
+    parts = placed.select(*plain, "_first", "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / EQUAL_ROWS))).alias("_part"))
+    low = F.col("_first") + F.col("_part") * EQUAL_ROWS
+    high = F.least(low + EQUAL_ROWS, F.col("_first") + F.col("_n"))
+    return parts.select(*plain, F.explode(F.sequence(low + 1, high)).alias(name))
+
+
+def _range_of(key: Column, cuts: list, columns: list[str]) -> Column:
+    """Range of a key among cuts, found in two steps; even: between cuts, odd: at a cut that occurs often.
+
+    A key that fills several ranges is cut several times: its rows go to the
+    ranges of those cuts by a hash of the row.
+    """
+    if not cuts:
+        return F.lit(0)
+    # place of a key: 2 * (cuts below it), plus 1 per equal cut passed by the hash
+    step = max(1, int(len(cuts) ** 0.5))
+    coarse = F.lit(cuts[::step])
+    fine = F.lit([cuts[k : k + step] for k in range(0, len(cuts), step)])
+
+    def below(reach) -> Column:
+        """Number of cuts that ``reach`` (a comparison with the key) takes."""
+        whole = F.size(F.filter(coarse, lambda c: reach(c)))
+        inner = F.size(F.filter(F.element_at(fine, F.greatest(whole, F.lit(1))), lambda c: reach(c)))
+        return F.when(whole == 0, F.lit(0)).otherwise((whole - 1) * step + inner)
+
+    low, high = below(lambda c: c < key), below(lambda c: c <= key)
+    # keys at no cut: 2 * low; rows of a cut key: one of the odd places between
+    return F.when(high > low, 2 * low + 1 + 2 * F.pmod(F.xxhash64(*columns), high - low)).otherwise(2 * low).cast("int")
 
 
 def is_sorted(df: DataFrame, column: int | str, place: str, strict: bool = False) -> DataFrame:

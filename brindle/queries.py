@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.rpn import calc
+from brindle.functions.rpn import calc, evaluate
+from brindle.kinds import DOUBLE, INTEGER, STRING, access, value_hash
 from brindle.operators import index, records
 from brindle.operators.printing import printed
 from brindle.operators.relational import hash_join, prepared_select, project, scan, select_eq, select_ne, values
 from brindle.operators.sorting import is_sorted, numbered, sort, sort_unsigned, unsigned
+from brindle.sources import catalog, uint64
 from brindle.plans.orders_of_nation import orders_of_nation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,28 +98,14 @@ def join_many_to_many(spark, sf_dir):
     return project(joined, ["s_suppkey", "c_custkey"])
 
 
-@query("SELECT a.p_partkey AS l_key, b.p_partkey AS r_key FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE b.p_size = 1")
-def join_string(spark, sf_dir):
-    part = project(table(spark, sf_dir, "part"), ["p_partkey", "p_brand", "p_size"])
-    joined = hash_join(part, select_eq(part, "p_size", 1), "p_brand", "p_brand")
-    return project(joined, [0, 3]).toDF("l_key", "r_key")
-
-
-@query("SELECT l_orderkey, l_linenumber, o_orderkey FROM (SELECT * FROM lineitem WHERE l_orderkey < 50) JOIN (SELECT * FROM orders WHERE o_orderkey < 200) ON l_quantity = CAST(o_orderkey % 50 AS DOUBLE)")
-def join_double(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 50")
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 200").withColumn("k", (F.col("o_orderkey") % 50).cast("double"))
-    return project(hash_join(lines, orders, "l_quantity", "k"), ["l_orderkey", "l_linenumber", "o_orderkey"])
-
-
 @query("SELECT l_orderkey, l_linenumber, k FROM lineitem JOIN (SELECT DISTINCT CAST(o_orderkey % 50 AS DOUBLE) AS k FROM orders) ON l_quantity = k")
-def join_double_whole(spark, sf_dir):
+def join_double(spark, sf_dir):
     keys = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).cast("double").alias("k")).distinct()
     return project(hash_join(table(spark, sf_dir, "lineitem"), keys, "l_quantity", "k"), ["l_orderkey", "l_linenumber", "k"])
 
 
 @query("SELECT a.p_partkey, b.p_brand AS brand, b.p_size AS size FROM part a JOIN (SELECT DISTINCT p_brand, p_size FROM part) b ON a.p_brand = b.p_brand")
-def join_string_whole(spark, sf_dir):
+def join_string(spark, sf_dir):
     part = project(table(spark, sf_dir, "part"), ["p_partkey", "p_brand", "p_size"])
     return project(hash_join(part, part.select("p_brand", "p_size").distinct(), "p_brand", "p_brand"), [0, 3, 4]).toDF("p_partkey", "brand", "size")
 
@@ -255,3 +245,123 @@ def print_rows(spark, sf_dir):
 @query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Hello World', CAST(10 AS DOUBLE)), (2, 'Answer', 42), (3, 'Pi', 3.14159265359)) v(f0, f1, f2)")
 def values_fixture(spark, sf_dir):
     return values(spark, [(1, "Hello World", 10.0), (2, "Answer", 42.0), (3, "Pi", 3.14159265359)], "f0 long, f1 string, f2 double")
+
+
+@query("SELECT concat('Field 0: (Double) ', printf('%.6g', o_totalprice), chr(10), 'Field 1: (Integer) ', o_orderkey) AS line FROM orders")
+def print_doubles(spark, sf_dir):
+    held = project(table(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey"])
+    return held.select(printed(held).alias("line"))
+
+
+@query("SELECT *, row_number() OVER () - 1 AS tid FROM supplier")
+def record_iterate(spark, sf_dir):
+    return records.in_order(records.scan_records(spark, f"{sf_dir}/supplier.parquet"))
+
+
+def _shared_file(spark, name: str) -> str:
+    """A new path in the folder that the cluster shares."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        top = f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_custkey - 700 AS x FROM orders")
+def uint64_source(spark, sf_dir):
+    path = _shared_file(spark, "values")
+    uint64.write_uint64(table(spark, sf_dir, "orders").select((F.col("o_custkey") - 700).alias("x")), path)
+    return uint64.read_uint64(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY x < 0, x) - 1 AS place, x FROM (SELECT o_custkey - 700 AS x FROM orders)")
+def uint64_file_sort(spark, sf_dir):
+    source, target = _shared_file(spark, "unsorted"), _shared_file(spark, "sorted")
+    uint64.write_uint64(table(spark, sf_dir, "orders").select((F.col("o_custkey") - 700).alias("x")), source)
+    uint64.sort_file(spark, source, target)
+    return uint64.read_placed(spark, target)
+
+
+@query("SELECT count(*) AS n, true AS is_sorted FROM orders")
+def uint64_memory_sort(spark, sf_dir):
+    path, target = _shared_file(spark, "unsorted"), _shared_file(spark, "sorted")
+    uint64.write_uint64(table(spark, sf_dir, "orders").select((F.col("o_custkey") * 7919 % 1501).alias("x")), path)
+    uint64.sort_file(spark, path, target, memory_mb=1)
+    placed = uint64.read_placed(spark, target)
+    return is_sorted(placed.withColumn("x", unsigned(F.col("x"))), "x", "place").crossJoin(placed.agg(F.count("*").alias("n"))).select("n", "is_sorted")
+
+
+def _named(spark, df: DataFrame) -> str:
+    """A new stored relation; its files lie in the warehouse until ``_dropped``."""
+    name = f"relation_{uuid.uuid4().hex}"
+    catalog.create_relation(spark, name, df)
+    return name
+
+
+def _dropped(spark, name: str) -> None:
+    spark.sql(f"DROP TABLE {name}")
+
+
+@query("SELECT true AS listed, true AS refused, count(*) AS n FROM nation")
+def catalog_create_open(spark, sf_dir):
+    held = table(spark, sf_dir, "nation")
+    name = _named(spark, held)
+    try:
+        refused = False
+        try:
+            catalog.create_relation(spark, name, held)
+        except ValueError:
+            refused = True
+        rows = catalog.open_relation(spark, name).count()
+        return values(spark, [(name in catalog.list_relations(spark), refused, rows)], "listed boolean, refused boolean, n long")
+    finally:
+        _dropped(spark, name)
+
+
+@query("SELECT * FROM (VALUES (0, 's_suppkey', 'bigint'), (1, 's_name', 'string'), (2, 's_nationkey', 'int'), (3, 's_acctbal', 'double')) v(place, attribute, kind)")
+def catalog_describe(spark, sf_dir):
+    name = f"view_{uuid.uuid4().hex}"
+    catalog.create_relation(spark, name, table(spark, sf_dir, "supplier"), stored=False)
+    try:
+        return values(spark, [(k, a, t) for k, (a, t) in enumerate(catalog.describe(spark, name))], "place int, attribute string, kind string")
+    finally:
+        spark.catalog.dropTempView(name)
+
+
+@query("SELECT true AS grown, true AS counted, CAST(1 AS BIGINT) AS files FROM region LIMIT 1")
+def catalog_size(spark, sf_dir):
+    name = _named(spark, table(spark, sf_dir, "region").coalesce(1))
+    try:
+        before = catalog.size_in_bytes(spark, name)
+        _, files, pages = catalog.segment(spark, name)
+        table(spark, sf_dir, "region").write.insertInto(name)
+        spark.catalog.refreshTable(name)
+        return values(spark, [(catalog.size_in_bytes(spark, name) > before > 0, pages == -(-before // 4096), files)], "grown boolean, counted boolean, files long")
+    finally:
+        _dropped(spark, name)
+
+
+@query("SELECT l_quantity AS value, count(*) AS n, CAST(1 AS BIGINT) AS hashes FROM lineitem GROUP BY l_quantity")
+def value_hashes(spark, sf_dir):
+    held = table(spark, sf_dir, "lineitem").select("l_quantity")
+    hashed = held.withColumn("h", value_hash(F.col("l_quantity"), DOUBLE))
+    # equal values share a hash, and here different values have different ones
+    whole = hashed.groupBy("h").agg(F.min("l_quantity").alias("value"), F.max("l_quantity").alias("top"), F.count("*").alias("n"))
+    return whole.groupBy("value").agg(F.sum("n").alias("n"), F.count("*").alias("hashes"))
+
+
+@query("SELECT o_orderkey AS i, o_totalprice AS d, o_orderstatus AS s, CAST(7 AS INTEGER) AS set_i FROM orders")
+def value_access(spark, sf_dir):
+    held = table(spark, sf_dir, "orders")
+    return held.select(access(held, "o_orderkey", INTEGER).alias("i"), access(held, 3, DOUBLE).alias("d"), access(held, "o_orderstatus", STRING).alias("s"), F.lit(7).alias("set_i"))
+
+
+@query("SELECT CAST((c1 + c2) * (c3 - c4) AS INTEGER) AS r FROM (SELECT 1 AS c1, 2 AS c2, 9 AS c3, 4 AS c4)")
+def calc_once(spark, sf_dir):
+    return values(spark, [(evaluate(spark, "0 1 + 2 3 - *", [1, 2, 9, 4]),)], "r int")
+
+
+@query("SELECT page, unnest([printf('  page%d [shape=record, label=\"{%d .. %d|%d keys}\"];', page, low, high, n), printf('  root -> page%d;', page)]) AS line FROM (SELECT (p - 1) // 1000 AS page, min(k) AS low, max(k) AS high, count(*) AS n FROM (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders) GROUP BY 1)")
+def index_dot(spark, sf_dir):
+    return _orders_index(spark, sf_dir).dot_lines(1000)

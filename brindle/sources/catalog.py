@@ -45,3 +45,16 @@ def size_in_bytes(spark: SparkSession, name: str) -> int:
         return 0
     files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
     return files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
+
+
+def segment(spark: SparkSession, name: str, page_bytes: int = 4096) -> tuple[str, int, int]:
+    """(qualified name, files, pages) of a relation: its identity and extent, whole pages of ``page_bytes``.
+
+    A relation without files of its own (a view of values) has none of either.
+    """
+    df = open_relation(spark, name)
+    if not df.inputFiles():
+        return name, 0, 0
+    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
+    found = files.agg(F.count("*").alias("n"), F.sum(F.ceil(F.col("file_size") / page_bytes)).alias("pages")).first()
+    return name, found["n"], found["pages"] or 0

@@ -35,11 +35,11 @@ def test_whole_table_joins_equal_brute_force(spark):
     read = lambda name, *c: pq.read_table(f"{SF}/{name}.parquet", columns=list(c)).to_pylist()
     keys = {float(r["o_orderkey"] % 50) for r in read("orders", "o_orderkey")}
     lines = sorted((r["l_orderkey"], r["l_linenumber"], r["l_quantity"]) for r in read("lineitem", "l_orderkey", "l_linenumber", "l_quantity") if r["l_quantity"] in keys)
-    assert sorted(map(tuple, QUERIES["join_double_whole"](spark, SF).collect())) == lines and lines
+    assert sorted(map(tuple, QUERIES["join_double"](spark, SF).collect())) == lines and lines
     part = read("part", "p_partkey", "p_brand", "p_size")
     sizes = {(r["p_brand"], r["p_size"]) for r in part}
     pairs = sorted((r["p_partkey"], b, n) for r in part for b, n in sizes if b == r["p_brand"])
-    assert sorted(map(tuple, QUERIES["join_string_whole"](spark, SF).collect())) == pairs and pairs
+    assert sorted(map(tuple, QUERIES["join_string"](spark, SF).collect())) == pairs and pairs
 
 
 def test_entry_and_contract(spark):

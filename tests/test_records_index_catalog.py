@@ -103,3 +103,54 @@ def test_catalog(spark):
     with pytest.raises(KeyError):
         open_relation(spark, "catalog_absent")
     spark.sql("DROP TABLE catalog_stored")
+
+
+def test_tuple_ids_of_a_partitioned_table(spark, tmp_path):
+    # the same file names in every folder, and a value that paths have to escape
+    for k, part in enumerate(["a b", "c%d", "e"]):
+        spark.range(k * 10, k * 10 + 4).withColumn("p", F.lit(part)).coalesce(1).write.mode("append").partitionBy("p").parquet(str(tmp_path / "t"))
+    names = {}
+    for f in (tmp_path / "t").rglob("*.parquet"):
+        f.rename(f.with_name("part-0.parquet"))
+    for limit in (records.MOST_SENT_FILES, 0):
+        records.MOST_SENT_FILES, kept = limit, records.MOST_SENT_FILES
+        try:
+            held = records.scan_records(spark, str(tmp_path / "t"))
+            rows = held.collect()
+        finally:
+            records.MOST_SENT_FILES = kept
+        assert len(rows) == 12 and len({r.tid for r in rows}) == 12 and held.columns == ["id", "p", "tid"]
+        for r in rows:
+            names.setdefault(r.p, set()).add(r.tid >> records.ROW_BITS)
+    assert sorted(map(len, names.values())) == [1, 1, 1] and len(set.union(*names.values())) == 3
+
+
+def test_high_water_mark(spark):
+    held = spark.createDataFrame([(0, "a"), (1, "b")], "tid long, s string")
+    less = records.remove(held, held.where("tid = 1"))
+    new = spark.createDataFrame([("c",)], "s string")
+    assert {r.tid for r in records.insert(less, new).collect()} == {0, 1}
+    assert {r.tid for r in records.insert(less, new, mark=1).collect()} == {0, 2}
+
+
+def test_missing_keys_of_an_index(spark):
+    index = OrderedIndex(spark.createDataFrame([(1, 1), (None, 2)], "key long, value long"))
+    assert [r.key for r in index.erase(None).entries.collect()] == [1]
+    assert [r.key for r in index.erase(1).entries.collect()] == [None]
+    assert index.erase().entries.count() == 2
+    with pytest.raises(DuplicateKey):
+        index.insert(spark.createDataFrame([(1, None)], "key long, value long"))
+
+
+def test_segment_and_access(spark):
+    from brindle.kinds import DOUBLE, INTEGER, access
+    from brindle.sources.catalog import segment
+
+    df = spark.createDataFrame([(1, "a")], "n long, s string")
+    create_relation(spark, "segment_of", df.coalesce(1))
+    name, files, pages = segment(spark, "segment_of")
+    spark.sql("DROP TABLE segment_of")
+    assert (name, files, pages) == ("segment_of", 1, 1)
+    assert df.select(access(df, 0, INTEGER)).first()[0] == 1
+    with pytest.raises(TypeError):
+        access(df, "n", DOUBLE)

@@ -120,3 +120,30 @@ def test_files_and_single_values(spark, tmp_path):
     (tmp_path / "empty").write_bytes(b"")
     assert file_is_sorted(str(tmp_path / "empty"), strict=True)
     assert evaluate_rpn(spark, "0 1 + 2 3 - *", [1, 2, 9, 4]) == 15
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_numbering_in_many_ranges(spark, monkeypatch, descending, kind):
+    from brindle.operators import sorting
+
+    monkeypatch.setattr(sorting, "RANGE_ROWS", 20)
+    monkeypatch.setattr(sorting, "EQUAL_ROWS", 7)
+    # one key holds a third of the rows, and most of its rows are alike
+    values = [random.Random(3).randrange(500) for _ in range(800)] + [7] * 400
+    data = [(float(v) if kind == "double" else v, 0 if k % 3 else k) for k, v in enumerate(values)]
+    rows = numbered(spark.createDataFrame(data, f"v {kind}, w long"), F.col("v"), descending).collect()
+    assert sorted(r.pos for r in rows) == list(range(1, 1201))
+    assert [r.v for r in sorted(rows, key=lambda r: r.pos)] == sorted((v for v, _ in data), reverse=descending)
+    assert sorted((r.v, r.w) for r in rows) == sorted(data)
+
+
+def test_places_of_a_raw_file(spark, tmp_path):
+    from brindle.sources.uint64 import read_placed
+
+    data = np.array(CASES["random"], np.uint64)
+    (tmp_path / "in").write_bytes(data.tobytes())
+    got = {r.place: r.x % 2**64 for r in read_placed(spark, str(tmp_path / "in")).collect()}
+    assert [got[k] for k in range(len(data))] == data.tolist()
+    (tmp_path / "none").write_bytes(b"")
+    assert read_placed(spark, str(tmp_path / "none")).count() == 0
