@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 class Scratch:
     """Parquet tables under ``spark.checkpoint.dir`` of the session.
 
-    They cut lineage and outlive executors.  Where the setting is absent (as in
-    tests on one machine) a folder under /tmp/checkpoints is used.
+    They cut lineage and outlive executors.  Where the setting is absent, a
+    session whose tasks all run in the driver's process uses a local folder; on
+    a cluster, where that would lose tables, it is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+            top = "file:///tmp/checkpoints"
         self.spark, self.folder = spark, f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.number = 0
 
