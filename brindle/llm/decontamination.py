@@ -12,15 +12,21 @@ least ``EXACT`` canonical words that lie in the item's order add up.
 
 Beside the templates, windows of ``EXACT`` lower-cased words as they stand are
 joined too, so that a verbatim copy is found whatever its case and whatever
-its words are made of; one such window is a leak, however long the item.  An item of at most ``EXACT`` words, or without a window of
-enough words that are no numbers, is looked for as a whole.
+its words are made of; one such window is a leak, however long the item.  An item
+of at most ``EXACT`` words, or without a window of enough words that are no
+numbers, is looked for as a whole.  Items made mostly of numbers and names have
+longer windows with fewer other words (``widths``), and short ones are one window.
 
-The benchmark's windows are sent to all tasks in blocks of at most
-``BLOCK_WINDOWS``; a larger benchmark takes several passes over the documents.
+The benchmark's windows are sent to all tasks as one block of at most
+``BLOCK_WINDOWS``.  A larger benchmark is cut into such blocks.  A bit map of all
+windows (``MAP_BITS``) then picks the documents that can have a leak; these are
+stored, and the blocks pass over them one after the other, so that no task holds
+two.
 
 Null and empty texts have no leaks; null items and items of fewer than
-``LEAST_WORDS`` canonical words are skipped; repeated items and repeated
-documents give repeated rows; empty tables give empty results.
+``LEAST_WORDS`` words are skipped; items of numbers alone are found verbatim only;
+repeated items and repeated documents give repeated rows; empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -34,13 +40,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm.scratch import Scratch
 from brindle.llm.textbytes import class_table, hash_spans, pieces, splitmix, utf8_views
 
 #: Canonical words of a window, and how many of them must be no placeholders.
 WINDOW, LEAST_PLAIN = 5, 3
 #: Words of an exact window.
 EXACT = 8
-#: Items with fewer canonical words can't be told from chance.
+#: Windows of items without any of those: canonical words, and plain ones among them.
+SPARSE, LEAST_SPARSE = 8, 2
+#: Bits of the map of all windows of a large benchmark.
+MAP_BITS = 27
+#: Items with fewer words can't be told from chance.
 LEAST_WORDS = 3
 #: Share of an item's windows that an alignment covers, and of its slots that agree.
 LEAST_COVER, LEAST_AGREE = 0.5, 0.75
@@ -155,11 +166,23 @@ def templates(raw: np.ndarray, at: np.ndarray):
         yield holder, Template.join(held)
 
 
-def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
+def widths(t: Template) -> tuple[int, int]:
+    """(canonical words of an item's windows, plain words that each of them has at least); (0, 0) for none."""
+    n, plain = len(t.canon), t.kind == PLAIN
+    size = min(WINDOW, n)
+    tries = [(size, min(LEAST_PLAIN, size))]
+    tries += [(SPARSE, LEAST_SPARSE), (SPARSE, 1)] if n > SPARSE else [(n, LEAST_SPARSE), *[(n, 1)] * (n >= WINDOW)]
+    for size, least in tries:
+        if n >= LEAST_WORDS and len(_plain_places(plain, size, least)):
+            return size, least
+    return 0, 0
+
+
+def windows(t: Template, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(first place, hash) of the windows with enough plain words."""
     if len(t.canon) < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    good = _plain_places(t.kind == PLAIN, size)
+    good = _plain_places(t.kind == PLAIN, size, least)
     return good, _window_hashes(t.canon, size)[good]
 
 
@@ -171,10 +194,10 @@ def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return splitmix(value + np.uint64(size))
 
 
-def _plain_places(plain: np.ndarray, size: int) -> np.ndarray:
+def _plain_places(plain: np.ndarray, size: int, least: int) -> np.ndarray:
     """First places of the windows with enough plain words."""
     before = np.r_[0, np.cumsum(plain)]
-    return np.flatnonzero(before[size:] - before[:-size] >= min(LEAST_PLAIN, size))
+    return np.flatnonzero(before[size:] - before[:-size] >= least)
 
 
 def _lookup(parts: list[tuple[int, np.ndarray, np.ndarray]]):
@@ -187,14 +210,31 @@ def _lookup(parts: list[tuple[int, np.ndarray, np.ndarray]]):
     return value[order], item[order], place[order], maybe
 
 
-def _equal(held, here: np.ndarray, hashed: np.ndarray):
-    """(item, place in the text, place in the item) of equal windows."""
+def _equal(held, here: np.ndarray, hashed: np.ndarray, least: np.ndarray | None = None):
+    """(item, place in the text, place in the item) of equal windows.
+
+    With ``least`` (per item) only of items of which so many windows are there:
+    counted first, on each different window of the text once, so that a window
+    that very many items share costs no more than its items.
+    """
     value, item, place, maybe = held
     some = np.flatnonzero(maybe[(hashed >> np.uint64(44)).astype(np.int64)])
-    a = np.searchsorted(value, hashed[some], "left")
-    count = np.searchsorted(value, hashed[some], "right") - a
-    at = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
-    return item[at], np.repeat(here[some], count), place[at]
+    here, hashed = here[some], hashed[some]
+    if least is not None and len(some):
+        at, _ = _ranges(value, np.unique(hashed))
+        found, count = np.unique(item[at], return_counts=True)
+        found = found[count >= least[found]]
+        at = np.sort(at[np.isin(item[at], found)])
+        value, item, place = value[at], item[at], place[at]
+    at, count = _ranges(value, hashed)
+    return item[at], np.repeat(here, count), place[at]
+
+
+def _ranges(value: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of equal values in the sorted ``value``, their number) for each hash."""
+    a = np.searchsorted(value, hashed, "left")
+    count = np.searchsorted(value, hashed, "right") - a
+    return np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum()), count
 
 
 class BenchmarkIndex:
@@ -203,29 +243,38 @@ class BenchmarkIndex:
     def __init__(self, items: list[tuple[int, Template]]):
         self.ids = [i for i, _ in items]
         self.templates = [t for _, t in items]
-        self.total: list[int] = []
+        self.width: list[int] = []
         self.whole: list[bool] = []
+        total = np.zeros(len(items), np.int64)
         found, exact = defaultdict(list), defaultdict(list)
         for k, t in enumerate(self.templates):
-            size = min(WINDOW, len(t.canon))
-            place, value = windows(t, size) if size >= LEAST_WORDS else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-            self.total.append(len(place))
-            found[size].append((k, place, value))
+            size, least = widths(t)
+            self.width.append(size)
+            if size:
+                place, value = windows(t, size, least)
+                total[k] = len(place)
+                found[size, least].append((k, place, value))
             size = min(EXACT, len(t.words))
-            place = _plain_places(~t.number, size) if len(t.words) > EXACT else np.zeros(0, np.int64)
+            place = _plain_places(~t.number, size, LEAST_PLAIN) if len(t.words) > EXACT else np.zeros(0, np.int64)
             self.whole.append(not len(place))
-            if len(t.canon) >= LEAST_WORDS:
+            if len(t.words) >= LEAST_WORDS:
                 place = place if len(place) else np.zeros(1, np.int64)
                 exact[size].append((k, place, _window_hashes(t.words, size)[place]))
-        self.sizes = {size: _lookup(parts) for size, parts in found.items() if sum(len(p) for _, p, _ in parts)}
+        self.total, self.least = total, LEAST_COVER * total
+        self.sizes = {size: _lookup(parts) for size, parts in found.items()}
         self.exact = {size: _lookup(parts) for size, parts in exact.items()}
 
-    def hits(self, t: Template) -> dict[int, list[tuple[int, int]]]:
-        """Per item number: (place in the text, place in the item) of equal template windows."""
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for size, held in self.sizes.items():
-            for k, d, p in zip(*(x.tolist() for x in _equal(held, *windows(t, size)))):
-                out[k].append((d, p))
+    def hits(self, t: Template) -> dict[int, np.ndarray]:
+        """Per item number: (place in the text, place in the item) of equal template windows, if they may be enough."""
+        out: dict[int, np.ndarray] = {}
+        for (size, least), held in self.sizes.items():
+            item, d, p = _equal(held, *windows(t, size, least), self.least)
+            if not len(item):
+                continue
+            order = np.argsort(item, kind="stable")
+            pairs = np.stack([d, p], 1)[order]
+            first = np.flatnonzero(np.r_[True, np.diff(item[order]) != 0])
+            out |= zip(item[order[first]].tolist(), np.split(pairs, first[1:]))
         return out
 
     def verbatim(self, t: Template) -> dict[int, dict]:
@@ -251,9 +300,7 @@ class BenchmarkIndex:
         """Alignments of a text that are leaks, by item: of templates, or else of equal words."""
         out = self.verbatim(t)
         for k, pairs in self.hits(t).items():
-            if len({p for _, p in pairs}) < LEAST_COVER * self.total[k]:
-                continue
-            if found := self.aligned(t, k, np.array(pairs)):
+            if found := self.aligned(t, k, pairs):
                 out[k] = found
         return [{"item_id": self.ids[k], **found} for k, found in sorted(out.items())]
 
@@ -309,15 +356,14 @@ class BenchmarkIndex:
         cover = len(np.unique(near[:, 1])) / self.total[k]
         if cover < LEAST_COVER:
             return None
-        agree = self.agreement(t, self.templates[k], near.tolist())
+        agree = self.agreement(t, self.templates[k], near.tolist(), self.width[k])
         if agree < LEAST_AGREE:
             return None
         return {"cover": cover, "agree": agree, "first_word": int(t.word[near[:, 0].min()])}
 
     @staticmethod
-    def agreement(t: Template, item: Template, near: list[tuple[int, int]]) -> float:
+    def agreement(t: Template, item: Template, near: list[tuple[int, int]], size: int) -> float:
         """Share of the aligned slots whose values map one to one; 1 without slots."""
-        size = min(WINDOW, len(item.canon))
         slots = {(p + s, d + s) for d, p in near for s in range(size) if item.kind[p + s] != PLAIN and item.kind[p + s] == t.kind[d + s]}
         if not slots:
             return 1.0
@@ -356,37 +402,102 @@ _LEAK_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("cover", pa.float64(
 def with_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] | None = None, column: str = "leaks") -> DataFrame:
     """``docs`` (or its columns ``keep``) with the array of leaks of each row.
 
-    Without benchmark items every array is empty.  Several blocks of items take
-    a pass each; their arrays are joined.
+    Without benchmark items every array is empty.
     """
-    spark = docs.sparkSession
     base = [c for c in (keep or docs.columns) if c != column]
-    blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark)]
-    out = docs.select(*dict.fromkeys([*base, "text"]))
-    if not blocks:
-        return out.withColumn(column, F.array().cast(_LEAK)).select(*base, column)
-    names = out.columns
-    mark = "_leaks_of_block"
-    while any(c.startswith(mark) for c in names):
-        mark += "_"
-
-    def searching(shared, target, columns):
+    blocks = benchmark_blocks(benchmark)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs.select(*base, F.array().cast(_LEAK).alias(column))
+    if second is not None:
+        del first, second
+        return _block_by_block(docs, benchmark, base, column)
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+    # the given columns travel in a struct, so that no name clashes
+    rows = docs.select(F.struct(*base).alias("row") if base else F.lit(0).alias("row"), "text")
+
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            leaks: list[list[dict]] = [[]] * batch.num_rows
+            for row, t in templates(*utf8_views(batch.column("text"))):
+                if found := index.leaks(t):
+                    leaks[row] = found
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(leaks, _LEAK_ARROW)], names=["row", "leaks"])
+
+    found = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("leaks", _LEAK)]))
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in base], F.col("leaks").alias(column))
+
+
+class WindowMap:
+    """A bit map of the windows of all items, each kind by itself: what a text must hit to have a leak."""
+
+    def __init__(self, bits: int):
+        self.shift, self.held = np.uint64(64 - bits), np.zeros(1 << (bits - 3), np.uint8)
+        self.sizes: set[tuple[int, int]] = set()
+        self.exact: set[int] = set()
+
+    def add(self, index: BenchmarkIndex) -> None:
+        self.sizes |= set(index.sizes)
+        self.exact |= set(index.exact)
+        for value, *_ in [*index.sizes.values(), *index.exact.values()]:
+            at = (value >> self.shift).astype(np.int64)
+            np.bitwise_or.at(self.held, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+    def met(self, t: Template) -> bool:
+        kinds = [windows(t, *size)[1] for size in self.sizes] + [_window_hashes(t.words, size) for size in self.exact]
+        at = (np.concatenate(kinds) >> self.shift).astype(np.int64)
+        return bool(((self.held[at >> 3] >> (at & 7).astype(np.uint8)) & 1).any())
+
+
+def _block_by_block(docs: DataFrame, benchmark: DataFrame, base: list[str], column: str) -> DataFrame:
+    """``with_leaks`` for a benchmark of several blocks."""
+    context = docs.sparkSession.sparkContext
+    scratch = Scratch(docs.sparkSession, "leaks")
+    windows_of_all = WindowMap(MAP_BITS)
+    for block in benchmark_blocks(benchmark):
+        windows_of_all.add(block)
+    shared = context.broadcast(windows_of_all)
+    rows = docs.select(F.struct(*base).alias("row") if base else F.lit(0).alias("row"), "text")
+
+    def picked(wanted):
         def run(batches):
-            index = shared.value
+            every = shared.value
             for batch in batches:
-                leaks: list[list[dict]] = [[]] * batch.num_rows
+                met = np.zeros(batch.num_rows, bool)
                 for row, t in templates(*utf8_views(batch.column("text"))):
-                    if found := index.leaks(t):
-                        leaks[row] = found
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(leaks, _LEAK_ARROW)], names=[*columns, target])
+                    met[row] = every.met(t)
+                yield batch.filter(pa.array(met == wanted))
 
         return run
 
-    for k, shared in enumerate(blocks):
-        columns = out.columns if k < len(blocks) - 1 else [c for c in out.columns if c in base or c not in names]
-        schema = T.StructType([*[out.schema[c] for c in columns], T.StructField(f"{mark}{k}", _LEAK)])
-        out = out.mapInArrow(searching(shared, f"{mark}{k}", columns), schema)
-    return out.select(*base, F.concat(*[F.col(f"{mark}{k}") for k in range(len(blocks))]).alias(column))
+    held = rows.mapInArrow(picked(True), rows.schema).withColumn("number", F.monotonically_increasing_id())
+    held = scratch.keep(held, "held")
+    parts = []
+    for k, block in enumerate(benchmark_blocks(benchmark)):
+        one = context.broadcast(block)
+
+        def run(batches):
+            index = one.value
+            for batch in batches:
+                number, out = batch.column("number").to_pylist(), []
+                for row, t in templates(*utf8_views(batch.column("text"))):
+                    if found := index.leaks(t):
+                        out.append((number[row], found))
+                numbers, leaks = zip(*out) if out else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(leaks, _LEAK_ARROW)], names=["number", "leaks"])
+
+        schema = T.StructType([T.StructField("number", T.LongType()), T.StructField("leaks", _LEAK)])
+        parts.append(scratch.keep(held.select("number", "text").mapInArrow(run, schema), f"block{k}").withColumn("block", F.lit(k)))
+        one.unpersist()
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    found = found.groupBy("number").agg(F.flatten(F.array_sort(F.collect_list(F.struct("block", "leaks"))).getField("leaks")).alias("leaks"))
+    none = F.array().cast(_LEAK)
+    some = held.join(found, "number", "left").select("row", F.coalesce("leaks", none).alias("leaks"))
+    rest = rows.mapInArrow(picked(False), rows.schema).select("row", none.alias("leaks"))
+    return some.unionByName(rest).select(*[F.col(f"row.`{c}`").alias(c) for c in base], F.col("leaks").alias(column))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

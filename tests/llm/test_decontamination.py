@@ -102,6 +102,77 @@ def test_parts_of_items_are_found_and_added_up():
     assert leaks(f"so {b} {noise} {a}", item) == []
 
 
+SHORT = [
+    "Is 91 prime?",
+    "What is 12 + 34?",
+    "Compute 3 + 4 * 12 - 5 now",
+    "Solve 2 x + 7 = 19",
+    "Who was Marie Curie?",
+    "How far is Paris from Rome?",
+    "What is 15 percent of 80 kg?",
+    "Sort 9 3 7 1 8 2 and add 4",
+    "Add 1 2 3 4 5 6 7 8 9 10 11 12",
+    "Round 12.75 to 1 place",
+    "Divide 144 by 12",
+    "Is 17 larger than 71?",
+]
+
+
+def other_values(text, rng):
+    """The same question with other numbers, names and units; equal ones change alike."""
+    to = {}
+
+    def new(m):
+        w = m[0]
+        if w not in to:
+            if w.isdigit():
+                to[w] = str(1000 + 7 * len(to) + rng.randrange(7))
+            elif w.lower() in d.UNITS:
+                to[w] = rng.choice([u for u in d.UNITS if u != w])
+            else:
+                to[w] = rng.choice(["Bo", "Li", "Ada", "Max"]) + "xyzw"[len(to) % 4] + "abcd"[len(to) // 4 % 4]
+        return to[w]
+
+    head, _, rest = text.partition(" ")
+    return head + " " + re.sub(r"\b\d+\b|(?<=\d )(?:kg|percent)\b|\b[A-Z][a-z]+\b", new, rest)
+
+
+def test_every_item_pasted_verbatim_is_found(spark):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    items += [(10_000 + k, t) for k, t in enumerate(SHORT)]
+    index = d.BenchmarkIndex([(i, template(t)) for i, t in items])
+    for i, t in items:
+        for text in ("so it goes. " + t + " And on", "amid words " + t.lower() + " it stands", "".join(c if c == "ß" else c.upper() for c in t)):
+            assert i in [x["item_id"] for x in index.leaks(template(text))], t
+
+
+def test_recall_of_reparameterised_items():
+    rng = random.Random(12)
+    names, things = ["Tom", "Anna", "Lisa", "Bob"], ["apples", "pears", "books", "coins"]
+    items = list(SHORT)
+    for _ in range(60):
+        a, b = rng.sample(names, 2)
+        x, y = rng.sample(things, 2)
+        items.append(f"The shop of {a} sells {rng.randrange(90)} {x} to {b} for {rng.randrange(900)} dollars. If {b} buys {rng.randrange(50)} kg of {y} from {a} too, how much is left to {b}?")
+    index = d.BenchmarkIndex([(k, template(t)) for k, t in enumerate(items)])
+    found = [k in [x["item_id"] for x in index.leaks(template("Some words. " + other_values(t, rng) + " More words"))] for k, t in enumerate(items)]
+    assert np.mean(found[: len(SHORT)]) >= 0.9 and np.mean(found[len(SHORT) :]) >= 0.9
+    clean = ["The market opens at 8 and closes at 17.", "In 1984 Anna moved to Rome.", "There are 12 apples and 30 pears in the shop of Tom.", "She was 91 and he 17 when they met in Paris."]
+    assert all(index.leaks(template(t)) == [] for t in clean)
+
+
+def test_a_window_of_very_many_items():
+    """Items that share their opening: each is judged by its own windows."""
+    rng = random.Random(13)
+    words = [f"{a}{b}" for a in "abcdefghijklmnop" for b in "qrstuvwxyz"]
+    opening = "in the following passage find the"
+    items = [opening + " " + " ".join(rng.sample(words, 20)) for _ in range(3000)]
+    index = d.BenchmarkIndex([(k, template(t)) for k, t in enumerate(items)])
+    text = " ".join([opening + " best of it"] * 100) + " " + items[7]
+    assert [x["item_id"] for x in index.leaks(template(text))] == [7]
+    assert len(index.hits(template(text))) == 1
+
+
 def test_query_finds_every_passage_and_nothing_else(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
