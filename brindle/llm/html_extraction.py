@@ -3,7 +3,14 @@
 A page is a sequence of tags and words.  Words score by where they stand, tags
 by their name; a linear scan finds the contiguous run of the largest sum, the
 content region.  Blocks that the region touches are kept, without what stands
-in menus, footers, adverts, forms, comments and the like.
+in menus, footers, adverts, forms, comments and the like: elements that are such
+by their name or role, and elements whose class words weigh against them.
+
+Class words are features with weights like the rest.  A word that its class
+qualifies (``no-sidebar``, ``comments-open``, ``ad-free``) is a feature of its own,
+and an element that a class names the article, or that is one, needs more than
+one word against it.  Where nothing is left, class words (but those of comments)
+have misled: the page is read again without them.
 
 Weights are log-odds from labelled pages: pages that mark their article with
 ``article``, ``main`` or ``itemprop=articleBody`` tell what is inside of it and
@@ -22,7 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Most labelled pages that weights are learnt from (smallest hashes of page_id).
+from brindle.llm.sample import smallest
+
+#: Most labelled pages that weights are learnt from (smallest hashes of page_id among the pages that mark an article).
 TRAIN_PAGES = 2000
 
 # Kinds of elements.
@@ -34,16 +43,23 @@ CLOSES_P = BLOCKS - frozenset("td th tr tbody thead tfoot body html".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners promo promotion sponsor sponsored sponsors sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion widget widgets toolbar pagination pager search skip hidden".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 ARTICLE_WORDS = frozenset("article post entry content story title".split())
+#: Words of a class that say how things are, not what the element is.
+STATES = frozenset("no non not without has have with is free open opened closed enabled disabled off on print only hide show".split())
 NOISE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 
 #: What stands in an element of boilerplate is left out anyway, wherever it is;
 #: it scores little, so that an advert amid the article doesn't end it.
 NOISE = -0.01
+#: What it says for an element that it is an article, or that a class names it one.
+CONTAINER = 2.0
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)["']?>?|<[!?/][^>]*+>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 def _raw_end(page: str, name: str, at: int) -> int:
@@ -51,24 +67,42 @@ def _raw_end(page: str, name: str, at: int) -> int:
     return found.start() if found else len(page)
 
 
-def _noisy(name: str, attributes: str, in_article: bool) -> bool:
+def class_features(value: str, in_article: bool) -> list[str]:
+    """Features of a class or id: its known words, qualified ones with a ``~``, names of the article with a ``+``."""
+    out = []
+    for token in _CAMEL.sub("-", value).lower().split():
+        words = _SPLIT.split(token)
+        stated = "~" if not STATES.isdisjoint(words) else ""
+        against = [w for w in words if w in NOISE_WORDS or (w == "header" and not in_article)]
+        names = [w for w in words if w in ARTICLE_WORDS]
+        if "header" in against and names:
+            against.remove("header")
+        out += [f"c:{stated}{w}" for w in against]
+        if names and not against and not stated:
+            out.append("c:+" + names[0])
+        elif against:
+            out += [f"c:{stated}{w}" for w in names]
+    return out
+
+
+def _judged(name: str, attributes: str, in_article: bool) -> tuple[bool, list[str]]:
+    """(whether an element is boilerplate by its name, role or look, its class features)."""
     if name in SKIPPED or (name == "header" and not in_article):
-        return True
+        return True, []
+    features: list[str] = []
     if not attributes or attributes.isspace():
-        return False
+        return False, features
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), (a or b or c).lower()
+        key, value = key.lower(), (a or b or c)
         if key in ("class", "id") and name not in ("body", "html", "main"):
-            words = _SPLIT.split(value)
-            if not NOISE_WORDS.isdisjoint(words) or ("header" in words and not in_article and ARTICLE_WORDS.isdisjoint(words)):
-                return True
-        elif key == "role" and value.strip() in NOISE_ROLES:
-            return True
-        elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            features += class_features(value, in_article)
+        elif key == "role" and value.strip().lower() in NOISE_ROLES:
+            return True, features
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+            return True, features
+        elif key == "style" and _DISPLAY.search(value.lower()):
+            return True, features
+    return False, features
 
 
 @dataclass
@@ -81,12 +115,17 @@ class Piece:
     block: int = -1
     inside: bool = False  # in an element that marks the article
     noise: bool = False
+    features: tuple[str, ...] = ()  # class features of the elements around it
+
 
+def tokens(page: str, weights: Weights | None = None, classes: bool = True) -> tuple[list[Piece], bool]:
+    """The pieces of a page, and whether it marks its article.
 
-def tokens(page: str) -> tuple[list[Piece], bool]:
-    """The pieces of a page, and whether it marks its article."""
+    Without ``classes`` the only class words that count are those of comments.
+    """
+    weights = weights or Weights()
     out: list[Piece] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, noise inside of it, article inside of it
+    stack: list[tuple[str, bool, bool, tuple[str, ...]]] = []  # element, noise inside of it, article inside of it, features
     block, at, marked = 0, 0, False
 
     def text(raw: str) -> None:
@@ -98,7 +137,7 @@ def tokens(page: str) -> tuple[list[Piece], bool]:
         inside = bool(stack) and stack[-1][2]
         place = "noise" if noise else next((s[0] for s in reversed(stack) if s[0] in BLOCKS or s[0] == "a"), "none")
         decoded = html.unescape(raw) if "&" in raw else raw
-        out.append(Piece("w:" + place, len(decoded.split()), decoded, block, inside, noise))
+        out.append(Piece("w:" + place, len(decoded.split()), decoded, block, inside, noise, stack[-1][3] if stack else ()))
 
     def pop(k: int) -> None:
         nonlocal block
@@ -150,20 +189,32 @@ def tokens(page: str) -> tuple[list[Piece], bool]:
         if name in BLOCKS:
             block += 1
         marks = name in ("article", "main") or "articlebody" in (m[3] or "").lower()
-        noise = noise or _noisy(name, m[3] or "", inside or marks)
+        hard, features = _judged(name, m[3] or "", inside or marks)
+        if not noise:
+            seen = features if classes else [f for f in features if f.removeprefix("c:") in COMMENT_WORDS]
+            # an element that is an article itself, but not one inside of another, speaks for itself
+            noise = hard or (bool(seen) and sum(map(weights.of, seen)) + (CONTAINER if marks and not inside else 0.0) < 0)
         inside = inside or (marks and not noise)
         marked = marked or inside
         out.append(Piece("noise" if noise else "<" + (name if name in BLOCKS else "other"), 1, " " if name == "br" else "", block, inside, noise))
+        around = (*(stack[-1][3] if stack else ()), *features) if features else (stack[-1][3] if stack else ())
         if name in RAW:
             end = _raw_end(page, name, at)
             at = end
-            stack.append((name, True, inside))
+            stack.append((name, True, inside, around))
         elif name not in VOID and not (m[3] or "").rstrip().endswith("/"):
-            stack.append((name, noise, inside))
+            stack.append((name, noise, inside, around))
     return out, marked
 
 
 def prior(kind: str) -> float:
+    if kind.startswith("c:"):
+        word = kind[2:]
+        if word[0] == "+":
+            return CONTAINER
+        if word[0] == "~":
+            return 0.0
+        return -3.0 if word in COMMENT_WORDS else 1.0 if word in ARTICLE_WORDS else -2.0
     if kind in ("noise", "w:noise"):
         return NOISE
     if kind == "w:a":
@@ -186,13 +237,15 @@ class Weights:
 
 def weights_from(counts: dict[str, tuple[int, int]]) -> Weights:
     """Log-odds of (inside, outside) counts, with the prior as if seen a few times."""
-    ins, outs = sum(a for a, _ in counts.values()) or 1, sum(b for _, b in counts.values()) or 1
+    plain = [n for kind, n in counts.items() if not kind.startswith("c:")]
+    ins, outs = sum(a for a, _ in plain) or 1, sum(b for _, b in plain) or 1
     score = {}
     for kind, (a, b) in counts.items():
         if kind in ("space", "noise", "w:noise") or a + b == 0:
             continue
         odds = math.log((a / ins + 1e-6) / (b / outs + 1e-6))
-        trust = (a + b) / (a + b + 5.0)
+        # class words are rare and their priors telling: they take more examples
+        trust = (a + b) / (a + b + (200.0 if kind.startswith("c:") else 5.0))
         score[kind] = max(-3.0, min(3.0, trust * odds + (1 - trust) * prior(kind)))
     return Weights(score)
 
@@ -215,7 +268,14 @@ def best_region(pieces: list[Piece], weights: Weights) -> tuple[int, int]:
 
 def extract(page: str, weights: Weights) -> str:
     """Main text: blocks of the region in page order, white space collapsed."""
-    found, _ = tokens(page)
+    found, _ = tokens(page, weights)
+    text = _region_text(found, weights)
+    if not text and any(p.features and p.noise and p.kind.startswith("w:") for p in found):
+        text = _region_text(tokens(page, weights, classes=False)[0], weights)
+    return text
+
+
+def _region_text(found: list[Piece], weights: Weights) -> str:
     a, b = best_region(found, weights)
     words = [p.block for p in found[a:b] if p.kind.startswith("w:") and not p.noise]
     if not words:
@@ -230,15 +290,14 @@ def extract(page: str, weights: Weights) -> str:
 
 
 def train_weights(pages: DataFrame, most: int = TRAIN_PAGES) -> Weights:
-    """Weights from at most ``most`` pages; only counts of token kinds reach the driver.
+    """Weights from at most ``most`` pages that mark their article; only counts of token kinds reach the driver.
 
     There are a few hundred kinds at most: they are made of the element names
-    listed above.
+    and class words listed above.  Pages without id are no examples; of repeated
+    ids one row is taken.
     """
-    ids = [r[0] for r in pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most).collect()]
-    if not ids:
-        return Weights()
-    sample = pages.select("page_id", "html").where(F.col("page_id").isin(ids) & F.col("html").isNotNull()).select("html")
+    marking = pages.select("page_id", "html").where(F.col("page_id").isNotNull() & F.col("html").rlike(r"(?i)<(article|main)[\s>/]|articlebody"))
+    sample = smallest(marking, "page_id", most).select("html")
 
     def count(batches):
         tally: dict[str, list[int]] = {}
@@ -248,7 +307,9 @@ def train_weights(pages: DataFrame, most: int = TRAIN_PAGES) -> Weights:
                 if not marked:
                     continue
                 for p in found:
-                    tally.setdefault(p.kind, [0, 0])[0 if p.inside and not p.noise else 1] += p.count
+                    side = 0 if p.inside and not p.noise else 1
+                    for kind in {p.kind, *p.features}:
+                        tally.setdefault(kind, [0, 0])[side] += p.count
         kinds = list(tally)
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([tally[k][0] for k in kinds], pa.int64()), pa.array([tally[k][1] for k in kinds], pa.int64())], names=["kind", "ins", "outs"])
 

@@ -5,7 +5,8 @@ through it gives, at each word and for each template, the length of the longest
 run that ends there and stands in it.  Runs that can't be extended in their template
 are the long matches;
 chaining those that lie in template order covers spans of the text, and a
-template counts when enough of its words are covered.
+template counts when enough of its words are covered.  Where its label names a
+version, the version's numbers in the wording must be covered too.
 
 Phrases (short names of licences) are templates of the same automaton; each
 place where all words of a phrase stand is reported.
@@ -104,6 +105,16 @@ class SuffixAutomaton:
         return new
 
 
+def version_places(label: str, words: list[bytes]) -> frozenset[int]:
+    """Places of the numbers behind ``version`` or ``v`` in a wording whose label names a version."""
+    out: set[int] = set()
+    if any(c.isdigit() for c in label):
+        for k, w in enumerate(words):
+            if w.isdigit() and k and (words[k - 1] in (b"version", b"v") or k - 1 in out):
+                out.add(k)
+    return frozenset(out)
+
+
 class LicenseIndex:
     """The automaton over phrases and templates, and the numbers of their words."""
 
@@ -113,6 +124,7 @@ class LicenseIndex:
         self.sequences = []
         for _, text in [*self.phrases, *self.templates]:
             self.sequences.append([numbers.setdefault(int(h), len(numbers)) for h in word_ids(text)[0]])
+        self.versions = [version_places(label, word_ids(text)[1]) for label, text in self.templates]
         known = np.array(sorted(numbers), np.uint64)
         self.hashes, self.numbers = known, np.array([numbers[int(h)] for h in known], np.int64)
         self.automaton = SuffixAutomaton(self.sequences)
@@ -190,29 +202,31 @@ class LicenseIndex:
 
     def chains(self, matches: list[tuple[int, tuple[int, ...], int, int]]) -> list[Span]:
         """The covered spans of templates, from the matches of a text in order."""
-        open_: dict[int, list[list[int]]] = {}
+        open_: dict[int, list[list]] = {}
         skip = len(self.phrases)
         spans: list[Span] = []
 
-        def close(k: int, chain: list[int]) -> None:
+        def close(k: int, chain: list) -> None:
             size = len(self.sequences[k])
             cover = chain[3] / size
-            if cover >= LEAST_COVER:
+            if cover >= LEAST_COVER and all(any(a <= v < b for a, b in chain[4]) for v in self.versions[k - skip]):
                 spans.append(Span(self.templates[k - skip][0], k - skip, chain[0], chain[1], min(1.0, cover)))
 
         for k, template_ends, run, end in matches:
             for template_end in template_ends:
                 start, best = end - run, None
                 for chain in open_.get(k, []):
-                    # chain: text start, text end, template end, words covered
+                    # chain: text start, text end, template end, words covered, ranges of the template
                     new = min(run, template_end - chain[2])
                     if chain[1] - run < start <= chain[1] + MOST_GAP and new > 0 and end > chain[1] and (best is None or chain[3] > best[3]):
                         best = chain
                 # a whole copy is a chain by itself
                 if best is None or run == len(self.sequences[k]):
-                    open_.setdefault(k, []).append([start, end, template_end, run])
+                    open_.setdefault(k, []).append([start, end, template_end, run, [(template_end - run, template_end)]])
                 else:
-                    best[3] += min(run, template_end - best[2], end - best[1])
+                    new = min(run, template_end - best[2], end - best[1])
+                    best[3] += new
+                    best[4].append((template_end - new, template_end))
                     best[1], best[2] = end, template_end
             # chains that no later match can reach
             for k, held in open_.items():

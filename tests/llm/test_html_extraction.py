@@ -70,3 +70,48 @@ def test_odd_pages(spark):
     assert rows[8] == "" and rows[9] == "" and rows[11] == "deep words here" and rows[12] == " ".join(["word"] * 200_000) and rows[14] == "&"
     assert extract_pages(df.limit(0), Weights()).count() == 0 and train_weights(df.limit(0)).score == {}
     assert len(tokens("<p>a</p>")[0]) == 3
+
+
+#: Ten and more ways that pages hold one article: where the marks go, which class words stand on it.
+BODY = "<h1>Head line of it</h1><p>The first paragraph has a number of words to read.</p><div class='ad'>Buy this now</div><p>The second one has a few more of them, and ends.</p>"
+TEXT = "Head line of it\nThe first paragraph has a number of words to read.\nThe second one has a few more of them, and ends."
+SHELL = "<html><head><title>T</title></head><body><nav><a href=/>Home</a> <a href=/b>News</a></nav>{}<div class='sidebar'><p>Popular: one, two, three</p></div><section id='comments'><div class='comment'><p>I liked it a lot, a whole lot, as readers do.</p></div></section><footer>Copyright of all</footer></body></html>"
+CLASSES = ["entry no-sidebar", "post comments-open", "content has-widgets", "single-post social-icons", "post ad-free", "article hidden-print", "post-content", "entryContent noAds", "story", "hentry post type-post with-sidebar", "main-column", ""]
+
+
+def test_class_words_on_the_article_cost_no_text(spark):
+    trained = train_weights(table(spark, SF, "pages"))
+    for weights in (Weights(), trained):
+        for words in CLASSES:
+            for form in ('<article class="{}">{}</article>', '<div class="{}">{}</div>', '<main><div class="{}">{}</div></main>', '<div id="page"><article class="{}" itemprop="articleBody">{}</article></div>', '<table><tr><td class="{}">{}</td></tr></table>'):
+                page = SHELL.format(form.format(words, BODY))
+                assert extract(page, weights) == TEXT, (words, form)
+
+
+def test_a_class_that_misleads_leaves_the_text():
+    for words in ("sidebar-layout", "notice", "menu-page"):
+        page = f"<html><body><div class='{words}'><p>All the words of this page stand here, and no others.</p></div><nav>Home</nav><div class='comments'><p>Nice one</p></div></body></html>"
+        assert extract(page, Weights()) == "All the words of this page stand here, and no others."
+    assert extract("<div class='comments'><p>Only what readers say, and they say much.</p></div>", Weights()) == ""
+
+
+def test_weights_come_from_pages_that_mark_an_article(spark):
+    plain = [(k, f"<html><body><div><p>words of page {k} without a mark</p></div></body></html>") for k in range(3000)]
+    marked = [(5000 + k, f"<html><body><ul><li>menu {k}</ul><article><p>words of page {k} inside</p></article></body></html>") for k in range(5)]
+    weights = train_weights(spark.createDataFrame(plain + marked, "page_id long, html string"), 100)
+    assert weights.of("w:p") > 1.0 > 0 > weights.of("w:li")
+
+
+def test_smallest_hashes_are_one_sample(spark):
+    from pyspark.sql import functions as F
+
+    from brindle.llm.sample import smallest
+
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 7).alias("v"))
+    df = df.unionAll(df.where("id < 40")).unionAll(spark.createDataFrame([(None, 1)], "id long, v long"))
+    expected = sorted(r.id for r in df.where("id is not null").select("id").distinct().orderBy(F.xxhash64("id")).limit(100).collect())
+    for parts in (1, 7):
+        assert sorted(r.id for r in smallest(df.repartition(parts), "id", 100).collect()) == expected
+    assert smallest(df, "id", 10**6).count() == 5000 and smallest(df.limit(0), "id", 3).count() == 0
+    hot = spark.createDataFrame([(1, k) for k in range(3000)] + [(k, 0) for k in range(50)], "id long, v long")
+    assert smallest(hot, "id", 20).count() == 20

@@ -4,7 +4,7 @@ import re
 import numpy as np
 from odd import ODD
 
-from brindle.llm.license_scan import LEAST_RUN, LicenseIndex, SuffixAutomaton, scan_licenses, word_ids
+from brindle.llm.license_scan import LEAST_COVER, LEAST_RUN, MOST_GAP, LicenseIndex, SuffixAutomaton, scan_licenses, word_ids
 from brindle.llm.license_texts import PHRASES, TEMPLATES
 
 
@@ -92,3 +92,73 @@ def test_long_text_is_scanned_whole(documents):
     row = scan_licenses(documents([text])).first()
     assert row["n_words"] == 360_004 and [p["start"] for p in row["places"]] == [360_002]
     assert scan_licenses(documents([])).count() == 0
+
+
+def test_another_version_is_another_licence():
+    index = LicenseIndex()
+    labels = lambda text: {s.label for s in index.scan(index.number(word_ids(text)[0]))[1]}
+    assert "apache-2.0" in labels("Licensed under the Apache License, Version 2.0.")
+    assert "apache-2.0" not in labels("Licensed under the Apache License, Version 1.1.")
+    for here, there in (("2", "3"), ("3", "2")):
+        found = labels(f"This work is licensed under the GNU General Public License, version {here}.")
+        assert f"gpl-{here}.0" in found and f"gpl-{there}.0" not in found
+
+
+def test_a_word_of_another_template_hides_none():
+    x, y = "alpha beta gamma delta epsilon hotel india juliet kilo lima", "alpha beta gamma delta epsilon foxtrot golf mike november oscar"
+    index = LicenseIndex([], [("x", x), ("y", y)])
+    for word in ("foxtrot", "zulu"):
+        text = x.replace("hotel", word + " hotel")
+        assert {(s.label, s.cover) for s in index.scan(index.number(word_ids(text)[0]))[1]} >= {("x", 1.0)}
+
+
+def test_chains_equal_brute_force():
+    """Templates of different words, edited: the cover is that of all long runs that no wide gap parts."""
+    rng = random.Random(9)
+    for _ in range(150):
+        words = [f"w{k}" for k in range(40)]
+        index = LicenseIndex([], [("t", " ".join(words))])
+        text: list[str] = []
+        for w in words:
+            if rng.random() < 0.06:
+                text += [f"n{rng.randrange(99)}" for _ in range(rng.choice([1, 2, 5, 30]))]
+            if rng.random() > 0.05:
+                text.append(w)
+        runs, best, start = [], 0.0, 0
+        for i in range(1, len(text) + 1):
+            if i == len(text) or not (text[i - 1][0] == "w" and text[i] == f"w{int(text[i - 1][1:]) + 1}"):
+                if text[i - 1][0] == "w" and i - start >= LEAST_RUN:
+                    runs.append((start, i))
+                start = i
+        held, last = 0, None
+        for a, b in runs:
+            held = held + b - a if last is not None and a - last <= MOST_GAP else b - a
+            best, last = max(best, held / len(words)), b
+        _, spans = index.scan(index.number(word_ids(" ".join(text))[0]))
+        covers = [s.cover for s in spans]
+        assert (max(covers) if covers else 0.0) == (best if best >= LEAST_COVER else 0.0)
+
+
+def test_query_columns(spark, tmp_path):
+    """The registered query: base columns by DuckDB, the method's by its own spans."""
+    import duckdb
+
+    from brindle.llm.queries import op4_license_scan
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in op4_license_scan(spark, sf).collect()}
+    words = " || ".join(f"CASE WHEN i + {len(p.split()) - 1} <= len(w) AND " + " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(p.split())) + f" THEN '{label},' ELSE '' END" for label, p in PHRASES)
+    sql = f"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM '{sf}/documents.parquet'),
+    p AS (SELECT doc_id, i, {words} AS l FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+    h AS (SELECT doc_id, i, unnest(string_split(rtrim(l, ','), ',')) AS l FROM p WHERE l <> '')
+    SELECT w.doc_id, len(any_value(w)) AS n_words, count(h.i) AS n_base, min(h.i) - 1 AS first_word, max(h.i) - 1 AS last_word, coalesce(string_agg(DISTINCT h.l, ',' ORDER BY h.l), '') AS base_labels
+    FROM w LEFT JOIN h USING (doc_id) GROUP BY w.doc_id"""
+    rows = duckdb.sql(sql).fetchall()
+    assert len(rows) == len(got) and any(r[2] for r in rows)
+    spans = {r["doc_id"]: r["spans"] for r in scan_licenses(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    for r in rows:
+        g = got[r[0]]
+        assert (g["doc_id"], g["n_words"], g["n_base"], g["first_word"], g["last_word"], g["base_labels"]) == r
+        base = set(r[5].split(",")) - {""}
+        assert g["labels"] == ",".join(sorted(base | {s["label"] for s in spans[r[0]]}))
+        assert g["score"] == max([0.5 if r[2] else 0.0, *[s["cover"] for s in spans[r[0]]]])
