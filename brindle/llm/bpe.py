@@ -5,16 +5,20 @@ the pair that begins there; its root is the leftmost pair of lowest rank.  A
 merge changes three leaves, so it costs a logarithmic number of node updates,
 and merging ends when the root has no pair.  The words that a piece of input
 needs are merged in step with each other: row k of the arrays is word k's tree.
+Few words of a length (long ones mostly) have their trees in plain lists.
 
 The vocabulary file is read with the standard json module; the tokenizers
 library gives only its own normaliser and splitter, for texts with characters
-outside of Latin script (elsewhere the same split is done by a pattern).
+outside of Latin script (elsewhere the same split is done by a pattern), and for
+all texts if the file's normaliser or splitter isn't the one of that pattern.
+Files of another kind than word-end byte-level BPE are refused.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from functools import lru_cache
 
@@ -25,6 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 _NONE = np.int64(1) << np.int64(62)
+#: So many words of a length are merged in step; fewer one by one.
+LEAST_ROWS = 8
+#: The normaliser and splitter that ``splitter`` and ``plain`` stand for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 #: Words whose codes a worker keeps; beyond, it begins anew.
 CACHE_WORDS = 250_000
 #: Code points of text that are split into words at a time.
@@ -94,6 +103,14 @@ class WordBpe:
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         suffix = model.get("end_of_word_suffix") or ""
+        plain_only = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        level = split[-1] if split else {}
+        if model["type"] != "BPE" or any(model.get(k) for k in plain_only) or level.get("type") != "ByteLevel" or level.get("add_prefix_space") or level.get("use_regex") or spec["post_processor"] or spec["decoder"]:
+            raise ValueError(f"{path} is no vocabulary of the kind that is read here")
+        if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added tokens of {path} match in ways that are not read here")
+        self.known_split = spec["normalizer"] == NORMALIZER and split[:-1] == [SPLIT]
         self.path, self.added = path, {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for t, k in (*vocab.items(), *self.added.items()):
@@ -104,7 +121,13 @@ class WordBpe:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = PairRanks(np.array([(vocab[a], vocab[b]) for a, b in pairs], np.int64).reshape(-1, 2))
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        # (left, right) -> rank, as the array form has it: the first of equal pairs
+        self.rank_of: dict[tuple[int, int], int] = {}
+        for k, (a, b) in enumerate(pairs):
+            self.rank_of.setdefault((vocab[a], vocab[b]), k)
+        self.merged_list, self.inner_list, self.final_list = self.merged.tolist(), self.inner.tolist(), self.final.tolist()
         self.splitter = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.lead = os.path.commonprefix(list(self.added))
         self.marks = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.plain = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xff]*")
         self.codes: dict[str, str] = {}
@@ -120,7 +143,11 @@ class WordBpe:
         leaves = 1 << np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64)
         for width in np.unique(leaves):
             rows = np.flatnonzero(leaves == width)
-            step = max(1, (1 << 18) // int(width))
+            if len(rows) < LEAST_ROWS:
+                for i in rows:
+                    out[i] = self._merge_alone(words[i], int(width))
+                continue
+            step = max(LEAST_ROWS, (1 << 18) // int(width))
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
                 symbols = self._merge_block([words[i] for i in part], int(width))
@@ -128,6 +155,53 @@ class WordBpe:
                     out[i] = ids
         return out
 
+    def _merge_alone(self, word: bytes, width: int) -> list[int]:
+        """Ids of one word, its segment tree in a list."""
+        n, rank_of, merged = len(word), self.rank_of, self.merged_list
+        symbol = [self.inner_list[b] for b in word]
+        symbol[-1] = self.final_list[word[-1]]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        none = 1 << 62
+        tree = [none] * (2 * width)
+        for k in range(n - 1):
+            r = rank_of.get((symbol[k], symbol[k + 1]))
+            if r is not None:
+                tree[width + k] = r * width + k
+        for k in range(width - 1, 0, -1):
+            a, b = tree[2 * k], tree[2 * k + 1]
+            tree[k] = a if a < b else b
+
+        def put(leaf: int, value: int) -> None:
+            k = width + leaf
+            tree[k] = value
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < value:
+                    value = other
+                k >>= 1
+                if tree[k] == value:
+                    return  # nothing changes above
+                tree[k] = value
+
+        while tree[1] < none:
+            rank, at = divmod(tree[1], width)
+            gone = after[at]
+            follow = after[gone]
+            symbol[at] = fresh = merged[rank]
+            symbol[gone] = -1
+            after[at] = follow
+            put(gone, none)
+            r = None
+            if follow < n:
+                before[follow] = at
+                r = rank_of.get((fresh, symbol[follow]))
+            put(at, none if r is None else r * width + at)
+            lead = before[at]
+            if lead >= 0:
+                r = rank_of.get((symbol[lead], fresh))
+                put(lead, none if r is None else r * width + lead)
+        return [s for s in symbol if s >= 0]
+
     def _merge_block(self, words: list[bytes], width: int) -> list[list[int]]:
         n = len(words)
         sizes = np.array([len(w) for w in words], np.int64)
@@ -187,20 +261,21 @@ class WordBpe:
 
         Units are words; an added token stands for itself.
         """
-        if self.marks and "<|" in text:
+        if self.marks and self.lead in text:
             parts = self.marks.split(text)
             if len(parts) > 1:
                 return [u for k, p in enumerate(parts) for u in ([p] if k % 2 else self._split(p))]
         return self._split(text)
 
     def _split(self, text: str) -> list[str]:
-        if self.plain.fullmatch(text):
+        if self.known_split and self.plain.fullmatch(text):
             return self.splitter.findall(text.lower())
         if self._library is None:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self.path)
-        text = self._library.normalizer.normalize_str(text)
+        if self._library.normalizer is not None:
+            text = self._library.normalizer.normalize_str(text)
         return self.splitter_of_library(text)
 
     def splitter_of_library(self, text: str) -> list[str]:

@@ -2,17 +2,20 @@
 
 The ids of documents in ascending order form one sequence.  It is written as
 frames of whole documents; a frame's ids are cut into blocks of at most
-``BLOCK`` ids, and every block is coded on its own, from a fresh model, and
-carries a CRC-32 of its ids.
-
-A block is coded id by id.  Three predictions compete: the id that followed the
-last two ids before (order 2), the one that followed the last id (order 1), and
-the latest id with the same low byte (order 0, named by that byte).  Which of
-them is right, if any, is a symbol of four; its frequencies mix two adaptive
-models (by the confidence of the orders 2 and 1, and without context), weighted
-by how well each has done in the block.  A range
-coder codes symbol, low byte or whole id.  All arithmetic is on integers, so
-that any machine decodes what another has coded.
+``BLOCK`` ids, and every block is coded on its own, from a model that begins anew,
+and carries a CRC-32 of its ids.  A frame's header has the frequencies of its ids
+(to an eighth of a power of two), from which every block begins; inside of the
+coder an id is its place in order of frequency.
+
+A block is coded id by id.  Predictions compete: the id that followed the last
+two ids before (order 2), the one that followed the last id (order 1), and for
+ids that are rare in the frame the latest one of the block with the same low byte
+(order 0).  Which of them is right, if any, is a symbol of four; its frequencies
+mix two adaptive models (by the confidence of the orders 2 and 1, and without
+context), weighted by how well each has done in the block.  Where none is right
+the id is coded by the frame's order-0 frequencies.  A range coder codes all of
+it.  All arithmetic is on integers, so that any machine decodes what another has
+coded.  Ids have up to 32 bits.
 
 Blocks don't depend on each other, so many are coded and decoded in step: lane
 k of the arrays is block k.
@@ -20,6 +23,7 @@ k of the arrays is block k.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -35,34 +39,112 @@ from brindle.llm.textbytes import PIECE_BYTES, hash_spans, pieces, utf8_views
 
 #: Ids of a block, of a frame (at least, unless it is the last), and lanes coded at a time.
 BLOCK, FRAME, LANES = 2048, 1 << 19, 4096
-MAGIC = b"BTF1"
+MAGIC = b"BTF2"
 #: Pieces of text whose ids a worker keeps; beyond, it begins anew.
 CACHE_PIECES = 2_000_000
 
 _TOP, _LEAST = np.uint64(1 << 48), np.uint64(1 << 32)
 _MASK = np.uint64((1 << 32) - 1)
 _SLOTS_BITS = 8
-#: Bits that follow each symbol: order 2, order 1, order 0 (a low byte), none (an id).
+#: Bits of what follows each symbol: order 2, order 1, order 0 (a low byte), none (by frequency).
 _TAIL = np.array([0, 0, 8, 16], np.uint64)
+#: Groups of ids with a frequency of their own, at most; more ids share groups of like frequency.
+MOST_GROUPS = 1 << 15
+#: Ids of at least this frequency (of 65,536) cost less by frequency than by a low byte.
+_FREQUENT = 128
 
 
-def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None):
+class Prior:
+    """Frequencies of the ids of a frame.
+
+    ids: in ascending order; classes: their counts as floats of five and three
+    bits.  Places go by falling class, then id.  Frequencies are of groups of
+    2 ** bits places, in 65,536ths.
+    """
+
+    def __init__(self, ids: np.ndarray, classes: np.ndarray):
+        self.ids, self.classes = ids, classes
+        order = np.argsort(-classes.astype(np.int64), kind="stable")
+        self.order = ids[order]
+        self.place = np.empty(len(ids), np.uint32)
+        self.place[order] = np.arange(len(ids), dtype=np.uint32)
+        self.bits = max(0, int(-(-len(ids) // MOST_GROUPS) - 1).bit_length())
+        kind = classes[order].astype(np.int64)
+        count = ((8 + (kind & 7)) << (kind >> 3)) >> 3
+        group = np.add.reduceat(count, np.arange(0, len(ids), 1 << self.bits)) if len(ids) else np.ones(1, np.int64)
+        width = group * (65536 - len(group)) // group.sum() + 1
+        width[0] += 65536 - width.sum()
+        self.width = width.astype(np.uint64)
+        self.start = np.cumsum(self.width) - self.width
+
+    @classmethod
+    def of(cls, stream: np.ndarray) -> Prior:
+        """That of a frame's ids."""
+        if len(stream) and int(stream.max()) < 1 << 22:
+            count = np.bincount(stream)
+            ids = np.flatnonzero(count)
+            count = count[ids]
+        else:
+            ids, count = np.unique(stream, return_counts=True)
+        power = np.zeros(len(count), np.int64)
+        for k in range(1, 40):
+            power += count >= 1 << k
+        return cls(ids.astype(np.uint32), ((power << 3) | (((count << 3) >> power) & 7)).astype(np.uint16))
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        return self.place[np.searchsorted(self.ids, ids)]
+
+    def slots(self) -> np.ndarray:
+        """The group of each of the 65,536 parts."""
+        return np.repeat(np.arange(len(self.width), dtype=np.uint32), self.width.astype(np.int64))
+
+    def pack(self) -> bytes:
+        step = np.diff(self.ids, prepend=np.uint32(0)).astype("<u4")
+        planes = step.view(np.uint8).reshape(-1, 4).T.tobytes() + self.classes.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+        return struct.pack("<I", len(self.ids)) + zlib.compress(planes)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Prior:
+        n = struct.unpack_from("<I", data)[0]
+        planes = np.frombuffer(zlib.decompress(data[4:]), np.uint8).reshape(6, n)
+        step = np.ascontiguousarray(planes[:4].T).view("<u4").ravel()
+        return cls(np.cumsum(step, dtype=np.uint64).astype(np.uint32), np.ascontiguousarray(planes[4:].T).view("<u2").ravel().astype(np.uint16))
+
+
+def _tables(priors: list[Prior], decode: bool):
+    """(number of each prior's table, first groups, starts, widths, bits, slots) of the different priors of lanes."""
+    number: dict[int, int] = {}
+    some: list[Prior] = []
+    of = np.array([number.setdefault(id(p), len(number)) for p in priors], np.int64)
+    for p in priors:
+        if number[id(p)] == len(some):
+            some.append(p)
+    sizes = [len(p.width) for p in some]
+    first = np.cumsum([0, *sizes[:-1]])
+    slots = np.concatenate([p.slots() for p in some]) if decode else np.zeros(0, np.uint32)
+    return of, first[of], np.concatenate([p.start for p in some]), np.concatenate([p.width for p in some]), np.array([p.bits for p in some], np.uint64)[of], slots
+
+
+def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None, priors: list[Prior]):
     """Code (``ids`` given) or decode (``words`` given) lanes in step.
 
-    ``lengths`` must not increase.  ids: (lanes, BLOCK) of uint16.  words:
-    (lanes, any) of uint16.  Returns (words, number of words) or ids.
+    ``lengths`` must not increase.  ids: (lanes, BLOCK) places of uint32.  words:
+    (lanes, any) of uint16.  Returns (words, number of words) or places.
     """
     n, encode = len(lengths), ids is not None
     steps = int(lengths[0]) if n else 0
     lane_all = np.arange(n)
+    table, row_group, starts, widths, shared, slot_of = _tables(priors, not encode)
+    row_part = table << 16
+    wide_ids = bool(shared.any())  # some groups have several ids
     low, span = np.zeros(n, np.uint64), np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
     at = at_all = np.zeros(n, np.int64)
     if encode:
-        out = np.zeros((n, 2 * steps + 16), np.uint16)
+        out = np.zeros((n, 3 * steps + 16), np.uint16)
         stream, row_words = out.reshape(-1), lane_all * out.shape[1]
     else:
         stream, row_words = words.reshape(-1), lane_all * words.shape[1]
-        out = np.zeros((n, steps), np.uint16)
+        out = np.zeros((n, steps), np.uint32)
         code = np.zeros(n, np.uint64)
         for _ in range(4):
             code = (code << np.uint64(16)) | words[lane_all, at].astype(np.uint64)
@@ -70,7 +152,7 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
     slots = 1 << _SLOTS_BITS
     # predicted id << 2 | confidence, as flat tables of lane * slots + hash
     second, first = np.zeros(n * slots, np.uint32), np.zeros(n * slots, np.uint32)
-    zeroth = np.zeros(n * 256, np.uint16)
+    zeroth = np.zeros(n * 256, np.uint32)
     # rows of four frequencies; whole rows are put back through a view of 16-byte items
     mix0 = np.full((n, 4), 1024, np.int32)
     mix1 = np.full((n * 16, 4), 1024, np.int32)
@@ -86,11 +168,30 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
     active = n
     ends = np.searchsorted(-lengths, -np.arange(steps), "left") if n else []  # lanes longer than t
     columns = np.ascontiguousarray(ids.T) if encode else None
+
+    def settle() -> None:
+        """Words that can't change any more leave; a span across a word's edge is cut."""
+        todo = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _LEAST))
+        while len(todo):
+            lo, sp = low.take(todo), span.take(todo)
+            cut = (lo ^ (lo + sp)) >= _TOP
+            if cut.any():
+                sp = np.where(cut, (~lo + np.uint64(1)) & _MASK, sp)
+            place = at.take(todo)
+            if encode:
+                stream[row_words.take(todo) + place] = lo >> np.uint64(48)
+            else:  # of a damaged block anything may be read: its checksum tells
+                code[todo] = (code.take(todo) << np.uint64(16)) | stream.take(row_words.take(todo) + place, mode="clip")
+            at[todo] = place + 1
+            lo, sp = lo << np.uint64(16), sp << np.uint64(16)
+            low[todo], span[todo] = lo, sp
+            todo = todo[((lo ^ (lo + sp)) < _TOP) | (sp < _LEAST)]
+
     for t in range(steps):
         a = int(ends[t])
         if a != active:
             active = a
-            row_slots, row_bytes, row_mix, row_four = row_slots[:a], row_bytes[:a], row_mix[:a], row_four[:a]
+            row_slots, row_bytes, row_mix, row_four, row_group, row_part, shared = (x[:a] for x in (row_slots, row_bytes, row_mix, row_four, row_group, row_part, shared))
             if encode:
                 _finish(out, at, low, a)
             low, span, at = low[:a], span[:a], at[:a]
@@ -115,11 +216,14 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
         cum[:, 1], cum[:, 2], cum[:, 3] = f0, b2, b3
         unit = span // total
         if encode:
-            x = columns[t, :a].astype(np.uint32)
+            x = columns[t, :a]
             slot = row_bytes + (x & np.uint32(255))
+            group = row_group + ((x >> shared.astype(np.uint32)) if wide_ids else x)
+            width = widths.take(group)
+            near = (zeroth.take(slot) == x) & (width < _FREQUENT)
             # the first prediction that is right: 0, 1 or 2; else 3
-            s = np.where(x == p2, 0, np.where(x == p1, 1, 3 - (zeroth.take(slot) == x)))
-            tail = np.where(s == 2, x & np.uint32(255), x).astype(np.uint64)
+            s = np.where(x == p2, 0, np.where(x == p1, 1, 3 - near))
+            tail = np.where(s == 2, x & np.uint32(255), starts.take(group))
             tail *= s >= 2
         else:
             value = ((code - low) // unit).astype(np.int64)
@@ -129,32 +233,35 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
         np.multiply(unit, f.reshape(-1).take(pick).astype(np.uint64), out=span)
         bits = _TAIL.take(s)
         span >>= bits
+        none = np.flatnonzero(s == 3)
         if encode:
             low += span * tail
+            span[none] *= width.take(none)
         else:
             tail = np.minimum((code - low) // span, (np.uint64(1) << bits) - np.uint64(1))
-            low += span * tail
-            x = np.where(s == 0, p2, np.where(s == 1, p1, tail.astype(np.uint32)))
+            x = np.where(s == 0, p2, p1)
             some = np.flatnonzero(s == 2)
             x[some] = zeroth.take(row_bytes.take(some) + tail.take(some).astype(np.int64))
+            found = slot_of.take(row_part.take(none) + tail.take(none).astype(np.int64))
+            group = row_group.take(none) + found
+            tail[none] = starts.take(group)
+            low += span * tail
+            span[none] *= widths.take(group)
+            x[none] = found
+        if wide_ids:
+            settle()
+            more = shared.take(none)
+            span[none] >>= more
+            if encode:
+                rest = x.take(none) & ((np.uint32(1) << more.astype(np.uint32)) - one)
+            else:
+                rest = np.minimum((code.take(none) - low.take(none)) // span.take(none), (np.uint64(1) << more) - np.uint64(1)).astype(np.uint32)
+                x[none] = (found << more.astype(np.uint32)) | rest
+            low[none] += span.take(none) * rest
+        if not encode:
             out[:a, t] = x
             slot = row_bytes + (x & np.uint32(255))
-        # renormalise: words that can't change any more leave; a span across a word's edge is cut
-        todo = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _LEAST))
-        while len(todo):
-            lo, sp = low.take(todo), span.take(todo)
-            cut = (lo ^ (lo + sp)) >= _TOP
-            if cut.any():
-                sp = np.where(cut, (~lo + np.uint64(1)) & _MASK, sp)
-            place = at.take(todo)
-            if encode:
-                stream[row_words.take(todo) + place] = lo >> np.uint64(48)
-            else:  # of a damaged block anything may be read: its checksum tells
-                code[todo] = (code.take(todo) << np.uint64(16)) | stream.take(row_words.take(todo) + place, mode="clip")
-            at[todo] = place + 1
-            lo, sp = lo << np.uint64(16), sp << np.uint64(16)
-            low[todo], span[todo] = lo, sp
-            todo = todo[((lo ^ (lo + sp)) < _TOP) | (sp < _LEAST)]
+        settle()
         # learn
         up = raised.take(s, 0)
         if not t & 3:  # every fourth id sets the weights
@@ -184,25 +291,25 @@ def _finish(out, at, low, first: int) -> None:
         at[first:] += 1
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded words of each block of uint16 ids (at most BLOCK, not empty)."""
+def encode_blocks(blocks: list[np.ndarray], priors: list[Prior]) -> list[bytes]:
+    """The coded words of each block of ids (at most BLOCK, not empty), by the prior of its frame."""
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     for a in range(0, len(order), LANES):
         part = order[a : a + LANES]
         lengths = np.array([len(blocks[k]) for k in part], np.int64)
-        ids = np.zeros((len(part), int(lengths[0])), np.uint16)
+        ids = np.zeros((len(part), int(lengths[0])), np.uint32)
         for r, k in enumerate(part):
-            ids[r, : len(blocks[k])] = blocks[k]
-        words, used = _coded(lengths, ids, None)
+            ids[r, : len(blocks[k])] = priors[k].places(blocks[k])
+        words, used = _coded(lengths, ids, None, [priors[k] for k in part])
         for r, k in enumerate(part):
             out[k] = words[r, : used[r]].astype("<u2").tobytes()
     return out
 
 
-def decode_blocks(blocks: list[tuple[int, bytes]]) -> list[np.ndarray]:
+def decode_blocks(blocks: list[tuple[int, bytes]], priors: list[Prior]) -> list[np.ndarray]:
     """The ids of blocks given as (number of ids, coded words)."""
-    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(blocks)
+    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda k: -blocks[k][0])
     for a in range(0, len(order), LANES):
         part = order[a : a + LANES]
@@ -211,37 +318,38 @@ def decode_blocks(blocks: list[tuple[int, bytes]]) -> list[np.ndarray]:
         for r, k in enumerate(part):
             w = np.frombuffer(blocks[k][1], "<u2")
             words[r, : len(w)] = w
-        ids = _coded(lengths, None, words)
+        ids = _coded(lengths, None, words, [priors[k] for k in part])
         for r, k in enumerate(part):
-            out[k] = ids[r, : lengths[r]]
+            out[k] = priors[k].order.take(ids[r, : lengths[r]], mode="clip")
     return out
 
 
-def pack_frame(doc_ids: np.ndarray, sizes: np.ndarray, blocks: list[tuple[int, int, bytes]]) -> bytes:
-    """A frame: header, document ids (int64) and sizes, then the blocks with number of ids and CRC-32."""
-    head = MAGIC + struct.pack("<II", len(doc_ids), len(blocks))
+def pack_frame(doc_ids: np.ndarray, sizes: np.ndarray, prior: Prior, blocks: list[tuple[int, int, bytes]]) -> bytes:
+    """A frame: header, document ids (int64) and sizes, frequencies, then the blocks with number of ids and CRC-32."""
+    held = prior.pack()
+    head = MAGIC + struct.pack("<III", len(doc_ids), len(blocks), len(held))
     table = b"".join(struct.pack("<III", n, crc, len(data)) for n, crc, data in blocks)
-    body = head + doc_ids.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + table
+    body = head + doc_ids.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + held + table
     return body + struct.pack("<I", zlib.crc32(body)) + b"".join(data for *_, data in blocks)
 
 
-def unpack_frame(frame: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, bytes]]]:
-    """(document ids, sizes, blocks); raises ValueError if the header is damaged."""
+def unpack_frame(frame: bytes) -> tuple[np.ndarray, np.ndarray, Prior, list[tuple[int, int, bytes]]]:
+    """(document ids, sizes, frequencies, blocks); raises ValueError if the header is damaged."""
     if frame[:4] != MAGIC:
         raise ValueError("not a token frame")
-    docs, count = struct.unpack_from("<II", frame, 4)
-    at = 12 + 12 * docs
-    ids, sizes = np.frombuffer(frame, "<i8", docs, 12), np.frombuffer(frame, "<u4", docs, 12 + 8 * docs)
-    table = [struct.unpack_from("<III", frame, at + 12 * k) for k in range(count)]
-    at += 12 * count
-    if zlib.crc32(frame[:at]) != struct.unpack_from("<I", frame, at)[0]:
+    docs, count, held = struct.unpack_from("<III", frame, 4)
+    at = 16 + 12 * docs + held
+    if at + 12 * count + 4 > len(frame) or zlib.crc32(frame[: at + 12 * count]) != struct.unpack_from("<I", frame, at + 12 * count)[0]:
         raise ValueError("damaged frame header")
-    at += 4
+    ids, sizes = np.frombuffer(frame, "<i8", docs, 16), np.frombuffer(frame, "<u4", docs, 16 + 8 * docs)
+    table = [struct.unpack_from("<III", frame, at + 12 * k) for k in range(count)]
+    prior = Prior.unpack(frame[at - held : at])
+    at += 12 * count + 4
     blocks = []
     for n, crc, size in table:
         blocks.append((n, crc, frame[at : at + size]))
         at += size
-    return ids, sizes, blocks
+    return ids, sizes, prior, blocks
 
 
 class HashIndex:
@@ -363,11 +471,16 @@ class PieceIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        # the split of ``split_bytes``; texts of other vocabularies go to the library whole
+        split = spec["pre_tokenizer"] or {}
+        self.splits = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and all(t["content"].startswith("<|") for t in spec["added_tokens"])
         self.forget()
 
     def forget(self) -> None:
         self.index = HashIndex()
-        self.first, self.size, self.held, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint16), 0
+        self.first, self.size, self.held, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def _append(self, found: list[list[int]]) -> None:
         base, size = self.index.count, np.array([len(f) for f in found], np.int64)
@@ -403,7 +516,10 @@ class PieceIds:
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of a column, as ``encode(text, add_special_tokens=False)`` gives them."""
-        out: list[np.ndarray] = [np.zeros(0, np.uint16)] * (len(at) - 1)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * (len(at) - 1)
+        if not self.splits:
+            data = raw.tobytes()
+            return [_narrow(self.library.encode(data[a:b].decode(), add_special_tokens=False).ids) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         whole = np.flatnonzero(np.diff(at) > PIECE_BYTES).tolist()
         long = set(whole)
         for rows, starts, buffer in pieces(raw, at):
@@ -428,11 +544,8 @@ class PieceIds:
 
 
 def _narrow(ids: list[int]) -> np.ndarray:
-    """Ids as uint16; the format holds no larger ones."""
-    wide = np.array(ids, np.int64)
-    if len(wide) and wide.max() > 0xFFFF:
-        raise ValueError("the file format holds ids below 65536")
-    return wide.astype(np.uint16)
+    """Ids as uint32."""
+    return np.array(ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -470,19 +583,20 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
 
         def coded():
             nonlocal seq, before, ready
+            priors = [Prior.of(s) for *_, s in ready]
             blocks = [s[k : k + BLOCK] for *_, s in ready for k in range(0, len(s), BLOCK)]
-            words = iter(encode_blocks(blocks))
+            words = iter(encode_blocks(blocks, [p for p, (*_, s) in zip(priors, ready) for _ in range(0, len(s), BLOCK)]))
             columns = []
-            for doc_ids, sizes, stream in ready:
+            for prior, (doc_ids, sizes, stream) in zip(priors, ready):
                 cut = [stream[k : k + BLOCK] for k in range(0, len(stream), BLOCK)]
-                frame = pack_frame(doc_ids, sizes, [(len(c), zlib.crc32(c.astype("<u4").tobytes()), next(words)) for c in cut])
+                frame = pack_frame(doc_ids, sizes, prior, [(len(c), zlib.crc32(c.astype("<u4").tobytes()), next(words)) for c in cut])
                 columns.append((part, seq, before, len(doc_ids), len(stream), frame))
                 seq, before = seq + 1, before + len(stream)
             ready = []
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*columns), kinds)], names=["part", "seq", "before", "n_docs", "n_tokens", "frame"])
 
-        end = np.array([end_id], np.uint16)
+        end = np.array([end_id], np.uint32)
         for batch in batches:
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(*utf8_views(batch.column("text")))):
                 ids.append(-(1 << 63) if doc_id is None else doc_id)
@@ -515,8 +629,8 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = False) -> DataFram
 
     def emit(held):
         blocks = [(n, data) for *_, cut in held for n, _, data in cut]
-        decoded = iter(decode_blocks(blocks))
-        for part, before, doc_ids, sizes, cut in held:
+        decoded = iter(decode_blocks(blocks, [prior for *_, prior, cut in held for _ in cut]))
+        for part, before, doc_ids, sizes, _, cut in held:
             streams = [next(decoded) for _ in cut]
             for s, (_, crc, _) in zip(streams, cut):
                 if zlib.crc32(s.astype("<u4").tobytes()) != crc:

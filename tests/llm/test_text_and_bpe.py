@@ -89,3 +89,42 @@ def test_query_covers_the_table(spark, library):
     sf = "/root/testdata/sf0.001"
     got = {r["doc_id"]: r["n_tokens"] for r in op6_bpe(spark, sf).collect()}
     assert got == {r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) for r in table(spark, sf, "documents").collect()}
+
+
+@pytest.mark.parametrize("least", [0, 10**9])
+def test_lists_and_arrays_merge_alike(library, monkeypatch, least):
+    from brindle.llm import bpe as module
+
+    monkeypatch.setattr(module, "LEAST_ROWS", least)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeinrst") for _ in range(rng.choice([1, 2, 3, 7, 8, 9, 40, 300]))) for _ in range(150)]
+    bpe = WordBpe(PATH)
+    for w, ids in zip(words, bpe.merge_words([w.encode() for w in words])):
+        assert ids == library.encode(w, add_special_tokens=False).ids
+
+
+def test_one_very_long_word(library):
+    import time
+
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80_000))
+    bpe = WordBpe(PATH)
+    began = time.process_time()
+    assert bpe.encode(word) == library.encode(word, add_special_tokens=False).ids
+    assert time.process_time() - began < 20
+
+
+def test_other_vocabulary_files(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    other = dict(spec, normalizer=None, pre_tokenizer={"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"\\p{L}+|[^\\p{L}]"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}, added_tokens=[dict(spec["added_tokens"][0], content="[END]")])
+    (tmp_path / "other.json").write_text(json.dumps(other), encoding="utf-8")
+    from tokenizers import Tokenizer
+
+    mine, theirs = WordBpe(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    for t in ("Some TEXT, it's 12 <|x [END] ok", "[END][END]", "plain"):
+        assert mine.encode(t) == theirs.encode(t, add_special_tokens=False).ids
+    (tmp_path / "bad.json").write_text(json.dumps(dict(spec, model=dict(spec["model"], byte_fallback=True))), encoding="utf-8")
+    with pytest.raises(ValueError):
+        WordBpe(str(tmp_path / "bad.json"))
