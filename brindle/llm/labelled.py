@@ -7,12 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm.sample import smallest
 from brindle.llm.subword import Model, Settings, fit
 from brindle.llm.textbytes import utf8_views
 
-#: Bounds of the training sample (rows, and code points of a single text).
+#: Texts of the training sample, at most.
 TRAIN_ROWS = 3000
-TRAIN_CHARS = 5000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -20,31 +20,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, none: float = 0.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, rows: int = TRAIN_ROWS, none: float = 0.0) -> Model:
     """Fit ``label`` on at most ``rows`` labelled documents outside the held-out fold.
 
     The sample is that of the smallest hashes of doc_id among the labelled ids
-    with a text to learn from, so it is the same on every run and for every
-    partitioning.  Rows without id, label or text and texts of over ``chars``
-    code points are no training rows.  A document with several label rows takes
-    the largest label.  ``none`` is the logit of every text if there is no
-    training row.
+    with a text, so it is the same on every run and for every partitioning.  An
+    id gives one row: of several texts the smallest, of several labels the
+    largest.  Rows without id, label or text are no training rows; texts are
+    learnt from whole, however long.  ``none`` is the logit of every text if
+    there is no training row.  Ids are whole numbers.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
-    usable = docs.where(F.col("text").isNotNull() & (F.length("text") <= chars))
-    known = known.join(usable.select("doc_id").distinct(), "doc_id", "left_semi")
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # at most `rows` small rows: a proven bound for the broadcast
-    texts = (
-        usable.select("doc_id", "text")
-        .join(F.broadcast(picked), "doc_id")
-        .select("doc_id", "_y", "text")
-        .collect()
-    )
-    texts.sort(key=lambda r: (r["doc_id"], r["text"]))
-    order = sorted(range(len(texts)), key=lambda k: (hash_key(texts[k]["doc_id"]), k))
-    model = fit([texts[k]["text"].encode() for k in order], [texts[k]["_y"] for k in order], settings)
+    usable = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    picked = smallest(known.join(usable.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", rows)
+    # at most `rows` small rows: a proven bound for the broadcast, and for what the driver gets
+    texts = usable.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("_y").alias("_y"), F.min("text").alias("text")).collect()
+    texts.sort(key=lambda r: (hash_key(r["doc_id"]), r["doc_id"]))
+    model = fit([r["text"].encode() for r in texts], [r["_y"] for r in texts], settings)
     if not texts:
         model.bias = none
     return model

@@ -42,10 +42,10 @@ class Settings:
     decay: float = 1e-6
     seed: int = 7
     target: float = 0.5  # the score that the best threshold is moved to
-    goal: str = "f1"  # what that threshold is best for: f1 of label 1, accuracy, or keep (a lost text of label 1 weighs as much as KEEP others)
+    goal: str = "accuracy"  # what that threshold is best for: accuracy, or keep (a lost text of label 1 weighs as much as KEEP others)
     least_texts: int = 2  # features of fewer training texts get no vector
-    distinct: bool = False  # training counts a feature once a bag, so that one word said a thousand times teaches little
     prior: float = 0.0  # so many features without meaning are added to every bag
+    most_bags: float = 4.0  # a text of more bags teaches as much as so many
 
 
 @dataclass
@@ -177,8 +177,6 @@ def sparse_bags(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray
             spread += np.bincount(once & ((1 << s.bits) - 1), minlength=1 << s.bits).astype(np.int32)
     owner, sizes, buckets, shares = [], [], [], []
     for text, bag, bucket, number in _bags_of_pieces(texts, s):
-        if s.distinct:
-            number = np.ones_like(number)
         size = np.bincount(bag, number, len(text)) + s.prior
         share = (number / size[bag]).astype(np.float32)
         common = spread[bucket] >= s.least_texts if s.least_texts > 1 else np.ones(len(bucket), bool)
@@ -190,23 +188,28 @@ def sparse_bags(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
     bucket = np.concatenate(buckets)
     buckets.clear()
-    return np.concatenate(owner), np.r_[0, np.cumsum(np.concatenate(sizes))], bucket, np.concatenate(shares)
+    share = np.concatenate(shares)
+    shares.clear()
+    return np.concatenate(owner), np.r_[0, np.cumsum(np.concatenate(sizes))], bucket, share
 
 
-def _descend(bounds, bucket, share, labels, s: Settings) -> tuple[np.ndarray, float]:
-    """Joint stochastic gradient descent; returns (gain per bucket, bias)."""
+def _descend(bounds, bucket, share, owner, labels, s: Settings) -> tuple[np.ndarray, float]:
+    """Joint stochastic gradient descent; returns (gain per bucket, bias).
+
+    ``owner`` is the text of each bag, in order.
+    """
     rng = np.random.default_rng(s.seed)
     embed = ((rng.random((1 << s.bits, s.dim)) - 0.5) / s.dim).astype(np.float32)
     out = np.zeros((s.dim, 2), np.float32)
     out[:, 0], out[:, 1] = rng.normal(0, 0.5, s.dim), rng.normal(0, 0.5, s.dim)
     rate_sq = np.full(1 << s.bits, 1e-4, np.float32)
     out_sq, bias, bias_sq = np.full_like(out, 1e-4), np.zeros(2), np.full(2, 1e-4)
-    base = np.log(np.clip(np.bincount(labels, minlength=2), 1, None) / max(1, len(labels)))
+    weight = np.minimum(1.0, s.most_bags / np.bincount(owner)[owner])
+    base = np.log(np.clip(np.bincount(labels, weight, minlength=2), 1, None) / max(1.0, weight.sum()))
     bias += base
-    n = len(labels)
     for _ in range(s.epochs):
-        order = rng.permutation(n)
-        for k in range(0, n, 64):
+        order = rng.permutation(len(labels))
+        for k in range(0, len(order), 64):
             part = order[k : k + 64]
             sizes = bounds[part + 1] - bounds[part]
             part, sizes = part[sizes > 0], sizes[sizes > 0]
@@ -220,6 +223,7 @@ def _descend(bounds, bucket, share, labels, s: Settings) -> tuple[np.ndarray, fl
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(part)), labels[part]] -= 1.0
+            p *= weight[part][:, None]
             back = (p @ out.T).astype(np.float32)
             g = np.repeat(back, sizes, axis=0) * x[:, None]
             grad_out = hidden.T @ p
@@ -249,13 +253,10 @@ def _threshold(logit: np.ndarray, labels: np.ndarray, goal: str) -> float:
     z, y = logit[order], labels[order]
     hits = np.cumsum(y)
     taken = np.arange(1, len(y) + 1)
-    if goal == "f1":
-        value = 2 * hits / (taken + max(1, y.sum()))
-    else:
-        value = (KEEP if goal == "keep" else 1) * hits - (taken - hits)
+    value = (KEEP if goal == "keep" else 1) * hits - (taken - hits)
     last = np.r_[z[1:] != z[:-1], True]
     value = np.where(last, value, -1)
-    k = int(np.flatnonzero(value == value.max())[-1 if goal != "f1" else 0])
+    k = int(np.flatnonzero(value == value.max())[-1])
     return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1.0)
 
 
@@ -263,8 +264,9 @@ def fit(texts: list[bytes], labels: list[int], s: Settings) -> Model:
     """Fit on whole texts; ``labels`` are 0 or 1.  Equal texts count once.
 
     A fifth of the texts (by position) only sets the threshold that is moved
-    to ``s.target``; the final weights come from the other four fifths.  With
-    no labelled text, or one label only, every score is that label's share
+    to ``s.target``; the final weights come from the other four fifths.  Below
+    25 texts, or with one label among the fifth, all texts do both.  With no
+    labelled text, or one label only, every score is that label's share
     (0.5 without any).
     """
     once: dict[bytes, int] = {}
@@ -279,7 +281,7 @@ def fit(texts: list[bytes], labels: list[int], s: Settings) -> Model:
     if len(y) < 25 or len(set(y[~aside])) < 2:
         aside[:] = False
     owner, bounds, bucket, share = sparse_bags([t for t, a in zip(texts, aside) if not a], s)
-    gain, bias = _descend(bounds, bucket, share, y[~aside][owner], s)
+    gain, bias = _descend(bounds, bucket, share, owner, y[~aside][owner], s)
     model = Model(s, gain.astype(np.float32), bias)
     judge = aside if aside.any() and len(set(y[aside])) == 2 else ~aside
     p = model.scores(*_column([t for t, a in zip(texts, judge) if a]))

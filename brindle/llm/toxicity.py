@@ -1,7 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 Bags are windows of 48 words, so that a few insults in a long text are not
-averaged away; the score of a text is that of its most toxic window.  Unseen
+averaged away; the score of a text is that of its most toxic window, and a
+text of very many windows teaches as much as one of a few.  Unseen
 misspellings share character n-gram vectors with the words they come from.
 
 Edge cases: null or empty texts have no window and get the score of no
@@ -20,7 +21,8 @@ from brindle.llm.labelled import TRAIN_ROWS, score_documents, train
 from brindle.llm.subword import Model, Settings
 from brindle.llm.textbytes import relax, utf8_views
 
-SETTINGS = Settings(keep="word", lower=True, window_words=48, epochs=10, target=0.5, goal="accuracy", least_texts=3, prior=100.0)
+#: Chosen inside of the training fold: see ``choose_settings``.
+SETTINGS = Settings(keep="word", lower=True, window_words=48, epochs=10, target=0.5, least_texts=3, prior=100.0)
 
 #: Logit of every text where there is nothing to learn from.
 NO_EVIDENCE = -4.0

@@ -98,7 +98,7 @@ def test_labels_of_the_held_out_fold_are_not_learnt(spark, module, train, score)
 
 
 def test_nothing_is_dropped_without_training_texts(spark, documents):
-    docs = documents([(k, f"some words of text {k}") for k in range(30)] + [(k, "long " * 2000) for k in range(30, 40)])
+    docs = documents([(k, f"some words of text {k}") for k in range(30)] + [(k, None) for k in range(30, 40)])
     some = spark.createDataFrame([(k, 1, 1) for k in (*range(30, 40), *range(100, 140))], "doc_id long, quality int, toxic int")
     for labels in (some, some.limit(0)):
         model = toxicity.train_toxicity(docs, labels)
@@ -109,7 +109,7 @@ def test_nothing_is_dropped_without_training_texts(spark, documents):
 
 def test_sample_is_picked_among_usable_texts(spark, documents):
     texts = ["fine words here and there", "stupid moronic worthless thing"]
-    docs = documents([(k, f"{texts[k % 2]} {k}" if k < 100 else "long " * 2000) for k in range(400)])
+    docs = documents([(k, f"{texts[k % 2]} {k}" if k < 100 else None) for k in range(400)])
     labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(4000)], "doc_id long, quality int, toxic int")
     for train in (toxicity.train_toxicity, quality_classifier.train_quality):
         assert train(docs, labels, 40).notes["texts"] == 40
@@ -129,3 +129,105 @@ def test_odd_tables(spark, documents):
     kept = toxicity.without_toxic(docs, toxicity.train_toxicity(docs, labels), 2.0)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert toxicity.without_toxic(docs, toxicity.train_toxicity(docs, labels), 0.0).count() == 0
+
+
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def word_hash(word):
+    """The hash of a word: a random number for each byte at its place, summed and mixed."""
+    total = 0
+    for k, b in enumerate(word):
+        r = mixed((((k % 64) * 256 + b + 1) * 0x9E3779B97F4A7C15) & M64)
+        total += r * pow(0xD6E8FEB86659FD93, k // 64, 1 << 64)
+    return mixed((total + len(word)) & M64)
+
+
+def brute_score(model, text, settings):
+    """A text's score in plain Python: features of each bag, their mean gain, the logistic function."""
+    import math
+    import re
+
+    raw = (text or "").encode()
+    if settings.lower:
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    inside = rb"[0-9A-Za-z\x80-\xff]+" if settings.keep == "word" else rb"[^\x20\x09-\x0d]+"
+    words = re.findall(inside, raw)
+    bucket = lambda v: ((v * 0x9E3779B97F4A7C15) & M64) >> (64 - settings.bits)
+    per = settings.window_words or max(1, len(words))
+    parts = [words[k : k + per] for k in range(0, len(words), per)]
+    if settings.window_words and len(parts) > 1 and len(parts[-1]) < per // 2:
+        parts[-2:] = [parts[-2] + parts[-1]]
+    best, before = [], None
+    for part in parts:
+        gains = []
+        for w in part:
+            gains.append(model.gain[bucket(word_hash(w))])
+            if settings.echo and w == before:
+                gains.append(model.gain[(1 << settings.bits) - 1])
+            before = w
+            spaced = b" " + w + b" "
+            for n in settings.sizes:
+                for i in range(len(spaced) - n + 1):
+                    value = spaced[i] + 1
+                    for c in spaced[i + 1 : i + n]:
+                        value = (value * 0xC2B2AE3D27D4EB4F + c + 1) & M64
+                    value = (value + n) & M64
+                    gains.append(model.gain[bucket(value ^ (value >> 29))])
+        best.append(sum(map(float, gains)) / max(1, len(gains) + settings.prior))
+    logit = model.slope * max(best, default=0.0) + model.bias
+    return 1 / (1 + math.exp(-max(-30, min(30, logit))))
+
+
+@pytest.mark.parametrize("query,train,label", [(op2_toxicity, toxicity.train_toxicity, "toxic"), (op8_quality_classifier, quality_classifier.train_quality, "quality")])
+def test_query_scores_equal_plain_python(spark, query, train, label):
+    small = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = train(docs, labels)
+    rows = {r["doc_id"]: r for r in query(spark, small).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(rows) == len(texts) and max(map(len, texts.values())) > 5000
+    for i, t in texts.items():
+        score = brute_score(model, t, model.settings)
+        assert abs(rows[i]["score"] - score) < 1e-4, i
+        assert rows[i]["predicted"] == int(rows[i]["score"] >= (0.5 if label == "toxic" else 0.3)) and rows[i]["held_out"] == fold(i)
+
+
+def test_long_texts_are_learnt_from_and_scored_whole(spark, documents):
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(300)]
+    texts = []
+    for k in range(120):
+        words = list(rng.choice(plain, 1500))
+        if k % 2:
+            words[1200:1200] = ["stupid", "worthless", "moronic"] * 20
+        texts.append(" ".join(words))
+    assert min(map(len, texts)) > 5000
+    labels = spark.createDataFrame([(k, 1 - k % 2, k % 2) for k in range(120)], "doc_id long, quality int, toxic int")
+    docs = documents(texts)
+    for module, score, column in ((toxicity, toxicity.score_toxicity, "toxic"), (quality_classifier, quality_classifier.score_quality, "quality")):
+        model = (toxicity.train_toxicity if column == "toxic" else quality_classifier.train_quality)(docs, labels)
+        assert model.notes["texts"] == sum(not fold(k) for k in range(120))
+        held = [(r["doc_id"] % 2 == (column == "toxic")) == (r["predicted"] == 1) for r in score(docs, model).collect() if r["held_out"]]
+        assert np.mean(held) >= 0.9
+
+
+def test_one_id_gives_one_training_row(spark, documents):
+    docs = documents([(1, f"text number {k}") for k in range(500)] + [(2, "another text")])
+    labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (2, 0, 0)] * 50, "doc_id long, quality int, toxic int")
+    kept = [k for k in (1, 2) if not fold(k)]
+    assert toxicity.train_toxicity(docs, labels).notes.get("texts", len(kept)) <= len(kept)
+
+
+def test_settings_are_compared_inside_the_training_fold():
+    from brindle.llm.choose_settings import compare
+
+    texts = [(f"fine words {k} here" if k % 2 else f"stupid worthless {k} thing").encode() for k in range(200)]
+    out = compare(texts, np.array([1 - k % 2 for k in range(200)]), Settings(bits=12, epochs=3), 0.5, [{}, {"epochs": 1}])
+    assert [o for o, *_ in out] == [{}, {"epochs": 1}] and out[0][1] == 1.0
