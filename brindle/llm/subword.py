@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from brindle.llm.textbytes import PIECE_BYTES, class_table, hash_spans, pieces
+from brindle.llm.textbytes import PIECE_BYTES, class_table, hash_spans, pieces, relax
 
 #: What a text of label 1 that falls below the threshold costs, under the goal keep.
 KEEP = 4
@@ -151,7 +151,7 @@ def _bags_of_pieces(texts: list[bytes], s: Settings):
     """Yield (text of each bag, bag of each feature, bucket, number) piece by piece; no feature twice in a bag."""
     table = class_table(s.keep, s.lower)
     raw, at = _column(texts)
-    for texts_in, starts, buffer in pieces(raw, at, PIECE_BYTES // 2):
+    for texts_in, starts, buffer in pieces(raw, at, PIECE_BYTES // 4):
         mapped = table[buffer]
         first, text = bags(mapped, starts, s.window_words)
         if not len(first):
@@ -164,36 +164,42 @@ def _bags_of_pieces(texts: list[bytes], s: Settings):
         yield texts_in[text], key >> s.bits, (key & ((1 << s.bits) - 1)).astype(np.int32), number
 
 
-def sparse_bags(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bags of the texts as (text of each bag, bounds, bucket, share) in rows of bags.
+def sparse_bags(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bags of the texts as (text of each bag, its features, bounds, bucket, number) in rows of bags.
 
     Features of fewer than ``least_texts`` texts are left out (a first pass
-    counts them); the shares of the others stay as they were.
+    counts them); a bag's features are counted with them.  Numbers are held as
+    halves: exact to 2,048, to a thousandth beyond.
     """
     spread = np.zeros(1 << s.bits, np.int32)
     if s.least_texts > 1:
         for text, bag, bucket, _ in _bags_of_pieces(texts, s):
             once = np.unique((text[bag] << s.bits) | bucket)
             spread += np.bincount(once & ((1 << s.bits) - 1), minlength=1 << s.bits).astype(np.int32)
-    owner, sizes, buckets, shares = [], [], [], []
+    owner, held, sizes, buckets, numbers = [], [], [], [], []
     for text, bag, bucket, number in _bags_of_pieces(texts, s):
-        size = np.bincount(bag, number, len(text)) + s.prior
-        share = (number / size[bag]).astype(np.float32)
         common = spread[bucket] >= s.least_texts if s.least_texts > 1 else np.ones(len(bucket), bool)
         owner.append(text)
+        held.append(np.bincount(bag, number, len(text)) + s.prior)
         sizes.append(np.bincount(bag[common], minlength=len(text)))
         buckets.append(bucket[common])
-        shares.append(share[common])
+        numbers.append(np.minimum(number[common], 60_000).astype(np.float16))
     if not owner:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
-    bucket = np.concatenate(buckets)
-    buckets.clear()
-    share = np.concatenate(shares)
-    shares.clear()
-    return np.concatenate(owner), np.r_[0, np.cumsum(np.concatenate(sizes))], bucket, share
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float16)
+    return np.concatenate(owner), np.concatenate(held), np.r_[0, np.cumsum(np.concatenate(sizes))], _drained(buckets), _drained(numbers)
 
 
-def _descend(bounds, bucket, share, owner, labels, s: Settings) -> tuple[np.ndarray, float]:
+def _drained(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts in one array, each let go when it is copied."""
+    out, at = np.empty(sum(map(len, parts)), parts[0].dtype), 0
+    for k, part in enumerate(parts):
+        out[at : at + len(part)] = part
+        at += len(part)
+        parts[k] = part[:0].copy()
+    return out
+
+
+def _descend(bounds, bucket, number, held, owner, labels, s: Settings) -> tuple[np.ndarray, float]:
     """Joint stochastic gradient descent; returns (gain per bucket, bias).
 
     ``owner`` is the text of each bag, in order.
@@ -217,7 +223,7 @@ def _descend(bounds, bucket, share, owner, labels, s: Settings) -> tuple[np.ndar
                 continue
             ends = np.cumsum(sizes)
             place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(bounds[part], sizes)
-            b, x = bucket[place], share[place]
+            b, x = bucket[place], (number[place] / np.repeat(held[part], sizes)).astype(np.float32)
             hidden = np.add.reduceat(embed[b] * x[:, None], ends - sizes, axis=0)
             logit = hidden @ out + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
@@ -280,8 +286,10 @@ def fit(texts: list[bytes], labels: list[int], s: Settings) -> Model:
     aside = np.arange(len(y)) % 5 == 4
     if len(y) < 25 or len(set(y[~aside])) < 2:
         aside[:] = False
-    owner, bounds, bucket, share = sparse_bags([t for t, a in zip(texts, aside) if not a], s)
-    gain, bias = _descend(bounds, bucket, share, owner, y[~aside][owner], s)
+    owner, held, bounds, bucket, number = sparse_bags([t for t, a in zip(texts, aside) if not a], s)
+    gain, bias = _descend(bounds, bucket, number, held, owner, y[~aside][owner], s)
+    del bucket, number
+    relax()
     model = Model(s, gain.astype(np.float32), bias)
     judge = aside if aside.any() and len(set(y[aside])) == 2 else ~aside
     p = model.scores(*_column([t for t, a in zip(texts, judge) if a]))
