@@ -64,6 +64,7 @@ class Prior:
 
     def __init__(self, ids: np.ndarray, classes: np.ndarray):
         self.ids, self.classes = ids, classes
+        self.known: np.ndarray | None = None  # place by id, made when it is asked for
         order = np.argsort(-classes.astype(np.int64), kind="stable")
         self.order = ids[order]
         self.place = np.empty(len(ids), np.uint32)
@@ -92,7 +93,13 @@ class Prior:
         return cls(ids.astype(np.uint32), ((power << 3) | (((count << 3) >> power) & 7)).astype(np.uint16))
 
     def places(self, ids: np.ndarray) -> np.ndarray:
-        return self.place[np.searchsorted(self.ids, ids)]
+        """The places of ids of the frame."""
+        if not len(self.ids) or self.ids[-1] >= 1 << 22:
+            return self.place[np.searchsorted(self.ids, ids)]
+        if self.known is None:
+            self.known = np.zeros(int(self.ids[-1]) + 1, np.uint32)
+            self.known[self.ids] = self.place
+        return self.known.take(ids)
 
     def slots(self) -> np.ndarray:
         """The group of each of the 65,536 parts."""
