@@ -165,12 +165,13 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
     mix1 = np.full((n * 16, 4), 1024, np.int32)
     rows1 = mix1.view(np.complex128).ravel()
     good = np.full((2, n), 1024, np.int32)
-    weight = (good >> 7) + 1
+    # the weights of mix0 and mix1, once for each of the four symbols: products of equal shape are fast
+    weight0, weight1 = (np.repeat((g >> 7) + 1, 4).reshape(n, 4) for g in good)
     # the last id, and the one before it as the hash of order 2 takes it
     last, turned = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     row_slots, row_bytes, row_mix, row_four = lane_all * slots, lane_all * 256, lane_all * 16, lane_all * 4
     cum = np.zeros((n, 4), np.int32)
-    raised = np.eye(4, dtype=np.int32) * 128
+    raised = (np.eye(4, dtype=np.int32) * 128).view(np.complex128).ravel()
     shift, one, two, three = np.uint32(32 - _SLOTS_BITS), np.uint32(1), np.uint32(2), np.uint32(3)
     active = n
     ends = np.searchsorted(-lengths, -np.arange(steps), "left") if n else []  # lanes longer than t
@@ -204,7 +205,7 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
             low, span, at = low[:a], span[:a], at[:a]
             if not encode:
                 code = code[:a]
-            mix0, good, weight, last, turned, cum = mix0[:a], good[:, :a], weight[:, :a], last[:a], turned[:a], cum[:a]
+            mix0, good, weight0, weight1, last, turned, cum = mix0[:a], good[:, :a], weight0[:a], weight1[:a], last[:a], turned[:a], cum[:a]
         spread = last * np.uint32(0x9E3779B1)
         h1 = row_slots + (spread >> shift)
         h2 = row_slots + ((spread ^ turned) >> shift)
@@ -212,9 +213,9 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
         p1, p2 = e1 >> two, e2 >> two
         c1, c2 = e1 & three, e2 & three
         k1 = row_mix + ((c2 << two) | c1)
-        m1 = mix1.take(k1, 0)
-        f = mix0 * weight[0][:, None]
-        f += m1 * weight[1][:, None]
+        m1 = rows1.take(k1).view(np.int32).reshape(a, 4)
+        f = mix0 * weight0
+        f += m1 * weight1
         f += 1
         f0, f1, f2 = f[:, 0], f[:, 1], f[:, 2]
         b2 = f0 + f1
@@ -245,7 +246,9 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
             low += span * tail
             span[none] *= width.take(none)
         else:
-            tail = np.minimum((code - low) // span, (np.uint64(1) << bits) - np.uint64(1))
+            tail = np.zeros(a, np.uint64)
+            missed = np.flatnonzero(s >= 2)
+            tail[missed] = np.minimum((code.take(missed) - low.take(missed)) // span.take(missed), (np.uint64(1) << bits.take(missed)) - np.uint64(1))
             x = np.where(s == 0, p2, p1)
             some = np.flatnonzero(s == 2)
             x[some] = zeroth.take(row_bytes.take(some) + tail.take(some).astype(np.int64))
@@ -270,11 +273,11 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
             slot = row_bytes + (x & np.uint32(255))
         settle()
         # learn
-        up = raised.take(s, 0)
+        up = raised.take(s).view(np.int32).reshape(a, 4)
         if not t & 3:  # every fourth id sets the weights
             for k, m in enumerate((mix0, m1)):
                 good[k] += (m.reshape(-1).take(pick) - good[k]) >> 3
-            weight = (good >> 7) + 1
+            weight0, weight1 = (np.repeat((g >> 7) + 1, 4).reshape(a, 4) for g in good)
         for m in (mix0, m1):
             m -= m >> 5
             m += up
