@@ -42,6 +42,8 @@ BLOCK, FRAME, LANES = 2048, 1 << 19, 4096
 MAGIC = b"BTF2"
 #: Pieces of text whose ids a worker keeps; beyond, it begins anew.
 CACHE_PIECES = 2_000_000
+#: Pieces that go to the library as one text.
+LINES = 1024
 
 _TOP, _LEAST = np.uint64(1 << 48), np.uint64(1 << 32)
 _MASK = np.uint64((1 << 32) - 1)
@@ -486,22 +488,41 @@ class PieceIds:
         # the split of ``split_bytes``; texts of other vocabularies go to the library whole
         split = spec["pre_tokenizer"] or {}
         self.splits = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self.forget()
 
     def forget(self) -> None:
         self.index = HashIndex()
         self.first, self.size, self.held, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
-    def _append(self, found: list[list[int]]) -> None:
-        base, size = self.index.count, np.array([len(f) for f in found], np.int64)
-        flat = _narrow([k for f in found for k in f])
+    def _encoded(self, data: bytes, first: list[int], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the pieces ``data[first:end]``, number of each).
+
+        The library is slow at very many short texts.  Pieces that aren't white
+        space go to it in lines: the split cuts at a line's end, which is one id,
+        and leaves the piece before and behind it as it was.
+        """
+        parts = [data[a:b] for a, b in zip(first, end)]
+        if self.line is not None and not any(p.isspace() for p in parts):
+            texts = [(b"\n".join(parts[k : k + LINES]) + b"\n").decode() for k in range(0, len(parts), LINES)]
+            flat = np.concatenate([_narrow(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+            mark = flat == self.line
+            ends = np.flatnonzero(mark)
+            if len(ends) == len(parts):
+                return flat[~mark], np.diff(ends, prepend=-1) - 1
+        found = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+        return _narrow([k for f in found for k in f]), np.array([len(f) for f in found], np.int64)
+
+    def _append(self, flat: np.ndarray, size: np.ndarray) -> None:
+        base = self.index.count
         while len(self.held) < self.used + len(flat):
             self.held = np.r_[self.held, np.zeros_like(self.held)]
-        while len(self.first) < base + len(found):
+        while len(self.first) < base + len(size):
             self.first, self.size = np.r_[self.first, self.first], np.r_[self.size, self.size]
         self.held[self.used : self.used + len(flat)] = flat
-        self.first[base : base + len(found)] = self.used + np.cumsum(size) - size
-        self.size[base : base + len(found)] = size
+        self.first[base : base + len(size)] = self.used + np.cumsum(size) - size
+        self.size[base : base + len(size)] = size
         self.used += len(flat)
 
     def numbers(self, buffer: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -515,12 +536,14 @@ class PieceIds:
                 return self.numbers(buffer, first, end)
             once, at = np.unique(hashes[new], return_index=True)
             at = new[at]
+            # white space by itself
+            white = _CLASS.take(buffer.take(end[at] - 1)) == _WHITE
             data = buffer.tobytes()
-            texts = [data[a:b].decode() for a, b in zip(first[at].tolist(), end[at].tolist())]
-            found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-            base = self.index.count
-            self._append(found)
-            self.index.put(once, np.arange(base, base + len(once), dtype=np.int32))
+            for some in (np.flatnonzero(~white), np.flatnonzero(white)):
+                if len(some):
+                    base, place = self.index.count, at[some]
+                    self._append(*self._encoded(data, first[place].tolist(), end[place].tolist()))
+                    self.index.put(once[some], np.arange(base, base + len(some), dtype=np.int32))
             out[new] = self.index.get(hashes[new])
         return out
 
