@@ -145,12 +145,25 @@ def words_of(mapped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def hash_spans(mapped: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``mapped[first[k]:last[k]]`` (no span is empty)."""
+    """64-bit hashes of ``mapped[first[k]:last[k]]`` (no span is empty; in ascending order, apart from each other)."""
     size = last - first
-    ends = np.cumsum(size)
-    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
-    source = np.repeat(first, size) + place
-    mixed = _TABLE[((place & (_ROUNDS - 1)) << 8) | mapped[source]]
+    a, b = int(first[0]), int(last[-1])
+    if b - a <= 2 * int(size.sum()):  # hardly any gaps: all bytes in a row, those between spans count nothing
+        begin = first - a
+        data = mapped[a:b]
+        place = np.arange(b - a) - np.repeat(begin, np.diff(first, append=b))
+        gap = np.flatnonzero(first[1:] > last[:-1])
+        wide = first[gap + 1] - last[gap]
+        ends = np.cumsum(wide)
+        between = np.repeat(last[gap] - a - (ends - wide), wide) + np.arange(ends[-1]) if len(gap) else gap
+    else:
+        ends = np.cumsum(size)
+        begin = ends - size
+        place = np.arange(ends[-1]) - np.repeat(begin, size)
+        data = mapped[np.repeat(first, size) + place]
+        between = begin[:0]
+    mixed = _TABLE.take(((place & (_ROUNDS - 1)) << 8) | data)
+    mixed[between] = 0
     if size.max() > _ROUNDS:
         mixed = mixed * (np.uint64(0xD6E8FEB86659FD93) ** (place >> 6).astype(np.uint64))
-    return splitmix(np.add.reduceat(mixed, ends - size) + size.astype(np.uint64))
+    return splitmix(np.add.reduceat(mixed, begin) + size.astype(np.uint64))

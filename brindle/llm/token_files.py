@@ -9,12 +9,12 @@ coder an id is its place in order of frequency.
 
 A block is coded id by id.  Predictions compete: the id that followed the last
 two ids before (order 2), the one that followed the last id (order 1), and for
-ids that are rare in the frame the latest one of the block with the same low byte
-(order 0).  Which of them is right, if any, is a symbol of four; its frequencies
-mix two adaptive models (by the confidence of the orders 2 and 1, and without
-context), weighted by how well each has done in the block.  Where none is right
-the id is coded by the frame's order-0 frequencies.  A range coder codes all of
-it.  All arithmetic is on integers, so that any machine decodes what another has
+ids that are rare in the frame the latest such one of the block that these have
+missed, with the same low byte (order 0).  Which of them is right, if any, is a symbol of four; its cumulative
+frequencies mix those of two adaptive models (by the confidence of the orders 2
+and 1, and without context), weighted by how well each has done in the block.
+Where none is right the id is coded by the frame's order-0 frequencies.  A range
+coder with carries codes all of it.  All arithmetic is on integers, so that any machine decodes what another has
 coded.  Ids have up to 32 bits.
 
 Blocks don't depend on each other, so many are coded and decoded in step: lane
@@ -39,14 +39,18 @@ from brindle.llm.textbytes import PIECE_BYTES, hash_spans, pieces, utf8_views
 
 #: Ids of a block, of a frame (at least, unless it is the last), and lanes coded at a time.
 BLOCK, FRAME, LANES = 2048, 1 << 19, 4096
-MAGIC = b"BTF2"
+MAGIC = b"BTF3"
 #: Pieces of text whose ids a worker keeps; beyond, it begins anew.
 CACHE_PIECES = 2_000_000
 #: Pieces that go to the library as one text.
 LINES = 1024
 
-_TOP, _LEAST = np.uint64(1 << 48), np.uint64(1 << 32)
-_MASK = np.uint64((1 << 32) - 1)
+#: A word leaves the coder as soon as the span is below this.
+_LEAST = np.uint64(1 << 48)
+#: A model's frequencies add up to 2 ** _TOTAL and are _GAP at least; the weights of the two add up to 2 ** _WEIGHT.
+_TOTAL, _GAP, _WEIGHT = 15, 48, 6
+#: Where learning of each symbol moves the lower bounds of the four.
+_LOWER = np.array([[_GAP * k if k <= s else (1 << _TOTAL) - _GAP * (4 - k) for k in range(4)] for s in range(4)], np.int32)
 _SLOTS_BITS = 8
 #: Bits of what follows each symbol: order 2, order 1, order 0 (a low byte), none (by frequency).
 _TAIL = np.array([0, 0, 8, 16], np.uint64)
@@ -105,7 +109,7 @@ class Prior:
 
     def slots(self) -> np.ndarray:
         """The group of each of the 65,536 parts."""
-        return np.repeat(np.arange(len(self.width), dtype=np.uint32), self.width.astype(np.int64))
+        return np.repeat(np.arange(len(self.width), dtype=np.uint16), self.width.astype(np.int64))
 
     def pack(self) -> bytes:
         step = np.diff(self.ids, prepend=np.uint32(0)).astype("<u4")
@@ -121,7 +125,7 @@ class Prior:
 
 
 def _tables(priors: list[Prior], decode: bool):
-    """(number of each prior's table, first groups, starts, widths, bits, slots) of the different priors of lanes."""
+    """Of the different priors of lanes: (number of each lane's table, its first group, first rare place and bits; starts << 32 | widths; slots)."""
     number: dict[int, int] = {}
     some: list[Prior] = []
     of = np.array([number.setdefault(id(p), len(number)) for p in priors], np.int64)
@@ -130,8 +134,10 @@ def _tables(priors: list[Prior], decode: bool):
             some.append(p)
     sizes = [len(p.width) for p in some]
     first = np.cumsum([0, *sizes[:-1]])
-    slots = np.concatenate([p.slots() for p in some]) if decode else np.zeros(0, np.uint32)
-    return of, first[of], np.concatenate([p.start for p in some]), np.concatenate([p.width for p in some]), np.array([p.bits for p in some], np.uint64)[of], slots
+    rare = [int((p.width >= _FREQUENT).sum()) << p.bits for p in some]
+    both = np.concatenate([p.start << np.uint64(32) | p.width for p in some])
+    slots = np.concatenate([p.slots() for p in some]) if decode else np.zeros(0, np.uint16)
+    return of, first[of], np.array(rare, np.uint32)[of], np.array([p.bits for p in some], np.uint64)[of], both, slots
 
 
 def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None, priors: list[Prior]):
@@ -143,71 +149,80 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
     n, encode = len(lengths), ids is not None
     steps = int(lengths[0]) if n else 0
     lane_all = np.arange(n)
-    table, row_group, starts, widths, shared, slot_of = _tables(priors, not encode)
+    table, row_group, rare, shared, both, slot_of = _tables(priors, not encode)
     row_part = table << 16
     wide_ids = bool(shared.any())  # some groups have several ids
-    low, span = np.zeros(n, np.uint64), np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
-    at = at_all = np.zeros(n, np.int64)
+    span = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
+    # encoding: the lower end of the span; decoding: how far the code lies above it
+    low = np.zeros(n, np.uint64)
     if encode:
         out = np.zeros((n, 3 * steps + 16), np.uint16)
         stream, row_words = out.reshape(-1), lane_all * out.shape[1]
     else:
         stream, row_words = words.reshape(-1), lane_all * words.shape[1]
-        out = np.zeros((n, steps), np.uint32)
-        code = np.zeros(n, np.uint64)
+        out = np.zeros((steps, n), np.uint32)
+    at = at_all = row_words.copy()  # the next word of each lane
+    if not encode:
         for _ in range(4):
-            code = (code << np.uint64(16)) | words[lane_all, at].astype(np.uint64)
+            low = (low << np.uint64(16)) | stream.take(at)
             at += 1
     slots = 1 << _SLOTS_BITS
     # predicted id << 2 | confidence, as flat tables of lane * slots + hash
     second, first = np.zeros(n * slots, np.uint32), np.zeros(n * slots, np.uint32)
     zeroth = np.zeros(n * 256, np.uint32)
-    # rows of four frequencies; whole rows are put back through a view of 16-byte items
-    mix0 = np.full((n, 4), 1024, np.int32)
-    mix1 = np.full((n * 16, 4), 1024, np.int32)
+    # rows of four lower bounds, the first always 0; whole rows are put back through a view of 16-byte items
+    even = np.arange(4, dtype=np.int32) << (_TOTAL - 2)
+    mix0, mix1 = np.tile(even, (n, 1)), np.tile(even, (n * 16, 1))
     rows1 = mix1.view(np.complex128).ravel()
-    good = np.full((2, n), 1024, np.int32)
+    good = np.full((2, n), 1 << (_TOTAL - 2), np.int32)
     # the weights of mix0 and mix1, once for each of the four symbols: products of equal shape are fast
-    weight0, weight1 = (np.repeat((g >> 7) + 1, 4).reshape(n, 4) for g in good)
+    weight0 = weight1 = np.full((n, 4), 1 << (_WEIGHT - 1), np.int32)
+    # mixed lower bounds, and a 0 behind them: where the next row begins, the whole ends
+    bounds = np.zeros(4 * n + 1, np.int32)
+    mixed = bounds[: 4 * n].reshape(n, 4)
+    whole = np.int32((1 << (_TOTAL + _WEIGHT)) - 1)
     # the last id, and the one before it as the hash of order 2 takes it
     last, turned = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     row_slots, row_bytes, row_mix, row_four = lane_all * slots, lane_all * 256, lane_all * 16, lane_all * 4
-    cum = np.zeros((n, 4), np.int32)
-    raised = (np.eye(4, dtype=np.int32) * 128).view(np.complex128).ravel()
-    shift, one, two, three = np.uint32(32 - _SLOTS_BITS), np.uint32(1), np.uint32(2), np.uint32(3)
+    goals = _LOWER.view(np.complex128).ravel()
+    shift, two, three = np.uint32(32 - _SLOTS_BITS), np.uint32(2), np.uint32(3)
+    total_bits, word, half, lower_half = np.uint64(_TOTAL + _WEIGHT), np.uint64(16), np.uint64(32), np.uint64((1 << 32) - 1)
     active = n
     ends = np.searchsorted(-lengths, -np.arange(steps), "left") if n else []  # lanes longer than t
     columns = np.ascontiguousarray(ids.T) if encode else None
 
     def settle() -> None:
-        """Words that can't change any more leave; a span across a word's edge is cut."""
-        todo = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _LEAST))
+        """The highest words of small spans leave."""
+        todo = np.flatnonzero(span < _LEAST)
         while len(todo):
-            lo, sp = low.take(todo), span.take(todo)
-            cut = (lo ^ (lo + sp)) >= _TOP
-            if cut.any():
-                sp = np.where(cut, (~lo + np.uint64(1)) & _MASK, sp)
-            place = at.take(todo)
+            place, lo = at.take(todo), low.take(todo)
             if encode:
-                stream[row_words.take(todo) + place] = lo >> np.uint64(48)
+                stream[place] = lo >> np.uint64(48)
+                low[todo] = lo << word
             else:  # of a damaged block anything may be read: its checksum tells
-                code[todo] = (code.take(todo) << np.uint64(16)) | stream.take(row_words.take(todo) + place, mode="clip")
+                low[todo] = (lo << word) | stream.take(place, mode="clip")
             at[todo] = place + 1
-            lo, sp = lo << np.uint64(16), sp << np.uint64(16)
-            low[todo], span[todo] = lo, sp
-            todo = todo[((lo ^ (lo + sp)) < _TOP) | (sp < _LEAST)]
+            wide = span.take(todo) << word
+            span[todo] = wide
+            todo = todo[wide < _LEAST]
+
+    def carry(lanes: np.ndarray) -> None:
+        """Add one to the number that each lane has written."""
+        place = at.take(lanes) - 1
+        while len(place):
+            raised = stream.take(place) + np.uint16(1)
+            stream[place] = raised
+            place = place[raised == 0] - 1
 
     for t in range(steps):
         a = int(ends[t])
         if a != active:
             active = a
-            row_slots, row_bytes, row_mix, row_four, row_group, row_part, shared = (x[:a] for x in (row_slots, row_bytes, row_mix, row_four, row_group, row_part, shared))
+            row_slots, row_bytes, row_mix, row_four, row_group, row_part, rare, shared = (x[:a] for x in (row_slots, row_bytes, row_mix, row_four, row_group, row_part, rare, shared))
             if encode:
-                _finish(out, at, low, a)
+                _finish(stream, at, low, a)
             low, span, at = low[:a], span[:a], at[:a]
-            if not encode:
-                code = code[:a]
-            mix0, good, weight0, weight1, last, turned, cum = mix0[:a], good[:, :a], weight0[:a], weight1[:a], last[:a], turned[:a], cum[:a]
+            mix0, good, weight0, weight1, last, turned, mixed = mix0[:a], good[:, :a], weight0[:a], weight1[:a], last[:a], turned[:a], mixed[:a]
         spread = last * np.uint32(0x9E3779B1)
         h1 = row_slots + (spread >> shift)
         h2 = row_slots + ((spread ^ turned) >> shift)
@@ -216,90 +231,103 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
         c1, c2 = e1 & three, e2 & three
         k1 = row_mix + ((c2 << two) | c1)
         m1 = rows1.take(k1).view(np.int32).reshape(a, 4)
-        f = mix0 * weight0
-        f += m1 * weight1
-        f += 1
-        f0, f1, f2 = f[:, 0], f[:, 1], f[:, 2]
-        b2 = f0 + f1
-        b3 = b2 + f2
-        total = (b3 + f[:, 3]).astype(np.uint64)
-        cum[:, 1], cum[:, 2], cum[:, 3] = f0, b2, b3
-        unit = span // total
+        np.multiply(mix0, weight0, out=mixed)
+        mixed += m1 * weight1
+        unit = span >> total_bits
         if encode:
             x = columns[t, :a]
-            slot = row_bytes + (x & np.uint32(255))
-            group = row_group + ((x >> shared.astype(np.uint32)) if wide_ids else x)
-            width = widths.take(group)
-            near = (zeroth.take(slot) == x) & (width < _FREQUENT)
+            hit1, hit2 = x == p1, x == p2
             # the first prediction that is right: 0, 1 or 2; else 3
-            s = np.where(x == p2, 0, np.where(x == p1, 1, 3 - near))
-            tail = np.where(s == 2, x & np.uint32(255), starts.take(group))
-            tail *= s >= 2
+            s = np.where(hit2, 0, np.where(hit1, 1, 3))
+            some = np.flatnonzero((s == 3) & (x >= rare))
+            byte = x.take(some) & np.uint32(255)
+            slot = row_bytes.take(some) + byte
+            near = zeroth.take(slot) == x.take(some)
+            zeroth[slot] = x.take(some)
+            some, byte = some[near], byte[near]
+            s[some] = 2
         else:
-            value = ((code - low) // unit).astype(np.int64)
-            s = (value >= f0).astype(np.int64) + (value >= b2) + (value >= b3)
+            value = (low // unit).astype(np.int32)
+            s = (value >= mixed[:, 1]).view(np.int8) + (value >= mixed[:, 2]).view(np.int8)
+            s += value >= mixed[:, 3]
         pick = row_four + s
-        low += unit * cum.reshape(-1).take(pick).astype(np.uint64)
-        np.multiply(unit, f.reshape(-1).take(pick).astype(np.uint64), out=span)
+        below = bounds.take(pick)
+        part = (bounds.take(pick + 1) - below) & whole
+        moved = unit * below.astype(np.uint64)
+        np.multiply(unit, part.astype(np.uint64), out=span)
         bits = _TAIL.take(s)
         span >>= bits
         none = np.flatnonzero(s == 3)
         if encode:
-            low += span * tail
-            span[none] *= width.take(none)
+            moved[some] += span.take(some) * byte
+            group = x.take(none)
+            if wide_ids:
+                group = group >> shared.take(none).astype(np.uint32)
+            held, wide = both.take(row_group.take(none) + group), span.take(none)
+            moved[none] += wide * (held >> half)
+            span[none] = wide * (held & lower_half)
+            low += moved
+            carry(np.flatnonzero(low < moved))
         else:
-            tail = np.zeros(a, np.uint64)
-            missed = np.flatnonzero(s >= 2)
-            tail[missed] = np.minimum((code.take(missed) - low.take(missed)) // span.take(missed), (np.uint64(1) << bits.take(missed)) - np.uint64(1))
+            low -= moved
             x = np.where(s == 0, p2, p1)
             some = np.flatnonzero(s == 2)
-            x[some] = zeroth.take(row_bytes.take(some) + tail.take(some).astype(np.int64))
-            found = slot_of.take(row_part.take(none) + tail.take(none).astype(np.int64))
-            group = row_group.take(none) + found
-            tail[none] = starts.take(group)
-            low += span * tail
-            span[none] *= widths.take(group)
+            wide, lo = span.take(some), low.take(some)
+            tail = np.minimum(lo // wide, np.uint64(255))
+            low[some] = lo - wide * tail
+            x[some] = zeroth.take(row_bytes.take(some) + tail.astype(np.int64))
+            wide, lo = span.take(none), low.take(none)
+            found = slot_of.take(row_part.take(none) + np.minimum(lo // wide, np.uint64(65535)).astype(np.int64))
+            held = both.take(row_group.take(none) + found)
+            low[none] = lo - wide * (held >> half)
+            span[none] = wide * (held & lower_half)
             x[none] = found
         if wide_ids:
             settle()
             more = shared.take(none)
-            span[none] >>= more
+            wide, lo = span.take(none) >> more, low.take(none)
+            span[none] = wide
             if encode:
-                rest = x.take(none) & ((np.uint32(1) << more.astype(np.uint32)) - one)
+                moved = wide * (x.take(none) & ((np.uint32(1) << more.astype(np.uint32)) - np.uint32(1)))
+                low[none] = lo + moved
+                carry(none[lo + moved < moved])
             else:
-                rest = np.minimum((code.take(none) - low.take(none)) // span.take(none), (np.uint64(1) << more) - np.uint64(1)).astype(np.uint32)
-                x[none] = (found << more.astype(np.uint32)) | rest
-            low[none] += span.take(none) * rest
+                rest = np.minimum(lo // wide, (np.uint64(1) << more) - np.uint64(1))
+                low[none] = lo - wide * rest
+                x[none] = (found.astype(np.uint32) << more.astype(np.uint32)) | rest.astype(np.uint32)
         if not encode:
-            out[:a, t] = x
-            slot = row_bytes + (x & np.uint32(255))
+            out[t, :a] = x
+            hit1, hit2 = x == p1, x == p2
+            some = np.flatnonzero((s >= 2) & (x >= rare))
+            zeroth[row_bytes.take(some) + (x.take(some) & np.uint32(255))] = x.take(some)
         settle()
         # learn
-        up = raised.take(s).view(np.int32).reshape(a, 4)
         if not t & 3:  # every fourth id sets the weights
-            for k, m in enumerate((mix0, m1)):
-                good[k] += (m.reshape(-1).take(pick) - good[k]) >> 3
-            weight0, weight1 = (np.repeat((g >> 7) + 1, 4).reshape(a, 4) for g in good)
+            for k, m in enumerate((mix0.reshape(-1), m1.reshape(-1))):
+                got = (m.take(pick + 1, mode="wrap") - m.take(pick)) & ((1 << _TOTAL) - 1)
+                good[k] += (got - good[k]) >> 3
+            weight0 = np.repeat(good[0] * ((1 << _WEIGHT) - 2) // (good[0] + good[1]) + 1, 4).reshape(a, 4)
+            weight1 = (1 << _WEIGHT) - weight0
+        goal = goals.take(s).view(np.int32).reshape(a, 4)
         for m in (mix0, m1):
-            m -= m >> 5
-            m += up
+            step = goal - m
+            step >>= 5
+            m += step
         rows1[k1] = m1.view(np.complex128).ravel()
         x2 = x << two
-        first[h1] = np.where(x == p1, x2 | np.minimum(c1 + one, three), x2)
-        second[h2] = np.where(x == p2, x2 | np.minimum(c2 + one, three), x2)
-        zeroth[slot] = x
+        first[h1] = np.where(hit1, e1 + (c1 < three), x2)
+        second[h2] = np.where(hit2, e2 + (c2 < three), x2)
         turned, last = (last * np.uint32(0x85EBCA6B)) ^ (last >> three), x
     if encode:
-        _finish(out, at, low, 0)
-        return out, at_all
-    return out
+        _finish(stream, at, low, 0)
+        return out, at_all - row_words
+    return np.ascontiguousarray(out.T)
 
 
-def _finish(out, at, low, first: int) -> None:
+def _finish(stream, at, low, first: int) -> None:
     """Write the four words of ``low`` of the lanes from ``first`` on."""
-    lanes = np.arange(first, len(low))
     for k in range(4):
-        out[lanes, at[first:]] = (low[first:] >> np.uint64(48 - 16 * k)).astype(np.uint16)
+        stream[at[first:]] = low[first:] >> np.uint64(48 - 16 * k)
         at[first:] += 1
 
 
