@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 
 from brindle.llm.textbytes import PIECE_BYTES, hash_spans, pieces, utf8_views
 
-#: Ids of a block, of a frame (at least, unless it is the last), and lanes coded at a time.
-BLOCK, FRAME, LANES = 2048, 1 << 19, 4096
+#: Ids of a block, of a frame (at least, unless it is the last), and lanes coded at a time (about).
+BLOCK, FRAME, LANES = 2048, 1 << 19, 2048
 MAGIC = b"BTF3"
 #: Pieces of text whose ids a worker keeps; beyond, it begins anew.
 CACHE_PIECES = 2_000_000
 #: Pieces that go to the library as one text.
-LINES = 1024
+LINES = 256
 
 #: A word leaves the coder as soon as the span is below this.
 _LEAST = np.uint64(1 << 48)
@@ -125,7 +125,7 @@ class Prior:
 
 
 def _tables(priors: list[Prior], decode: bool):
-    """Of the different priors of lanes: (number of each lane's table, its first group, first rare place and bits; starts << 32 | widths; slots)."""
+    """Of the different priors of lanes: (number of each lane's table, its first group, first rare place and bits; starts << 16 | widths less 1; slots)."""
     number: dict[int, int] = {}
     some: list[Prior] = []
     of = np.array([number.setdefault(id(p), len(number)) for p in priors], np.int64)
@@ -135,7 +135,7 @@ def _tables(priors: list[Prior], decode: bool):
     sizes = [len(p.width) for p in some]
     first = np.cumsum([0, *sizes[:-1]])
     rare = [int((p.width >= _FREQUENT).sum()) << p.bits for p in some]
-    both = np.concatenate([p.start << np.uint64(32) | p.width for p in some])
+    both = np.concatenate([p.start << np.uint64(16) | (p.width - np.uint64(1)) for p in some]).astype(np.uint32)
     slots = np.concatenate([p.slots() for p in some]) if decode else np.zeros(0, np.uint16)
     return of, first[of], np.array(rare, np.uint32)[of], np.array([p.bits for p in some], np.uint64)[of], both, slots
 
@@ -185,8 +185,8 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
     last, turned = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     row_slots, row_bytes, row_mix, row_four = lane_all * slots, lane_all * 256, lane_all * 16, lane_all * 4
     goals = _LOWER.view(np.complex128).ravel()
-    shift, two, three = np.uint32(32 - _SLOTS_BITS), np.uint32(2), np.uint32(3)
-    total_bits, word, half, lower_half = np.uint64(_TOTAL + _WEIGHT), np.uint64(16), np.uint64(32), np.uint64((1 << 32) - 1)
+    shift, one, two, three = np.uint32(32 - _SLOTS_BITS), np.uint32(1), np.uint32(2), np.uint32(3)
+    total_bits, word, half, lower_half = np.uint64(_TOTAL + _WEIGHT), np.uint64(16), np.uint32(16), np.uint32(65535)
     active = n
     ends = np.searchsorted(-lengths, -np.arange(steps), "left") if n else []  # lanes longer than t
     columns = np.ascontiguousarray(ids.T) if encode else None
@@ -265,7 +265,7 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
                 group = group >> shared.take(none).astype(np.uint32)
             held, wide = both.take(row_group.take(none) + group), span.take(none)
             moved[none] += wide * (held >> half)
-            span[none] = wide * (held & lower_half)
+            span[none] = wide * ((held & lower_half) + one)
             low += moved
             carry(np.flatnonzero(low < moved))
         else:
@@ -280,7 +280,7 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
             found = slot_of.take(row_part.take(none) + np.minimum(lo // wide, np.uint64(65535)).astype(np.int64))
             held = both.take(row_group.take(none) + found)
             low[none] = lo - wide * (held >> half)
-            span[none] = wide * (held & lower_half)
+            span[none] = wide * ((held & lower_half) + one)
             x[none] = found
         if wide_ids:
             settle()
@@ -302,7 +302,7 @@ def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None
             zeroth[row_bytes.take(some) + (x.take(some) & np.uint32(255))] = x.take(some)
         settle()
         # learn
-        if not t & 3:  # every fourth id sets the weights
+        if not t & 7:  # every eighth id sets the weights
             for k, m in enumerate((mix0.reshape(-1), m1.reshape(-1))):
                 got = (m.take(pick + 1, mode="wrap") - m.take(pick)) & ((1 << _TOTAL) - 1)
                 good[k] += (got - good[k]) >> 3
@@ -331,12 +331,18 @@ def _finish(stream, at, low, first: int) -> None:
         at[first:] += 1
 
 
+def _parts(order: list[int]) -> list[list[int]]:
+    """About LANES at a time, evenly: a few lanes take as many steps as many."""
+    count = max(1, (len(order) + LANES // 2) // LANES)
+    cuts = [len(order) * k // count for k in range(count + 1)]
+    return [order[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
 def encode_blocks(blocks: list[np.ndarray], priors: list[Prior]) -> list[bytes]:
     """The coded words of each block of ids (at most BLOCK, not empty), by the prior of its frame."""
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    for a in range(0, len(order), LANES):
-        part = order[a : a + LANES]
+    for part in _parts(order):
         lengths = np.array([len(blocks[k]) for k in part], np.int64)
         ids = np.zeros((len(part), int(lengths[0])), np.uint32)
         for r, k in enumerate(part):
@@ -351,8 +357,7 @@ def decode_blocks(blocks: list[tuple[int, bytes]], priors: list[Prior]) -> list[
     """The ids of blocks given as (number of ids, coded words)."""
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda k: -blocks[k][0])
-    for a in range(0, len(order), LANES):
-        part = order[a : a + LANES]
+    for part in _parts(order):
         lengths = np.array([blocks[k][0] for k in part], np.int64)
         words = np.zeros((len(part), max(len(blocks[k][1]) // 2 for k in part) + 8), np.uint16)
         for r, k in enumerate(part):
