@@ -128,3 +128,29 @@ def test_other_vocabulary_files(tmp_path):
     (tmp_path / "bad.json").write_text(json.dumps(dict(spec, model=dict(spec["model"], byte_fallback=True))), encoding="utf-8")
     with pytest.raises(ValueError):
         WordBpe(str(tmp_path / "bad.json"))
+
+
+def test_hashes_of_spans_do_not_depend_on_gaps():
+    """Equal bytes have equal hashes, alone and in a row, whatever lies between the spans."""
+    from brindle.llm.textbytes import hash_spans
+
+    rng = np.random.default_rng(3)
+    for count, most_gap, most in ((1, 1, 5), (400, 1, 9), (400, 2, 9), (400, 9, 4), (60, 3, 300), (60, 2000, 300)):
+        size = rng.integers(1, most, count)
+        last = np.cumsum(size + rng.integers(0, most_gap, count))
+        first = last - size
+        data = rng.integers(0, 256, last[-1] + 3).astype(np.uint8)
+        together = hash_spans(data, first, last)
+        alone = [hash_spans(data[a:b].copy(), np.array([0]), np.array([b - a]))[0] for a, b in zip(first, last)]
+        assert np.array_equal(together, alone)
+        assert len(set(together.tolist())) == len({data[a:b].tobytes() for a, b in zip(first, last)})
+
+
+def test_lanes_come_in_even_parts():
+    from brindle.llm import token_files as f
+
+    for count in (0, 1, f.LANES - 1, f.LANES + 2, 2 * f.LANES + 1, 5 * f.LANES // 2 + 7):
+        order = list(range(count))
+        parts = f._parts(order)
+        assert [k for p in parts for k in p] == order
+        assert not parts or (max(map(len, parts)) - min(map(len, parts)) <= 1 and max(map(len, parts)) <= 1.5 * f.LANES)
