@@ -1,4 +1,4 @@
-"""An ordered index: unique keys with values, sorted by range.
+"""An ordered index: unique keys (repeated ones where a caller asks for them) with values, sorted by range.
 
 Stored as Parquet in key order, point and range reads prune row groups by
 their key bounds.  The order may follow a key expression instead of the key.
@@ -56,9 +56,13 @@ class OrderedIndex:
             raise KeyError(name)
         return cls(spark.table(name), order)
 
-    def insert(self, new: DataFrame) -> OrderedIndex:
-        """With entries (key, value) added; the same entry again changes nothing, another value for a key is an error."""
-        return OrderedIndex(_unique(self.entries.unionByName(new.select("key", "value"))), self.order)
+    def insert(self, new: DataFrame, repeated: bool = False) -> OrderedIndex:
+        """With entries (key, value) added; the same entry again changes nothing, another value for a key is an error.
+
+        With ``repeated`` every entry is added beside those that are there, whatever its key.
+        """
+        both = self.entries.unionByName(new.select("key", "value"))
+        return OrderedIndex(both if repeated else _unique(both), self.order)
 
     def erase(self, *keys: object) -> OrderedIndex:
         """Without some keys; absent ones change nothing, None erases the entry of the missing key."""

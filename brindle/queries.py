@@ -194,7 +194,7 @@ def index_max(spark, sf_dir):
 
 @query("SELECT o_orderkey AS key, o_custkey AS value FROM orders UNION ALL SELECT CAST(999999 AS BIGINT), CAST(1 AS BIGINT)")
 def index_insert(spark, sf_dir):
-    return _orders_index(spark, sf_dir).insert(spark.createDataFrame([(999999, 1)], "key long, value long")).entries
+    return _orders_index(spark, sf_dir).insert(spark.createDataFrame([(999999, 1)], "key long, value long"), repeated=True).entries
 
 
 @query("SELECT o_orderkey AS key, o_custkey AS value FROM orders WHERE o_orderkey <> 4242")

@@ -154,3 +154,12 @@ def test_segment_and_access(spark):
     assert df.select(access(df, 0, INTEGER)).first()[0] == 1
     with pytest.raises(TypeError):
         access(df, "n", DOUBLE)
+
+
+def test_inserted_key_that_the_table_holds_stays_beside_it(spark, tmp_path):
+    from brindle.queries import QUERIES
+
+    rows = [(999999, 7), (5, 3), (5, 3), (999999, 1)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["index_insert"](spark, str(tmp_path)).collect())
+    assert got == sorted([*rows, (999999, 1)])
