@@ -18,7 +18,8 @@ coder with carries codes all of it.  All arithmetic is on integers, so that any
 coded.  Ids have up to 32 bits.
 
 Blocks don't depend on each other, so many are coded and decoded in step: lane
-k of the arrays is block k.
+k of the arrays is block k.  The coder knows all ids, so it makes the guesses of
+whole blocks at once and goes in step for the mixing alone.
 """
 
 from __future__ import annotations
@@ -45,13 +46,17 @@ CACHE_PIECES = 2_000_000
 #: Pieces that go to the library as one text.
 LINES = 256
 
-#: A word leaves the coder as soon as the span is below this.
-_LEAST = np.uint64(1 << 48)
+#: A word leaves the coder as soon as the span is below the first of these, a second one below the other.
+_LEAST, _LESS = np.uint64(1 << 48), np.uint64(1 << 32)
 #: A model's frequencies add up to 2 ** _TOTAL and are _GAP at least; the weights of the two add up to 2 ** _WEIGHT.
 _TOTAL, _GAP, _WEIGHT = 15, 48, 6
 #: Where learning of each symbol moves the lower bounds of the four.
 _LOWER = np.array([[_GAP * k if k <= s else (1 << _TOTAL) - _GAP * (4 - k) for k in range(4)] for s in range(4)], np.int32)
+_GOALS = _LOWER.view(np.complex128).ravel()
+_UNIT, _WHOLE = np.uint64(_TOTAL + _WEIGHT), np.int32((1 << (_TOTAL + _WEIGHT)) - 1)
 _SLOTS_BITS = 8
+#: Blocks whose guesses are made, and whose words are added up, at a time.
+_ROWS = 32
 #: Bits of what follows each symbol: order 2, order 1, order 0 (a low byte), none (by frequency).
 _TAIL = np.array([0, 0, 8, 16], np.uint64)
 #: Groups of ids with a frequency of their own, at most; more ids share groups of like frequency.
@@ -140,197 +145,310 @@ def _tables(priors: list[Prior], decode: bool):
     return of, first[of], np.array(rare, np.uint32)[of], np.array([p.bits for p in some], np.uint64)[of], both, slots
 
 
-def _coded(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None, priors: list[Prior]):
-    """Code (``ids`` given) or decode (``words`` given) lanes in step.
+class _Mixture:
+    """The two adaptive models of the symbols of all lanes, mixed in step: row k is lane k.
 
-    ``lengths`` must not increase.  ids: (lanes, BLOCK) places of uint32.  words:
-    (lanes, any) of uint16.  Returns (words, number of words) or places.
+    Models are rows of four lower bounds, the first always 0.  Whole rows are put
+    back through a view of 16-byte items.
     """
-    n, encode = len(lengths), ids is not None
-    steps = int(lengths[0]) if n else 0
-    lane_all = np.arange(n)
-    table, row_group, rare, shared, both, slot_of = _tables(priors, not encode)
-    row_part = table << 16
-    wide_ids = bool(shared.any())  # some groups have several ids
-    span = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
-    # encoding: the lower end of the span; decoding: how far the code lies above it
-    low = np.zeros(n, np.uint64)
-    if encode:
-        out = np.zeros((n, 3 * steps + 16), np.uint16)
-        stream, row_words = out.reshape(-1), lane_all * out.shape[1]
-    else:
-        stream, row_words = words.reshape(-1), lane_all * words.shape[1]
-        out = np.zeros((steps, n), np.uint32)
-    at = at_all = row_words.copy()  # the next word of each lane
-    if not encode:
-        for _ in range(4):
-            low = (low << np.uint64(16)) | stream.take(at)
-            at += 1
+
+    def __init__(self, n: int):
+        even = np.arange(4, dtype=np.int32) << (_TOTAL - 2)
+        # the model without context, and the one that the lane's context picks of its 16
+        self.both, self.goal = np.tile(even, (2, n, 1)), np.zeros((n, 4), np.int32)
+        self.rows = np.tile(even, (n * 16, 1)).view(np.complex128).ravel()
+        self.good = np.full((2, n), 1 << (_TOTAL - 2), np.int32)
+        # their weights, once for each of the four symbols: products of equal shape are fast
+        self.weights = np.full((2, n, 4), 1 << (_WEIGHT - 1), np.int32)
+        # mixed lower bounds, and a 0 behind them: where the next row begins, the whole ends
+        self.bounds = np.zeros(4 * n + 1, np.int32)
+        self.upper = self.bounds[1:]
+        self.lane_context, self.lane_row = np.arange(n) * 16, np.arange(n) * 4
+        self.cut(n)
+
+    def cut(self, a: int) -> None:
+        """Go on with the first ``a`` lanes."""
+        self.both, self.good, self.weights = (np.ascontiguousarray(x[:, :a]) for x in (self.both, self.good, self.weights))
+        self.lane_context, self.lane_row, self.goal = self.lane_context[:a], self.lane_row[:a], self.goal[:a]
+        self.mixed = self.bounds[: 4 * a].reshape(a, 4)
+        self.products, self.steps = np.empty_like(self.both), np.empty_like(self.both)
+        self.picked, self.aim = self.both[1].view(np.complex128).ravel(), self.goal.view(np.complex128).ravel()
+        self.flat = self.both.reshape(2, -1)
+
+    def mix(self, context: np.ndarray) -> None:
+        """The mixed bounds, given each lane's context."""
+        self.context = self.lane_context + context
+        self.rows.take(self.context, out=self.picked, mode="clip")
+        np.multiply(self.both, self.weights, out=self.products)
+        np.add(self.products[0], self.products[1], out=self.mixed)
+
+    def parts(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lower bound, width) of a symbol of each lane."""
+        self.symbol, self.pick = s, self.lane_row + s
+        below = self.bounds.take(self.pick)
+        return below.astype(np.uint64), ((self.upper.take(self.pick) - below) & _WHOLE).astype(np.uint64)
+
+    def learn(self, weigh: bool) -> None:
+        """Move to the symbols that ``parts`` was asked for; set the weights if asked."""
+        if weigh:
+            for good, m in zip(self.good, self.flat):
+                got = (m.take(self.pick + 1, mode="wrap") - m.take(self.pick)) & ((1 << _TOTAL) - 1)
+                good += (got - good) >> 3
+            first = self.good[0] * ((1 << _WEIGHT) - 2) // (self.good[0] + self.good[1]) + 1
+            self.weights[0] = first[:, None]
+            np.subtract(1 << _WEIGHT, self.weights[0], out=self.weights[1])
+        _GOALS.take(self.symbol, out=self.aim, mode="clip")
+        np.subtract(self.goal, self.both, out=self.steps)
+        self.steps >>= 5
+        self.both += self.steps
+        self.rows[self.context] = self.picked
+
+
+def _spreads(last: np.ndarray, turned: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Hashes of orders 1 and 2, given the last id and how order 2 takes the one before."""
+    np.multiply(last, np.uint32(0x9E3779B1), out=out[0])
+    np.bitwise_xor(out[0], turned, out=out[1])
+    out >>= np.uint32(32 - _SLOTS_BITS)
+    return out
+
+
+def _turned(last: np.ndarray) -> np.ndarray:
+    """An id as the hash of order 2 takes it two ids later."""
+    return (last * np.uint32(0x85EBCA6B)) ^ (last >> np.uint32(3))
+
+
+def _guesses(ids: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole blocks, one a row: (symbols | contexts << 2; which are right by order 0).
+
+    What the decoder finds in its tables: the latest id behind the same hash, and
+    how often in a row (to 3) such ids were right.  Here the places of a row are
+    sorted by hash, so that the one before is the neighbour.
+    """
+    rows, steps = ids.shape
+    bits, flat = np.uint32(max(1, (steps - 1).bit_length())), ids.reshape(-1)
+    begin, within = np.arange(rows)[:, None] * steps, np.arange(steps, dtype=np.uint32)
+    last, turned = np.zeros((2, rows, steps), np.uint32)
+    last[:, 1:] = ids[:, :-1]
+    turned[:, 1:] = _turned(last[:, :-1])
+    hits, sure = np.empty((2, 2, rows * steps), np.uint8)
+    for k, h in enumerate(_spreads(last, turned, np.empty((2, rows, steps), np.uint32))):
+        h <<= bits
+        h |= within
+        h.sort(axis=1)
+        place = ((h & ((np.uint32(1) << bits) - np.uint32(1))) + begin).ravel()
+        h >>= bits
+        once = np.zeros((rows, steps), bool)  # right once at least, then twice, three times
+        np.equal(h[:, 1:], h[:, :-1], out=once[:, 1:])
+        once = once.ravel()
+        x = flat.take(place)
+        before = np.zeros_like(x)
+        np.multiply(x[:-1], once[1:], out=before[1:])
+        right = x == before
+        once[1:] &= right[:-1]
+        twice = once.copy()
+        twice[1:] &= once[:-1]
+        often = twice.copy()
+        often[1:] &= twice[:-1]
+        hits[k][place] = right
+        sure[k][place] = once.view(np.uint8) + twice.view(np.uint8) + often.view(np.uint8)
+    # the first prediction that is right: 0 (order 2), 1 (order 1) or 2 (order 0); else 3
+    notes = (np.uint8(1) - hits[1]) * (np.uint8(3) - (hits[0] << np.uint8(1)))
+    some = np.flatnonzero(((notes == 3).reshape(rows, steps) & (ids >= rare[:, None])).ravel())
+    x = flat.take(some).astype(np.uint64)
+    # by lane, low byte and place; what lies behind the last 32 bits tells the same slot
+    keys = (some // steps).astype(np.uint64) << np.uint64(40) | (x & np.uint64(255)) << np.uint64(32) | some.astype(np.uint64)
+    keys.sort()
+    some = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    keys >>= np.uint64(32)
+    x = flat.take(some)
+    before = np.zeros_like(x)
+    np.multiply(x[:-1], keys[1:] == keys[:-1], out=before[1:])
+    some = some[x == before]
+    notes[some] = 2
+    notes |= (sure[1] << np.uint8(4)) | (sure[0] << np.uint8(2))
+    return notes.reshape(rows, steps), some
+
+
+def _shrink(span: np.ndarray) -> np.ndarray:
+    """Bits that leave the coder: the highest words of small spans (never more than two); spans are widened."""
+    bits = ((span < _LEAST).view(np.uint8) + (span < _LESS).view(np.uint8)) << np.uint8(4)
+    span <<= bits
+    return bits
+
+
+def _encoded(blocks: list[np.ndarray], priors: list[Prior]) -> list[bytes]:
+    """Code lanes in step; their lengths must not increase.
+
+    The range coder's number is the sum of the lower ends of all steps, each
+    shifted by the bits that had left before: they are kept and added at the end.
+    """
+    n = len(blocks)
+    lengths = np.array([len(b) for b in blocks], np.int64)
+    steps = int(lengths[0])
+    of, row_group, rare, shared, both, _ = _tables(priors, False)
+    turns = 2 if shared.any() else 1  # some groups have several ids, told apart by a second part
+    notes, tails = np.zeros((steps, n), np.uint8), np.zeros((steps, n), np.uint32)
+    rests = np.zeros((steps, n), np.uint32) if turns > 1 else None
+    for a in range(0, n, _ROWS):
+        b, m = min(n, a + _ROWS), int(lengths[a])
+        ids = np.zeros((b - a, m), np.uint32)
+        for r in range(a, b):
+            ids[r - a, : lengths[r]] = priors[r].places(blocks[r])
+        note, some = _guesses(ids, rare[a:b])
+        more = shared[a:b, None].astype(np.uint32)
+        none = (note & np.uint8(3)) == 3
+        # start << 16 | width less 1 of what follows each symbol
+        held = both.take(row_group[a:b, None] + (ids >> more), mode="clip") * none
+        held.reshape(-1)[some] = (ids.reshape(-1).take(some) & np.uint32(255)) << np.uint32(16)
+        notes[:m, a:b], tails[:m, a:b] = note.T, held.T
+        if turns > 1:
+            rests[:m, a:b] = (ids & ((np.uint32(1) << more) - np.uint32(1)) * none).T
+    lows, left = np.zeros((steps * turns, n), np.uint64), np.zeros((steps * turns, n), np.uint8)
+    span, mixture, active = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF)), _Mixture(n), n
+    ends = np.searchsorted(-lengths, -np.arange(steps), "left").tolist()  # lanes longer than t
+    for t, a in enumerate(ends):
+        if a != active:
+            active = a
+            mixture.cut(a)
+            span, shared = span[:a], shared[:a]
+        note, held = notes[t, :a], tails[t, :a]
+        s = (note & np.uint8(3)).astype(np.intp)
+        mixture.mix(note >> np.uint8(2))
+        below, part = mixture.parts(s)
+        unit = span >> _UNIT
+        part *= unit
+        part >>= _TAIL.take(s)
+        below *= unit
+        below += part * (held >> np.uint32(16))
+        lows[t * turns, :a] = below
+        span = part * ((held & np.uint32(65535)) + np.uint32(1))
+        left[t * turns, :a] = _shrink(span)
+        if turns > 1:
+            span >>= shared * (s == 3)
+            lows[2 * t + 1, :a] = span * rests[t, :a]
+            left[2 * t + 1, :a] = _shrink(span)
+        mixture.learn(not t & 7)
+    return [w for a in range(0, n, _ROWS) for w in _sums(lows[:, a : a + _ROWS], left[:, a : a + _ROWS])]
+
+
+def _sums(lows: np.ndarray, left: np.ndarray) -> list[bytes]:
+    """The words of lanes (columns), of the lower ends and the bits that left behind each."""
+    lanes, steps = lows.shape[1], len(lows)
+    gone = np.cumsum(left.T >> np.uint8(4), axis=1, dtype=np.int64)
+    used = gone[:, -1] + 4
+    width = int(used.max())
+    at = np.zeros((lanes, steps), np.int64)
+    at[:, 1:] = gone[:, :-1]
+    at += np.arange(lanes)[:, None] * width
+    at = at.ravel()
+    # ends that begin at the same word add up within 64 bits; then words of 16 bits, and their carries
+    new = np.flatnonzero(np.diff(at, prepend=-1))
+    total, at = np.add.reduceat(np.ascontiguousarray(lows.T).ravel(), new), at[new]
+    words = np.zeros(lanes * width, np.uint32)
+    for k in range(4):  # the places of one k all differ
+        words[at + k] += ((total >> np.uint64(48 - 16 * k)) & np.uint64(65535)).astype(np.uint32)
+    over = np.flatnonzero(words >> np.uint32(16))
+    while len(over):
+        carried = words[over] >> np.uint32(16)
+        words[over] &= np.uint32(65535)
+        words[over - 1] += carried
+        over = over - 1
+        over = over[words[over] > 65535]
+    rows = words.reshape(lanes, width).astype("<u2")
+    return [row[:k].tobytes() for row, k in zip(rows, used.tolist())]
+
+
+def _decoded(lengths: np.ndarray, words: np.ndarray, priors: list[Prior]) -> np.ndarray:
+    """Decode lanes in step: (lanes, any) words of uint16 to (lanes, longest) places.  ``lengths`` must not increase."""
+    n, steps = len(lengths), int(lengths[0])
+    table, row_group, rare, shared, both, slot_of = _tables(priors, True)
+    row_part, wide_ids = table << 16, bool(shared.any())
+    lane = np.arange(n)
+    # the next two words at each place
+    stream = words.reshape(-1).astype(np.uint32)
+    stream <<= np.uint32(16)
+    stream[:-1] |= words.reshape(-1)[1:]
+    at = lane * words.shape[1]
+    # how far the code lies above the lower end of the span
+    low = stream.take(at).astype(np.uint64) << np.uint64(32) | stream.take(at + 2)
+    at += 4
+    span, mixture, active = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF)), _Mixture(n), n
+    out = np.zeros((steps, n), np.uint32)
+    # predicted id << 2 | confidence, of orders 1 and 2, as a flat table of (order, lane, hash)
     slots = 1 << _SLOTS_BITS
-    # predicted id << 2 | confidence, as flat tables of lane * slots + hash
-    second, first = np.zeros(n * slots, np.uint32), np.zeros(n * slots, np.uint32)
-    zeroth = np.zeros(n * 256, np.uint32)
-    # rows of four lower bounds, the first always 0; whole rows are put back through a view of 16-byte items
-    even = np.arange(4, dtype=np.int32) << (_TOTAL - 2)
-    mix0, mix1 = np.tile(even, (n, 1)), np.tile(even, (n * 16, 1))
-    rows1 = mix1.view(np.complex128).ravel()
-    good = np.full((2, n), 1 << (_TOTAL - 2), np.int32)
-    # the weights of mix0 and mix1, once for each of the four symbols: products of equal shape are fast
-    weight0 = weight1 = np.full((n, 4), 1 << (_WEIGHT - 1), np.int32)
-    # mixed lower bounds, and a 0 behind them: where the next row begins, the whole ends
-    bounds = np.zeros(4 * n + 1, np.int32)
-    mixed = bounds[: 4 * n].reshape(n, 4)
-    whole = np.int32((1 << (_TOTAL + _WEIGHT)) - 1)
+    entries, row_slots = np.zeros(2 * n * slots, np.uint32), np.arange(2 * n).reshape(2, n) * slots
+    zeroth, row_bytes = np.zeros(n * 256, np.uint32), lane * 256
     # the last id, and the one before it as the hash of order 2 takes it
-    last, turned = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-    row_slots, row_bytes, row_mix, row_four = lane_all * slots, lane_all * 256, lane_all * 16, lane_all * 4
-    goals = _LOWER.view(np.complex128).ravel()
-    shift, one, two, three = np.uint32(32 - _SLOTS_BITS), np.uint32(1), np.uint32(2), np.uint32(3)
-    total_bits, word, half, lower_half = np.uint64(_TOTAL + _WEIGHT), np.uint64(16), np.uint32(16), np.uint32(65535)
-    active = n
-    ends = np.searchsorted(-lengths, -np.arange(steps), "left") if n else []  # lanes longer than t
-    columns = np.ascontiguousarray(ids.T) if encode else None
-
-    def settle() -> None:
-        """The highest words of small spans leave."""
-        todo = np.flatnonzero(span < _LEAST)
-        while len(todo):
-            place, lo = at.take(todo), low.take(todo)
-            if encode:
-                stream[place] = lo >> np.uint64(48)
-                low[todo] = lo << word
-            else:  # of a damaged block anything may be read: its checksum tells
-                low[todo] = (lo << word) | stream.take(place, mode="clip")
-            at[todo] = place + 1
-            wide = span.take(todo) << word
-            span[todo] = wide
-            todo = todo[wide < _LEAST]
-
-    def carry(lanes: np.ndarray) -> None:
-        """Add one to the number that each lane has written."""
-        place = at.take(lanes) - 1
-        while len(place):
-            raised = stream.take(place) + np.uint16(1)
-            stream[place] = raised
-            place = place[raised == 0] - 1
-
-    for t in range(steps):
-        a = int(ends[t])
+    last, turned = np.zeros((2, n), np.uint32)
+    spreads = np.empty((2, n), np.uint32)
+    one, two, three, half, lower_half = np.uint32(1), np.uint32(2), np.uint32(3), np.uint32(16), np.uint32(65535)
+    ends = np.searchsorted(-lengths, -np.arange(steps), "left").tolist()  # lanes longer than t
+    for t, a in enumerate(ends):
         if a != active:
             active = a
-            row_slots, row_bytes, row_mix, row_four, row_group, row_part, rare, shared = (x[:a] for x in (row_slots, row_bytes, row_mix, row_four, row_group, row_part, rare, shared))
-            if encode:
-                _finish(stream, at, low, a)
-            low, span, at = low[:a], span[:a], at[:a]
-            mix0, good, weight0, weight1, last, turned, mixed = mix0[:a], good[:, :a], weight0[:a], weight1[:a], last[:a], turned[:a], mixed[:a]
-        spread = last * np.uint32(0x9E3779B1)
-        h1 = row_slots + (spread >> shift)
-        h2 = row_slots + ((spread ^ turned) >> shift)
-        e1, e2 = first.take(h1), second.take(h2)
-        p1, p2 = e1 >> two, e2 >> two
-        c1, c2 = e1 & three, e2 & three
-        k1 = row_mix + ((c2 << two) | c1)
-        m1 = rows1.take(k1).view(np.int32).reshape(a, 4)
-        np.multiply(mix0, weight0, out=mixed)
-        mixed += m1 * weight1
-        unit = span >> total_bits
-        if encode:
-            x = columns[t, :a]
-            hit1, hit2 = x == p1, x == p2
-            # the first prediction that is right: 0, 1 or 2; else 3
-            s = np.where(hit2, 0, np.where(hit1, 1, 3))
-            some = np.flatnonzero((s == 3) & (x >= rare))
-            byte = x.take(some) & np.uint32(255)
-            slot = row_bytes.take(some) + byte
-            near = zeroth.take(slot) == x.take(some)
-            zeroth[slot] = x.take(some)
-            some, byte = some[near], byte[near]
-            s[some] = 2
-        else:
-            value = (low // unit).astype(np.int32)
-            s = (value >= mixed[:, 1]).view(np.int8) + (value >= mixed[:, 2]).view(np.int8)
-            s += value >= mixed[:, 3]
-        pick = row_four + s
-        below = bounds.take(pick)
-        part = (bounds.take(pick + 1) - below) & whole
-        moved = unit * below.astype(np.uint64)
-        np.multiply(unit, part.astype(np.uint64), out=span)
-        bits = _TAIL.take(s)
-        span >>= bits
-        none = np.flatnonzero(s == 3)
-        if encode:
-            moved[some] += span.take(some) * byte
-            group = x.take(none)
-            if wide_ids:
-                group = group >> shared.take(none).astype(np.uint32)
-            held, wide = both.take(row_group.take(none) + group), span.take(none)
-            moved[none] += wide * (held >> half)
-            span[none] = wide * ((held & lower_half) + one)
-            low += moved
-            carry(np.flatnonzero(low < moved))
-        else:
-            low -= moved
-            x = np.where(s == 0, p2, p1)
-            some = np.flatnonzero(s == 2)
-            wide, lo = span.take(some), low.take(some)
-            tail = np.minimum(lo // wide, np.uint64(255))
-            low[some] = lo - wide * tail
-            x[some] = zeroth.take(row_bytes.take(some) + tail.astype(np.int64))
-            wide, lo = span.take(none), low.take(none)
-            found = slot_of.take(row_part.take(none) + np.minimum(lo // wide, np.uint64(65535)).astype(np.int64))
-            held = both.take(row_group.take(none) + found)
-            low[none] = lo - wide * (held >> half)
-            span[none] = wide * ((held & lower_half) + one)
-            x[none] = found
+            mixture.cut(a)
+            row_slots, spreads = np.ascontiguousarray(row_slots[:, :a]), np.empty((2, a), np.uint32)
+            row_bytes, row_group, row_part, rare, shared, low, span, at, last, turned = (x[:a] for x in (row_bytes, row_group, row_part, rare, shared, low, span, at, last, turned))
+        slot = row_slots + _spreads(last, turned, spreads)
+        entry = entries.take(slot)
+        guess, sure = entry >> two, entry & three
+        mixture.mix((sure[1] << two) | sure[0])
+        unit, mixed = span >> _UNIT, mixture.mixed
+        value = (low // unit).astype(np.int32)
+        s = (value >= mixed[:, 1]).view(np.int8) + (value >= mixed[:, 2]).view(np.int8)
+        s += value >= mixed[:, 3]
+        long_s = s.astype(np.intp)
+        below, part = mixture.parts(long_s)
+        below *= unit
+        low -= below
+        part *= unit
+        part >>= _TAIL.take(long_s)
+        span = part
+        # by order 2 or 1, without a branch
+        x = (guess[0] ^ guess[1]) * (s == 0)
+        x ^= guess[0]
+        some = (s == 2).nonzero()[0]
+        wide, lo = span.take(some), low.take(some)
+        tail = np.minimum(lo // wide, np.uint64(255))
+        low[some] = lo - wide * tail
+        x[some] = zeroth.take(row_bytes.take(some) + tail.view(np.int64))
+        none = (s == 3).nonzero()[0]
+        wide, lo = span.take(none), low.take(none)
+        found = slot_of.take(row_part.take(none) + np.minimum(lo // wide, np.uint64(65535)).view(np.int64))
+        held = both.take(row_group.take(none) + found)
+        low[none] = lo - wide * (held >> half)
+        span[none] = wide * ((held & lower_half) + one)
         if wide_ids:
-            settle()
+            bits = _shrink(span)
+            low <<= bits
+            low |= stream.take(at, mode="clip") >> (np.uint8(32) - bits)
+            at += bits >> np.uint8(4)
             more = shared.take(none)
             wide, lo = span.take(none) >> more, low.take(none)
             span[none] = wide
-            if encode:
-                moved = wide * (x.take(none) & ((np.uint32(1) << more.astype(np.uint32)) - np.uint32(1)))
-                low[none] = lo + moved
-                carry(none[lo + moved < moved])
-            else:
-                rest = np.minimum(lo // wide, (np.uint64(1) << more) - np.uint64(1))
-                low[none] = lo - wide * rest
-                x[none] = (found.astype(np.uint32) << more.astype(np.uint32)) | rest.astype(np.uint32)
-        if not encode:
-            out[t, :a] = x
-            hit1, hit2 = x == p1, x == p2
-            some = np.flatnonzero((s >= 2) & (x >= rare))
-            zeroth[row_bytes.take(some) + (x.take(some) & np.uint32(255))] = x.take(some)
-        settle()
-        # learn
-        if not t & 7:  # every eighth id sets the weights
-            for k, m in enumerate((mix0.reshape(-1), m1.reshape(-1))):
-                got = (m.take(pick + 1, mode="wrap") - m.take(pick)) & ((1 << _TOTAL) - 1)
-                good[k] += (got - good[k]) >> 3
-            weight0 = np.repeat(good[0] * ((1 << _WEIGHT) - 2) // (good[0] + good[1]) + 1, 4).reshape(a, 4)
-            weight1 = (1 << _WEIGHT) - weight0
-        goal = goals.take(s).view(np.int32).reshape(a, 4)
-        for m in (mix0, m1):
-            step = goal - m
-            step >>= 5
-            m += step
-        rows1[k1] = m1.view(np.complex128).ravel()
-        x2 = x << two
-        first[h1] = np.where(hit1, e1 + (c1 < three), x2)
-        second[h2] = np.where(hit2, e2 + (c2 < three), x2)
-        turned, last = (last * np.uint32(0x85EBCA6B)) ^ (last >> three), x
-    if encode:
-        _finish(stream, at, low, 0)
-        return out, at_all - row_words
+            rest = np.minimum(lo // wide, (np.uint64(1) << more) - np.uint64(1))
+            low[none] = lo - wide * rest
+            found = (found.astype(np.uint32) << more.astype(np.uint32)) | rest.astype(np.uint32)
+        x[none] = found
+        out[t, :a] = x
+        far = found >= rare.take(none)
+        found = found[far]
+        zeroth[row_bytes.take(none[far]) + (found & 255)] = found
+        # of a damaged block anything may be read: its checksum tells
+        bits = _shrink(span)
+        low <<= bits
+        low |= stream.take(at, mode="clip") >> (np.uint8(32) - bits)
+        at += bits >> np.uint8(4)
+        mixture.learn(not t & 7)
+        sure += one
+        np.minimum(sure, three, out=sure)
+        sure *= guess == x
+        sure |= x << two
+        entries[slot.reshape(-1)] = sure.reshape(-1)
+        turned, last = _turned(last), x
     return np.ascontiguousarray(out.T)
 
 
-def _finish(stream, at, low, first: int) -> None:
-    """Write the four words of ``low`` of the lanes from ``first`` on."""
-    for k in range(4):
-        stream[at[first:]] = low[first:] >> np.uint64(48 - 16 * k)
-        at[first:] += 1
-
-
 def _parts(order: list[int]) -> list[list[int]]:
     """About LANES at a time, evenly: a few lanes take as many steps as many."""
     count = max(1, (len(order) + LANES // 2) // LANES)
@@ -343,13 +461,8 @@ def encode_blocks(blocks: list[np.ndarray], priors: list[Prior]) -> list[bytes]:
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     for part in _parts(order):
-        lengths = np.array([len(blocks[k]) for k in part], np.int64)
-        ids = np.zeros((len(part), int(lengths[0])), np.uint32)
-        for r, k in enumerate(part):
-            ids[r, : len(blocks[k])] = priors[k].places(blocks[k])
-        words, used = _coded(lengths, ids, None, [priors[k] for k in part])
-        for r, k in enumerate(part):
-            out[k] = words[r, : used[r]].astype("<u2").tobytes()
+        for k, words in zip(part, _encoded([blocks[k] for k in part], [priors[k] for k in part])):
+            out[k] = words
     return out
 
 
@@ -363,7 +476,7 @@ def decode_blocks(blocks: list[tuple[int, bytes]], priors: list[Prior]) -> list[
         for r, k in enumerate(part):
             w = np.frombuffer(blocks[k][1], "<u2")
             words[r, : len(w)] = w
-        ids = _coded(lengths, None, words, [priors[k] for k in part])
+        ids = _decoded(lengths, words, [priors[k] for k in part])
         for r, k in enumerate(part):
             out[k] = priors[k].order.take(ids[r, : lengths[r]], mode="clip")
     return out

@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -48,6 +49,39 @@ def test_blocks_round_trip(monkeypatch):
     assert f.encode_blocks([], []) == [] and f.decode_blocks([], []) == []
 
 
+def test_files_of_before_stay_readable():
+    """The coded words are those that the coder wrote at first with this frame format."""
+    held = blocks()
+    crcs = [zlib.crc32(b"".join(f.encode_blocks(held, priors))) for priors in ([f.Prior.of(b) for b in held], [f.Prior.of(np.concatenate(held))] * len(held))]
+    assert f.MAGIC == b"BTF3" and crcs == [2805759456, 1103094820]
+
+
+def test_calls_for_each_step():
+    """Calls into numpy for each step of the lanes, whose number sets the CPU time of an id (clocks are too rough here): 56 and 61 when both went id by id alike."""
+    rng = np.random.default_rng(3)
+    held = [(rng.zipf(1.3, f.BLOCK) % 50000).astype(np.uint32) for _ in range(64)]
+    priors = [f.Prior.of(np.concatenate(held))] * len(held)
+
+    def calls(run):
+        count = 0
+
+        def see(frame, event, arg):
+            nonlocal count
+            count += event == "c_call"
+
+        sys.setprofile(see)
+        try:
+            run()
+        finally:
+            sys.setprofile(None)
+        return count / f.BLOCK
+
+    coded = f.encode_blocks(held, priors)
+    found = calls(lambda: f.encode_blocks(held, priors)), calls(lambda: f.decode_blocks([(len(b), c) for b, c in zip(held, coded)], priors))
+    print("calls a step, coding and decoding:", found)
+    assert found[0] < 20 and found[1] < 45
+
+
 def test_very_many_different_ids():
     """More ids than groups: several share a frequency."""
     rng = np.random.default_rng(2)
