@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from brindle.llm.textbytes import PIECE_BYTES, hash_spans, pieces, utf8_views
 
 #: Ids of a block, of a frame (at least, unless it is the last), and lanes coded at a time (about).
-BLOCK, FRAME, LANES = 2048, 1 << 19, 2048
+BLOCK, FRAME, LANES = 2048, 1 << 19, 4096
 MAGIC = b"BTF3"
 #: Pieces of text whose ids a worker keeps; beyond, it begins anew.
 CACHE_PIECES = 2_000_000
@@ -431,9 +431,9 @@ def _decoded(lengths: np.ndarray, words: np.ndarray, priors: list[Prior]) -> np.
             found = (found.astype(np.uint32) << more.astype(np.uint32)) | rest.astype(np.uint32)
         x[none] = found
         out[t, :a] = x
-        far = found >= rare.take(none)
-        found = found[far]
-        zeroth[row_bytes.take(none[far]) + (found & 255)] = found
+        far = (found >= rare.take(none)).nonzero()[0]
+        found = found.take(far)
+        zeroth[row_bytes.take(none.take(far)) + (found & 255)] = found
         # of a damaged block anything may be read: its checksum tells
         bits = _shrink(span)
         low <<= bits

@@ -82,6 +82,12 @@ def test_calls_for_each_step():
     assert found[0] < 20 and found[1] < 45
 
 
+def test_a_usual_task_goes_in_step_at_once():
+    """Some 13 frames, as a task of 10 MB of text has them: two parts take twice the steps."""
+    order = list(range(13 * f.FRAME // f.BLOCK))
+    assert f._parts(order) == [order]
+
+
 def test_very_many_different_ids():
     """More ids than groups: several share a frequency."""
     rng = np.random.default_rng(2)
