@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 
 from brindle.llm.sample import smallest
 from brindle.llm.subword import Model, Settings, fit
-from brindle.llm.textbytes import utf8_views
+from brindle.llm.textbytes import relax, utf8_views
 
 #: Texts of the training sample, at most.
 TRAIN_ROWS = 3000
@@ -27,19 +29,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, ro
     with a text, so it is the same on every run and for every partitioning.  An
     id gives one row: of several texts the smallest, of several labels the
     largest.  Rows without id, label or text are no training rows; texts are
-    learnt from whole, however long.  ``none`` is the logit of every text if
-    there is no training row.  Ids are whole numbers.
+    learnt from whole, however long.  One task reads the sample and fits, so
+    that the driver gets the model and no text.  ``none`` is the logit of every
+    text if there is no training row.  Ids are whole numbers.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
     usable = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     picked = smallest(known.join(usable.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", rows)
-    # at most `rows` small rows: a proven bound for the broadcast, and for what the driver gets
-    texts = usable.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("_y").alias("_y"), F.min("text").alias("text")).collect()
-    texts.sort(key=lambda r: (hash_key(r["doc_id"]), r["doc_id"]))
-    model = fit([r["text"].encode() for r in texts], [r["_y"] for r in texts], settings)
-    if not texts:
-        model.bias = none
+    # at most `rows` small rows: a proven bound for the broadcast, and for what the one task gets
+    texts = usable.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("_y").alias("_y"), F.min("text").cast("binary").alias("text"))
+
+    def learn(batches):
+        held = []
+        for batch in batches:
+            held += zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_y", "text")))
+        if held:
+            held.sort(key=lambda r: (hash_key(r[0]), r[0]))
+            model = fit([r[2] for r in held], [r[1] for r in held], settings)
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        relax()
+
+    found = texts.select("doc_id", "_y", "text").repartition(1).mapInArrow(learn, "model binary").collect()
+    if found:
+        return pickle.loads(found[0]["model"])
+    model = fit([], [], settings)
+    model.bias = none
     return model
 
 

@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from odd import ODD
 from pyspark.sql import functions as F
 
-from brindle.llm import quality_classifier, toxicity
+from brindle.llm import labelled, quality_classifier, toxicity
 from brindle.llm.labelled import held_out
 from brindle.llm.queries import op2_toxicity, op8_quality_classifier
 from brindle.llm.subword import Settings, features, fit
@@ -225,6 +226,26 @@ def test_one_id_gives_one_training_row(spark, documents):
     assert toxicity.train_toxicity(docs, labels).notes.get("texts", len(kept)) <= len(kept)
 
 
+def test_the_driver_fits_nothing_and_gets_the_same_model(spark, documents, insults, monkeypatch):
+    """A task fits: texts and training arrays would fill the driver's memory."""
+    texts, y, _ = insults
+    docs = documents([t.decode() + (" größer" if k % 3 else "") for k, t in enumerate(texts)])
+    labels = spark.createDataFrame([(k, v, v) for k, v in enumerate(y)], "doc_id long, quality int, toxic int")
+
+    def noted(*args):
+        model = fit(*args)
+        model.notes["process"] = os.getpid()
+        return model
+
+    monkeypatch.setattr(labelled, "fit", noted)
+    whole = {r["doc_id"]: r["text"].encode() for r in docs.collect() if not fold(r["doc_id"])}
+    order = sorted(whole, key=lambda k: (labelled.hash_key(k), k))
+    for module, train in ((toxicity, toxicity.train_toxicity), (quality_classifier, quality_classifier.train_quality)):
+        model, same = train(docs, labels), fit([whole[k] for k in order], [y[k] for k in order], module.SETTINGS)
+        assert model.notes.pop("process") != os.getpid()
+        assert np.array_equal(model.gain, same.gain) and (model.bias, model.slope, model.notes) == (same.bias, same.slope, same.notes)
+
+
 def test_settings_are_compared_inside_the_training_fold():
     from brindle.llm.choose_settings import compare
 
